@@ -2,8 +2,12 @@
 
 from .lm_score import op10_lm_scores
 from .minhash import op9_near_duplicates
+from .packing import op1_packing
+from .suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_lm_scores": op10_lm_scores,
 }
