@@ -14,9 +14,24 @@ _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_EDGES = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+
+
 def item_words(text: Column) -> Column:
     """Words of letters, digits and anything beyond ASCII, A-Z in lower case; a null has none."""
-    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), f"^{_APART}|{_APART}$", "")
+    return _parted(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER))
+
+
+def folded_words(text: Column) -> Column:
+    """Like item_words(), at the same places, but with all letters in lower case, which takes less time.
+
+    Words that item_words() makes equal are equal here; so fingerprints of these find all that theirs would.
+    """
+    return _parted(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _parted(text: Column) -> Column:
+    bare = F.btrim(text, F.lit(_EDGES))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _APART))
 
 
@@ -54,14 +69,14 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     distinct = staged(pieces.select("m", "piece", "w").distinct(), "pieces")
 
     rows = text_rows(docs, id_col, text_col)
-    hashed = rows.select("i", "k", word_hashes(item_words(F.col("text"))).alias("h"))
+    hashed = rows.select("i", "k", word_hashes(folded_words(F.col("text"))).alias("h"))
     found = None
     for size in sorted(r.m for r in distinct.select("m").distinct().collect()):  # at most `window` lengths
         if size == window:
             prints = lambda h: let(gram_hashes(h, gram), lambda g: F.transform(winnowed(g, window - gram + 1), lambda p: F.struct(F.lit(window).alias("m"), p.alias("at"), F.get(g, p).alias("print"))))
         else:
             prints = lambda h, size=size: F.transform(gram_hashes(h, size), lambda x, p: F.struct(F.lit(size).alias("m"), p.alias("at"), x.alias("print")))
-        own = distinct.filter(F.col("m") == size).select(F.explode(prints(word_hashes(F.col("w")))).alias("f")).select("f.print").distinct()
+        own = distinct.filter(F.col("m") == size).select(F.explode(prints(word_hashes(F.transform("w", lambda x: F.lower(x))))).alias("f")).select("f.print").distinct()
         theirs = hashed.select("i", "k", F.explode(prints(F.col("h"))).alias("f")).select("i", "k", "f.*")
         hit = theirs.join(small(staged(own, "prints")), "print", "left_semi").select("i", "k", "m", "at")
         found = hit if found is None else found.union(hit)
@@ -99,7 +114,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         exact.select("i", "k", "m", "piece").distinct().join(pieces.select("m", "piece", "item"), ["m", "piece"])
         .groupBy("i", "k").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    counts = rows.select("i", "k", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    counts = rows.select("i", "k", F.size(folded_words(F.col("text"))).cast("long").alias("n_words"))
     out = counts.join(hits.join(named, ["i", "k"], "left"), ["i", "k"], "left")
     return out.select("i", "k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
