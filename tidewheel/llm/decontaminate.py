@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_out, staged, text_rows, with_key
+from .common import id_out, small, staged, text_rows, with_key
 from .native import covered, gram_hashes, let, word_hashes
 
 WINDOW, GRAM = 13, 5
-BROADCAST_ROWS = 200_000
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,11 +43,6 @@ def winnowed(grams: Column, width: int) -> Column:
     )
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A staged table with a broadcast hint if it has at most BROADCAST_ROWS rows; else a shuffle joins it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(i, k, n_words, n_hit, items): for each row the words inside benchmark windows and the items hit.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir, staged
+from .common import discard, shared_dir, small, staged
 
 MAGIC, CLOSE = b"WARC/1.1\r\n", "\r\n\r\n"
 RECORDS_PER_FILE = 512
@@ -29,12 +29,16 @@ def _urn(page_id) -> str:
 
 
 def planned(pages: DataFrame, id_col: str, url_col: str, body_col: str, least_bytes: int) -> DataFrame:
-    """(i, url, body, digest, first): first is the largest id with the same payload."""
+    """(i, url, body, digest, first): first is the largest id with the same payload, null for that row itself.
+
+    Payloads that occur once need no partner, so only repeated digests are joined: by broadcast up to small()'s bound,
+    else by a shuffle.
+    """
     i, body = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{body_col}`"), F.lit(""))
     rows = pages.select(i.alias("i"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("i").alias("first"))
-    both = rows.join(first, "digest")
-    alone = (F.octet_length("body") < least_bytes) | F.col("i").isNull() | (F.col("i") == F.col("first"))
+    first = rows.groupBy("digest").agg(F.max("i").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = rows.join(small(staged(first, "repeated")), "digest", "left")
+    alone = (F.octet_length("body") < least_bytes) | F.col("i").isNull() | F.col("first").isNull() | (F.col("i") == F.col("first"))
     return both.withColumn("first", F.when(~alone, F.col("first")))
 
 
