@@ -1,4 +1,8 @@
-"""State of keys across runs: missing events and the polling interval of sources, as streams."""
+"""State of keys across runs: missing events and the polling interval of sources, as streams.
+
+The rows that a batch brings of one key are sorted in memory, so a batch must be bounded where a key is hot
+(maxFilesPerTrigger on the stream).
+"""
 
 from __future__ import annotations
 
