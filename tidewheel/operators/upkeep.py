@@ -11,6 +11,15 @@ def retained(rows: DataFrame, at: Column, now: Column, days: int) -> DataFrame:
     return rows.filter(at >= now - F.expr(f"interval {days} days"))
 
 
+# How long pages, previews and confirmations are kept.
+LIFETIME = {"page": "7 days", "preview": "2 hours", "confirmation": "30 days"}
+
+
+def fresh(rows: DataFrame, kind: str, at: Column, now: Column) -> DataFrame:
+    """Cached rows of a kind that haven't outlived it; a row without a time has."""
+    return rows.filter(at >= now - F.expr(f"interval {LIFETIME[kind]}"))
+
+
 def streaks(log: DataFrame) -> DataFrame:
     """log (source, at, seq, ok, changed) with how many failures, and unchanged runs, end at each run."""
     by = W.partitionBy("source").orderBy("at", "seq")

@@ -1,3 +1,3 @@
 """Test views, and the queries with their SQL twins."""
 
-from . import catalog, feeds, streams  # noqa: F401
+from . import accounts, catalog, feeds, streams  # noqa: F401
