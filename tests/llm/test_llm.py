@@ -73,6 +73,30 @@ def test_quality(spark, docs, none):
     assert quality.scored(none, labels.limit(0)).count() == 0
 
 
+def test_quality_scores(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (12, 0, 0), (14, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    found = F.col("text"), quality.n_grams(quality.word_hashes(quality.space_words(F.col("text"))), quality.BUCKETS).alias("grams")
+    grams = {r.text: r.grams or [] for r in docs.select(*found).collect()}
+    raw, chosen = Counter(), {(i, t) for i, t in TEXTS if i in (1, 2)}
+    for _, t in TEXTS:
+        raw.update(grams[t])
+    good = sum((Counter(grams[t]) for _, t in chosen), Counter())
+    for r in quality.scored(docs, labels).select("doc_id", "text", "quality.*").collect():
+        own = Counter(grams[r.text]) if (r.doc_id, r.text) in chosen else Counter()
+        share = lambda b: (raw[b] + 1) / (raw.total() + quality.BUCKETS)
+        w = [math.log((good[b] - own[b] + quality.PRIOR * share(b)) / ((good.total() - own.total() + quality.PRIOR) * share(b))) for b in grams[r.text]]
+        assert (r.score is None) == (not w) and (not w or abs(r.score - sum(w) / len(w)) < 1e-9)
+        assert r.kept == (not r.base_failed and bool(w) and sum(w) / len(w) >= quality.LEAST_SCORE)
+
+
+def test_quality_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    clean = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id")
+    for some in (labels.limit(0), labels, labels.join(clean.orderBy("doc_id").limit(20), "doc_id")):
+        passed = quality.scored(docs, some).join(clean, "doc_id", "left_semi").select("quality.*").filter("not base_failed")
+        assert passed.filter("kept").count() >= 0.95 * passed.count() > 0
+
+
 def test_url_lists(spark):
     ts = lambda d: f"timestamp'2024-01-{d:02d}'"
     entries = spark.sql(f"select * from values ('a.org', {ts(2)}, true), ('a.org', {ts(20)}, false), ('a.org', {ts(20)}, true), ('x.b.org', {ts(5)}, true), ('x.b.org', {ts(9)}, false), (null, {ts(1)}, true) as t(key, at, listed)")

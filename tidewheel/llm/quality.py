@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 from .native import covered, gram_hashes, let, space_words, word_hashes
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000
 LEAST_SCORE = -0.08
+PRIOR = 200_000
 
 
 def repeated_words(hashes: Column, width: int = 8) -> Column:
@@ -68,20 +71,19 @@ def base_rules(text: Column) -> Column:
     )
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, weight): log of the bucket's share in trusted documents over its share in all, add-one smoothed.
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, good): how often each bucket occurs in all of docs and in the trusted documents.
 
-    All of docs make the raw side.  trusted: one column `id`, at most TRUSTED rows, so it is broadcast.
+    trusted: one column `id`, at most TRUSTED rows, so it is broadcast.  Rows that repeat an id and text count once on the
+    trusted side, so that a document left out of it leaves no copy of its own there.
     """
-    text = F.col(f"`{text_col}`")
-    grams = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(let(word_hashes(space_words(text)), lambda h: n_grams(h, buckets))).alias("bucket"))
-    flagged = grams.join(F.broadcast(trusted.select("id", F.lit(1).alias("t"))), "id", "left")
-    counts = flagged.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("t").alias("good"))
-    full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    full = staged(full, "buckets")
-    total = full.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods")).first()
-    part = lambda c, n: F.log((F.col(c) + 1) / F.lit(float((n or 0) + buckets)))
-    return full.select("bucket", (part("good", total.goods) - part("raw", total.raws)).alias("weight"))
+    split = lambda text: F.explode(let(word_hashes(space_words(text)), lambda h: n_grams(h, buckets))).alias("bucket")
+    i, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    raw = docs.select(split(text)).groupBy("bucket").agg(F.count("*").alias("raw"))
+    chosen = docs.select(i.alias("id"), text.alias("text")).join(F.broadcast(trusted), "id").withColumn("k", F.xxhash64("id", "text")).dropDuplicates(["id", "k"])
+    good = chosen.select(split(F.col("text"))).groupBy("bucket").agg(F.count("*").alias("good"))
+    full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    return staged(full.join(raw, "bucket", "left").join(good, "bucket", "left").na.fill(0), "buckets")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -102,22 +104,44 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     score is the mean weight of the text's hashed words and word pairs, so length doesn't count; a
     text is kept if it passes the base rules and its score is `least` or more.  Every document goes
-    through the same rule with the same constant.  With no trusted labels all weights follow
-    the smoothing alone and the rule still is deterministic.
+    through the same rule with the same constant.
+
+    A bucket's weight is the log of its share in trusted documents over its share in all.  The trusted side is smoothed by
+    PRIOR counts dealt like the raw side's, so a weight without evidence is 0 and few labels reject little; trusted documents
+    are scored without their own counts.  With no trusted labels all scores are 0.
 
     A null or empty text has no words: base_failed, not kept, score null.  Rows that repeat stay.
     """
-    table = weights(docs, trusted_ids(labels), id_col, text_col)
-    # BUCKETS numbers, whatever the corpus size; as one constant they stay inside the projection
-    model = F.split(F.lit(",".join(repr(r.weight) for r in table.orderBy("bucket").collect())), ",").cast("array<double>")
+    trusted = staged(trusted_ids(labels), "trusted")
+    table = bucket_counts(docs, trusted, id_col, text_col).orderBy("bucket").collect()
+    raws, goods = sum(r.raw for r in table), sum(r.good for r in table)
+    share = [(r.raw + 1) / (raws + BUCKETS) for r in table]
+    # BUCKETS numbers each, whatever the corpus size; as constants they stay inside the projection
+    fixed = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    model = fixed([math.log((r.good + PRIOR * s) / ((goods + PRIOR) * s)) for r, s in zip(table, share, strict=True)], "double")
+    good, shares = fixed([r.good for r in table], "bigint"), fixed(share, "double")
+
+    def without_own(x: Column) -> Column:
+        """Sum of the weights of a trusted text, from sorted buckets, with each bucket's own count left out."""
+        part = lambda a: F.when(a.n > 0, a.n * F.log((F.get(x.g, a.b) - a.n + PRIOR * F.get(x.s, a.b)) / F.get(x.s, a.b))).otherwise(0.0)
+        state = lambda b, n, total: F.struct(b.alias("b"), n.alias("n"), total.alias("total"))
+        return F.aggregate(
+            F.array_sort(x.b.grams),
+            state(F.lit(0), F.lit(0), F.lit(0.0)),
+            lambda a, b: F.when((a.n > 0) & (a.b == b), state(b, a.n + 1, a.total)).otherwise(state(b, F.lit(1), a.total + part(a))),
+            lambda a: a.total + part(a),
+        ) - F.size(x.b.grams) * F.log(goods - F.size(x.b.grams) + F.lit(float(PRIOR)))
+
+    (own,) = fresh(docs, "trusted_id")
+    marked = docs.join(F.broadcast(trusted.select(F.col("id").alias(own))), F.col(f"`{id_col}`") == F.col(own), "left")
     found = let(
-        F.struct(base_rules(F.col(f"`{text_col}`")).alias("b"), model.alias("w")),
+        F.struct(base_rules(F.col(f"`{text_col}`")).alias("b"), model.alias("w"), good.alias("g"), shares.alias("s")),
         lambda x: F.struct(
             *(x.b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
             ((x.b.n_words < 20) | (100 * x.b.n_repeat_words > 30 * x.b.n_words)).alias("base_failed"),
             F.when(
                 F.size(x.b.grams) > 0,
-                F.aggregate(x.b.grams, F.lit(0.0), lambda a, g: a + F.get(x.w, g)) / F.size(x.b.grams),
+                F.when(F.col(own).isNotNull(), without_own(x)).otherwise(F.aggregate(x.b.grams, F.lit(0.0), lambda a, g: a + F.get(x.w, g))) / F.size(x.b.grams),
             ).alias("score"),
         ),
     )
@@ -125,7 +149,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     while name in docs.columns:
         name = f"_{name}"
     with_kept = let(found, lambda q: q.withField("kept", ~q.base_failed & F.coalesce(q.score >= least, F.lit(False))))
-    return docs.withColumn(name, with_kept)
+    return marked.withColumn(name, with_kept).select(*docs.columns, name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
