@@ -160,6 +160,20 @@ def test_line_templates(spark):
     assert line_templates.without_templates(frame.limit(0)).count() == 0
 
 
+def test_line_templates_failed_seed(spark):
+    again = "one two three four echo echo echo echo"
+    rows = [(0, "\n".join([again] * 1000)), *((n, f"one two three four mine yours ours theirs\n{chr(97 + n)} tail") for n in range(1, 13))]
+    rows += [(20 + n, f"one two three four nine nine nine nine\n{chr(97 + n)} tail") for n in range(9)]
+    rows += [(40 + n, f"one two three four red green blue {'xyz'[n % 3]}\n{chr(97 + n)} tail") for n in range(12)]
+    # eleven texts in a document each, fewer than the seed above, which fails
+    rows += [(60 + n, f"one two three four left right {chr(97 + n) * 3} end") for n in range(11)]
+    got = {r.doc_id: r.text for r in line_templates.without_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = dict(rows)
+    for n in [*range(2, 13), *range(41, 52)]:
+        kept[n] = kept[n].split("\n")[1]
+    assert got == kept | {n: "" for n in range(61, 71)}
+
+
 def test_decontamination(spark):
     import re
 

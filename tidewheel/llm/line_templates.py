@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, id_out, staged, text_rows, with_key
 from .native import SPACE
 
 DEPTH, LEAST_DOCS, ALIKE = 4, 10, 0.7
+SEEDS = 16
 FIELD = "<*>"
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(i, k, at, leaf, masked) for each line with a word; at counts lines from 0.
+    """(i, k, at, leaf, masked, n) for each line with a word; at counts lines from 0, n is the number of words.
 
     masked: the line's words, one space apart, those with a digit as FIELD.  leaf: hash of the number
     of words and of the first `depth` of them, the path to a leaf of the tree.
@@ -24,46 +26,86 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     masked = F.regexp_replace(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "), r"[^ ]*[0-9][^ ]*", FIELD)
     words = bare.select("i", "k", "at", masked.alias("masked"), F.split("line", r"[\x20\x09-\x0D]+").alias("w"))
     return words.select(
-        "i", "k", "at", F.xxhash64(F.size("w"), F.substring_index("masked", " ", depth)).alias("leaf"), "masked"
+        "i", "k", "at", F.xxhash64(F.size("w"), F.substring_index("masked", " ", depth)).alias("leaf"), "masked", F.size("w").alias("n")
     )
 
 
-def _busy(lines: DataFrame, least_docs: int) -> DataFrame:
-    """Leaves with lines of at least that many documents."""
-    return lines.select("leaf", "i", "k").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs).select("leaf")
+def _follows(masked: str, seed: str, alike: float) -> Column:
+    both = F.zip_with(F.split(masked, " "), F.split(seed, " "), lambda a, b: a == b)
+    return (F.col(masked) == F.col(seed)) | (F.size(F.filter(both, lambda x: x)) / F.size(both) >= alike)
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
-    """(i, k, at, leaf, seed): the lines that follow a template recurring in `least_docs` documents or more.
+def _busy(places: DataFrame) -> DataFrame:
+    """(leaf): those with lines of at least `need` documents."""
+    docs = places.select("leaf", "need", "i", "k").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs"))
+    return docs.filter("docs >= need").select("leaf").distinct()
+
+
+def _hopeless(texts: DataFrame, places: DataFrame, depth: int, alike: float) -> DataFrame:
+    """(leaf, masked): texts that too few documents can follow.
 
-    A leaf of the tree holds the lines of one length and beginning.  Its most frequent line (the
-    greatest of equals) seeds a template; lines with at least the share `alike` of their words equal
-    to the seed's at the same place follow it.  If the lines that follow stand in enough documents the template recurs, and
-    the rest of the leaf seeds the next one; else the leaf is done.  So rounds end when no
-    leaf has another recurring template, and each works on what the one before left.
+    A follower shares `least` words beyond the leaf's common ones with its seed, so a seed has at most as many documents as its words have
+    together, each word at its place, divided by `least`.
     """
-    lines = parsed(docs, id_col, text_col, depth)
-    rest = staged(lines.join(_busy(lines, least_docs), "leaf"), "lines")
-    out = None
-    while True:
-        seeds = (
-            rest.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
-            .groupBy("leaf").agg(F.max(F.struct("n", "masked")).alias("s")).select("leaf", F.col("s.masked").alias("seed"))
-        )
-        both = F.zip_with(F.split("masked", " "), F.split("seed", " "), lambda a, b: a == b)
-        share = F.size(F.filter(both, lambda x: x)) / F.size(both)
-        met = rest.join(seeds, "leaf").withColumn("follows", (F.col("masked") == F.col("seed")) | (share >= alike))
-        met = staged(met, "met")
-        ok = _busy(met.filter("follows"), least_docs)
-        kept = staged(met.join(ok, "leaf"), "kept")
-        discard(met)
-        discard(rest)
-        hit = kept.filter("follows").select("i", "k", "at", "leaf", "seed", "masked")
+    words = lambda df, *keys: df.select(*keys, F.posexplode(F.split("masked", " ")).alias("j", "w")).filter(F.col("j") >= depth)
+    known = words(places, "leaf", "i", "k").distinct().groupBy("leaf", "j", "w").agg(F.count("*").alias("docs"))
+    most = words(texts, "leaf", "masked", "need").join(known, ["leaf", "j", "w"]).groupBy("leaf", "masked", "need").agg(F.sum("docs").alias("docs"), F.count("*").alias("more"))
+    least = F.ceil((F.col("more") + depth) * alike - 1e-6) - depth
+    return most.filter((least > 0) & (F.col("docs") < F.col("need") * least)).select("leaf", "masked")
+
+
+def _grouped(lines: DataFrame, depth: int, alike: float) -> DataFrame:
+    """(leaf, masked, seed): the texts of lines (i, k, leaf, masked, need) that follow a template in `need` documents or more."""
+    places = staged(lines.select("leaf", "masked", "need", "i", "k").distinct(), "places")
+    texts = staged(places.groupBy("leaf", "masked", "need").agg(F.count("*").alias("docs")).withColumn("open", F.lit(True)), "texts")
+    out, width = None, 1
+    rank = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("masked")))
+    while texts.filter("open").limit(1).count():
+        tried = staged(texts.filter("open").withColumn("rank", rank).filter(F.col("rank") <= width).select("leaf", F.col("masked").alias("seed"), "rank"), "tried")
+        pairs = staged(texts.select("leaf", "masked", "need").join(tried, "leaf").filter(_follows("masked", "seed", alike)), "pairs")
+
+        def enough(found: DataFrame) -> DataFrame:
+            docs = found.join(places.select("leaf", "masked", "i", "k"), ["leaf", "masked"]).select("leaf", "seed", "rank", "need", "i", "k").distinct()
+            return staged(docs.groupBy("leaf", "seed", "rank", "need").agg(F.count("*").alias("docs")).filter("docs >= need").select("leaf", "seed", "rank"), "enough")
+
+        def first(seeds: DataFrame) -> DataFrame:
+            """The first of the seeds that a text follows."""
+            best = pairs.join(seeds, ["leaf", "seed", "rank"]).groupBy("leaf", "masked", "need").agg(F.min(F.struct("rank", "seed")).alias("s"))
+            return best.select("leaf", "masked", "need", "s.seed", "s.rank")
+
+        able = enough(pairs)
+        good = able if width == 1 else enough(first(able))  # those that still have enough once each text follows one
+        hit = staged(first(good).select("leaf", "masked", "seed"), "hit")
         out = hit if out is None else out.union(hit)
-        left = kept.filter("not follows").select("leaf", "i", "k", "at", "masked")
-        rest = staged(left.join(_busy(left, least_docs), "leaf"), "rest")
-        if not rest.limit(1).count():
-            return out
+        failed = tried.join(able, ["leaf", "seed"], "left_anti").select("leaf", F.col("seed").alias("masked"), F.lit(True).alias("failed"))
+        left = staged(places.join(hit, ["leaf", "masked"], "left_anti"), "places")
+        rest = texts.join(hit, ["leaf", "masked"], "left_anti").join(_busy(left), "leaf", "left_semi").join(failed, ["leaf", "masked"], "left")
+        rest = rest.select("leaf", "masked", "need", "docs", (F.col("open") & F.col("failed").isNull()).alias("open"))
+        if width == 1:
+            rest = staged(rest, "texts")
+            no = _hopeless(rest.filter("open"), left.join(rest.select("leaf").distinct(), "leaf", "left_semi"), depth, alike).withColumn("no", F.lit(True))
+            rest = rest.join(no, ["leaf", "masked"], "left").select("leaf", "masked", "need", "docs", (F.col("open") & F.col("no").isNull()).alias("open"))
+        going = rest.join(rest.filter("open").select("leaf").distinct(), "leaf", "left_semi")
+        new = staged(going, "texts")
+        for old in (places, texts, tried, pairs):
+            discard(old)
+        places, texts, width = left, new, width * SEEDS
+    return out if out is not None else texts.select("leaf", "masked", F.col("masked").alias("seed"))
+
+
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
+    """(i, k, at, leaf, seed, masked): the lines that follow a recurring template.
+
+    A leaf of the tree holds the lines of one length and beginning.  Its lines seed templates, those in most documents first (the
+    greatest of equals); lines with at least the share `alike` of their words equal to the seed's at the same place follow it.  A template
+    recurs if the lines that follow stand in `least_docs` documents.
+
+    A seed that fails is set aside as a seed only: its line and those that follow it may follow others.  Each round tries the
+    next seeds of every leaf, SEEDS times as many as the one before, without those that word counts rule out.
+    """
+    lines = parsed(docs, id_col, text_col, depth).withColumn("need", F.lit(least_docs))
+    rest = staged(lines.join(_busy(lines), "leaf"), "lines")
+    return rest.join(_grouped(rest, depth, alike), ["leaf", "masked"]).select("i", "k", "at", "leaf", "seed", "masked")
 
 
 def templates(lines: DataFrame) -> DataFrame:
