@@ -160,6 +160,17 @@ def test_line_templates(spark):
     assert line_templates.without_templates(frame.limit(0)).count() == 0
 
 
+def test_line_templates_long(spark):
+    passage = " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(60))
+    other = " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}z" for n in range(30))
+    texts = [f"{passage}\n{other}\n{chr(97 + n)} tail" for n in range(5)] + [f"{other}\n{chr(97 + n)} tail" for n in range(5, 6)]
+    frame = spark.createDataFrame([*enumerate(texts[:3]), (7, passage.replace("ab", "changed", 1))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_templates(frame).collect()}
+    assert got == {0: texts[0], 1: f"{other}\nb tail", 2: f"{other}\nc tail", 7: ""}  # 30 words need 6 documents
+    got = {r.doc_id: r.text for r in line_templates.without_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0]} | {n: f"{chr(97 + n)} tail" for n in range(1, 6)}
+
+
 def test_line_templates_failed_seed(spark):
     again = "one two three four echo echo echo echo"
     rows = [(0, "\n".join([again] * 1000)), *((n, f"one two three four mine yours ours theirs\n{chr(97 + n)} tail") for n in range(1, 13))]

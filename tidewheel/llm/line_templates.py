@@ -10,6 +10,7 @@ from .common import discard, id_out, staged, text_rows, with_key
 from .native import SPACE
 
 DEPTH, LEAST_DOCS, ALIKE = 4, 10, 0.7
+SHORT, STEP, NEAR = 10, 5, 0.9
 SEEDS = 16
 FIELD = "<*>"
 
@@ -30,6 +31,11 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     )
 
 
+def docs_needed(n: Column, least_docs: int = LEAST_DOCS) -> Column:
+    """Documents that a near-equal line of n words needs: one less for each STEP words above SHORT, 2 at least."""
+    return F.least(F.lit(least_docs), F.greatest(F.lit(2), least_docs - F.floor((n - SHORT) / STEP))).cast("int")
+
+
 def _follows(masked: str, seed: str, alike: float) -> Column:
     both = F.zip_with(F.split(masked, " "), F.split(seed, " "), lambda a, b: a == b)
     return (F.col(masked) == F.col(seed)) | (F.size(F.filter(both, lambda x: x)) / F.size(both) >= alike)
@@ -98,14 +104,21 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     A leaf of the tree holds the lines of one length and beginning.  Its lines seed templates, those in most documents first (the
     greatest of equals); lines with at least the share `alike` of their words equal to the seed's at the same place follow it.  A template
-    recurs if the lines that follow stand in `least_docs` documents.
+    recurs if the lines that follow stand in `least_docs` documents.  Of the lines left, near-equal ones (share NEAR) recur in
+    docs_needed() documents, which falls with length, to 2 at 50 words.
 
     A seed that fails is set aside as a seed only: its line and those that follow it may follow others.  Each round tries the
     next seeds of every leaf, SEEDS times as many as the one before, without those that word counts rule out.
     """
-    lines = parsed(docs, id_col, text_col, depth).withColumn("need", F.lit(least_docs))
-    rest = staged(lines.join(_busy(lines), "leaf"), "lines")
-    return rest.join(_grouped(rest, depth, alike), ["leaf", "masked"]).select("i", "k", "at", "leaf", "seed", "masked")
+    lines = parsed(docs, id_col, text_col, depth)
+    strict = docs_needed(F.col("n"), least_docs)
+    rest = staged(lines.join(_busy(lines.withColumn("need", strict)), "leaf"), "lines")
+    loose = rest.withColumn("need", F.lit(least_docs))
+    found = _grouped(loose.join(_busy(loose), "leaf", "left_semi"), depth, alike)
+    near = rest.join(found, ["leaf", "masked"], "left_anti").withColumn("need", strict)
+    near = staged(near.join(_busy(near), "leaf", "left_semi"), "near")
+    found = found.union(_grouped(near, depth, max(alike, NEAR)))
+    return rest.join(found, ["leaf", "masked"]).select("i", "k", "at", "leaf", "seed", "masked")
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -136,8 +149,7 @@ def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with text_col without the dropped lines, and a new last column: how many were dropped.
 
     Lines are parted by \\n; lines without a word always stay.  A null text stays null, an empty one
-    empty.  Rows that repeat an id and text count as one document and get the same text.  Templates
-    need `least_docs` documents, so small tables often have none.
+    empty.  Rows that repeat an id and text count as one document and get the same text.
     """
     name = "lines_dropped"
     while name in docs.columns:
