@@ -210,6 +210,14 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_sigma(spark):
+    items = [("i1", "Σ"), ("i2", "ΟΔΟΣ αβγ"), ("i3", " ".join(f"ΛΟΓΟΣ{n}Σ" for n in range(13)))]
+    texts = [(1, "Α.Σ"), (2, "x ΟΔΟΣ.αβγ y"), (3, ".Α'".join(f"ΛΟΓΟΣ{n}Σ" for n in range(13))), (4, ".".join(f"ΛΟΓΟΣ{n}Σ" for n in range(13)) + ".Α"), (5, "οδος αβγ")]
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.i: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.overlaps(frame, bench).collect()}
+    assert got == {1: (2, 1, ["i1"]), 2: (4, 2, ["i2"]), 3: (25, 0, []), 4: (14, 13, ["i3"]), 5: (2, 0, [])}
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())

@@ -26,7 +26,12 @@ def folded_words(text: Column) -> Column:
 
     Words that item_words() makes equal are equal here; so fingerprints of these find all that theirs would.
     """
-    return _parted(F.lower(F.coalesce(text, F.lit(""))))
+    return _parted(_folded(F.coalesce(text, F.lit(""))))
+
+
+def _folded(text: Column) -> Column:
+    """Lower case with one small sigma: which of the two lower() gives for a capital depends on the letters around it."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def _parted(text: Column) -> Column:
@@ -70,7 +75,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
             prints = lambda h: let(gram_hashes(h, gram), lambda g: F.transform(winnowed(g, window - gram + 1), lambda p: F.struct(F.lit(window).alias("m"), p.alias("at"), F.get(g, p).alias("print"))))
         else:
             prints = lambda h, size=size: F.transform(gram_hashes(h, size), lambda x, p: F.struct(F.lit(size).alias("m"), p.alias("at"), x.alias("print")))
-        own = distinct.filter(F.col("m") == size).select(F.explode(prints(word_hashes(F.transform("w", lambda x: F.lower(x))))).alias("f")).select("f.print").distinct()
+        own = distinct.filter(F.col("m") == size).select(F.explode(prints(word_hashes(F.transform("w", _folded)))).alias("f")).select("f.print").distinct()
         theirs = hashed.select("i", "k", F.explode(prints(F.col("h"))).alias("f")).select("i", "k", "f.*")
         hit = theirs.join(small(staged(own, "prints")), "print", "left_semi").select("i", "k", "m", "at")
         found = hit if found is None else found.union(hit)
