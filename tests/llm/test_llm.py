@@ -155,7 +155,7 @@ def test_line_templates(spark):
     got = {r.doc_id: r for r in line_templates.without_templates(frame).collect()}
     assert got[0].text == rows[0][1] and all("Posted" not in got[n].text and "tail" in got[n].text for n in range(1, 12))
     assert got[50].text is None and got[51].text == "" and got[52].text == "\n\n" and got[None].text == ""
-    made = line_templates.templates(line_templates.recurring(frame)).collect()
+    made = line_templates.templates(frame).collect()
     assert [r.template for r in made] == ["Posted by <*> on the board today at noon"]
     assert line_templates.without_templates(frame.limit(0)).count() == 0
 

@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, id_out, staged, text_rows, with_key
+from .common import discard, fresh, id_out, small, staged, text_rows, with_key
 from .native import SPACE
 
 DEPTH, LEAST_DOCS, ALIKE = 4, 10, 0.7
 SHORT, STEP, NEAR = 10, 5, 0.9
-SEEDS = 16
 FIELD = "<*>"
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(i, k, at, leaf, masked, n) for each line with a word; at counts lines from 0, n is the number of words.
+def _masked(words: Column) -> Column:
+    """Words, one space apart, with those that have a digit as FIELD."""
+    return F.when(words.rlike("[0-9]"), F.regexp_replace(words, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(words)
+
+
+def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, least_docs: int) -> DataFrame:
+    """(i, k, at, line, n, need, leaf) for each line with a word; at counts lines from 0, n is the number of words.
 
-    masked: the line's words, one space apart, those with a digit as FIELD.  leaf: hash of the number
-    of words and of the first `depth` of them, the path to a leaf of the tree.
+    line has one space between words.  leaf: hash of n and of the first `depth` words, those with a digit as FIELD: the path to a
+    leaf of the tree.  Only these words are masked here, so that a pass over all lines stays cheap.
     """
-    rows = text_rows(docs, id_col, text_col)
-    lines = rows.select("i", "k", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    bare = lines.select("i", "k", "at", F.btrim("line", F.lit(SPACE)).alias("line")).filter("line <> ''")
-    masked = F.regexp_replace(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "), r"[^ ]*[0-9][^ ]*", FIELD)
-    words = bare.select("i", "k", "at", masked.alias("masked"), F.split("line", r"[\x20\x09-\x0D]+").alias("w"))
-    return words.select(
-        "i", "k", "at", F.xxhash64(F.size("w"), F.substring_index("masked", " ", depth)).alias("leaf"), "masked", F.size("w").alias("n")
-    )
+    lines = text_rows(docs, id_col, text_col).select("i", "k", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(SPACE))).filter("line <> ''")
+    odd = F.contains("line", F.lit("  "))
+    for c in SPACE.strip(" \n"):
+        odd = odd | F.contains("line", F.lit(c))
+    lines = lines.withColumn("line", F.when(odd, F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line")))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    lines = lines.withColumn("n", n.cast("int"))
+    return lines.withColumns({"need": docs_needed(F.col("n"), least_docs), "leaf": F.xxhash64("n", _masked(F.substring_index("line", " ", depth)))})
 
 
 def docs_needed(n: Column, least_docs: int = LEAST_DOCS) -> Column:
@@ -36,100 +43,83 @@ def docs_needed(n: Column, least_docs: int = LEAST_DOCS) -> Column:
     return F.least(F.lit(least_docs), F.greatest(F.lit(2), least_docs - F.floor((n - SHORT) / STEP))).cast("int")
 
 
-def _follows(masked: str, seed: str, alike: float) -> Column:
-    both = F.zip_with(F.split(masked, " "), F.split(seed, " "), lambda a, b: a == b)
-    return (F.col(masked) == F.col(seed)) | (F.size(F.filter(both, lambda x: x)) / F.size(both) >= alike)
+class Mined(NamedTuple):
+    """lines (i, k, at, leaf, t) of busy leaves; texts (leaf, t, masked, n, need, docs); ranked (leaf, t, j, s); found (leaf, t, seed, level)."""
 
+    lines: DataFrame
+    texts: DataFrame
+    ranked: DataFrame
+    found: DataFrame
 
-def _busy(places: DataFrame) -> DataFrame:
-    """(leaf): those with lines of at least `need` documents."""
-    docs = places.select("leaf", "need", "i", "k").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs"))
-    return docs.filter("docs >= need").select("leaf").distinct()
 
+def mined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> Mined:
+    """The lines of recurring templates.
 
-def _hopeless(texts: DataFrame, places: DataFrame, depth: int, alike: float) -> DataFrame:
-    """(leaf, masked): texts that too few documents can follow.
+    1. A leaf of the tree holds the lines of one length and beginning.  Leaves that too few documents reach are left out.
+    2. Equal lines of a leaf, words with a digit masked, are one text; it has `docs` documents.
+    3. Fields: the support of a word at a place is the sum of docs over the leaf's texts that have it there.  A text's words in order
+       of support, the leading ones first, give a chain of templates: one for each level, which keeps the words of that support or more
+       and has fields elsewhere.  Words that a template fixes have at least its documents, so
+       texts that differ in fields only meet at the level of its rarest fixed word.
+    4. A template recurs if the texts that have it in their chain stand in enough distinct documents: `least_docs` where it keeps
+       the share `alike` of the words, docs_needed() where it keeps NEAR.  A text goes to the recurring template with
+       most documents (the longest of equals, then the greatest of hashes).
 
-    A follower shares `least` words beyond the leaf's common ones with its seed, so a seed has at most as many documents as its words have
-    together, each word at its place, divided by `least`.
-    """
-    words = lambda df, *keys: df.select(*keys, F.posexplode(F.split("masked", " ")).alias("j", "w")).filter(F.col("j") >= depth)
-    known = words(places, "leaf", "i", "k").distinct().groupBy("leaf", "j", "w").agg(F.count("*").alias("docs"))
-    most = words(texts, "leaf", "masked", "need").join(known, ["leaf", "j", "w"]).groupBy("leaf", "masked", "need").agg(F.sum("docs").alias("docs"), F.count("*").alias("more"))
-    least = F.ceil((F.col("more") + depth) * alike - 1e-6) - depth
-    return most.filter((least > 0) & (F.col("docs") < F.col("need") * least)).select("leaf", "masked")
-
-
-def _grouped(lines: DataFrame, depth: int, alike: float) -> DataFrame:
-    """(leaf, masked, seed): the texts of lines (i, k, leaf, masked, need) that follow a template in `need` documents or more."""
-    places = staged(lines.select("leaf", "masked", "need", "i", "k").distinct(), "places")
-    texts = staged(places.groupBy("leaf", "masked", "need").agg(F.count("*").alias("docs")).withColumn("open", F.lit(True)), "texts")
-    out, width = None, 1
-    rank = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("masked")))
-    while texts.filter("open").limit(1).count():
-        tried = staged(texts.filter("open").withColumn("rank", rank).filter(F.col("rank") <= width).select("leaf", F.col("masked").alias("seed"), "rank"), "tried")
-        pairs = staged(texts.select("leaf", "masked", "need").join(tried, "leaf").filter(_follows("masked", "seed", alike)), "pairs")
-
-        def enough(found: DataFrame) -> DataFrame:
-            docs = found.join(places.select("leaf", "masked", "i", "k"), ["leaf", "masked"]).select("leaf", "seed", "rank", "need", "i", "k").distinct()
-            return staged(docs.groupBy("leaf", "seed", "rank", "need").agg(F.count("*").alias("docs")).filter("docs >= need").select("leaf", "seed", "rank"), "enough")
-
-        def first(seeds: DataFrame) -> DataFrame:
-            """The first of the seeds that a text follows."""
-            best = pairs.join(seeds, ["leaf", "seed", "rank"]).groupBy("leaf", "masked", "need").agg(F.min(F.struct("rank", "seed")).alias("s"))
-            return best.select("leaf", "masked", "need", "s.seed", "s.rank")
-
-        able = enough(pairs)
-        good = able if width == 1 else enough(first(able))  # those that still have enough once each text follows one
-        hit = staged(first(good).select("leaf", "masked", "seed"), "hit")
-        out = hit if out is None else out.union(hit)
-        failed = tried.join(able, ["leaf", "seed"], "left_anti").select("leaf", F.col("seed").alias("masked"), F.lit(True).alias("failed"))
-        left = staged(places.join(hit, ["leaf", "masked"], "left_anti"), "places")
-        rest = texts.join(hit, ["leaf", "masked"], "left_anti").join(_busy(left), "leaf", "left_semi").join(failed, ["leaf", "masked"], "left")
-        rest = rest.select("leaf", "masked", "need", "docs", (F.col("open") & F.col("failed").isNull()).alias("open"))
-        if width == 1:
-            rest = staged(rest, "texts")
-            no = _hopeless(rest.filter("open"), left.join(rest.select("leaf").distinct(), "leaf", "left_semi"), depth, alike).withColumn("no", F.lit(True))
-            rest = rest.join(no, ["leaf", "masked"], "left").select("leaf", "masked", "need", "docs", (F.col("open") & F.col("no").isNull()).alias("open"))
-        going = rest.join(rest.filter("open").select("leaf").distinct(), "leaf", "left_semi")
-        new = staged(going, "texts")
-        for old in (places, texts, tried, pairs):
-            discard(old)
-        places, texts, width = left, new, width * SEEDS
-    return out if out is not None else texts.select("leaf", "masked", F.col("masked").alias("seed"))
-
-
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, alike: float = ALIKE) -> DataFrame:
-    """(i, k, at, leaf, seed, masked): the lines that follow a recurring template.
-
-    A leaf of the tree holds the lines of one length and beginning.  Its lines seed templates, those in most documents first (the
-    greatest of equals); lines with at least the share `alike` of their words equal to the seed's at the same place follow it.  A template
-    recurs if the lines that follow stand in `least_docs` documents.  Of the lines left, near-equal ones (share NEAR) recur in
-    docs_needed() documents, which falls with length, to 2 at 50 words.
-
-    A seed that fails is set aside as a seed only: its line and those that follow it may follow others.  Each round tries the
-    next seeds of every leaf, SEEDS times as many as the one before, without those that word counts rule out.
+    Leaves where every text has enough documents of its own need no third step.  t and seed are hashes of 64 and 128 bits within a leaf.
     """
-    lines = parsed(docs, id_col, text_col, depth)
-    strict = docs_needed(F.col("n"), least_docs)
-    rest = staged(lines.join(_busy(lines.withColumn("need", strict)), "leaf"), "lines")
-    loose = rest.withColumn("need", F.lit(least_docs))
-    found = _grouped(loose.join(_busy(loose), "leaf", "left_semi"), depth, alike)
-    near = rest.join(found, ["leaf", "masked"], "left_anti").withColumn("need", strict)
-    near = staged(near.join(_busy(near), "leaf", "left_semi"), "near")
-    found = found.union(_grouped(near, depth, max(alike, NEAR)))
-    return rest.join(found, ["leaf", "masked"]).select("i", "k", "at", "leaf", "seed", "masked")
-
-
-def templates(lines: DataFrame) -> DataFrame:
-    """(leaf, seed, template, n_lines): the seed with FIELD wherever lines of recurring() differ from it."""
-    both = F.zip_with(F.split("masked", " "), F.split("seed", " "), lambda a, b: a == b)
-    odd = F.filter(F.transform(both, lambda same, j: F.when(~same, j)), lambda x: x.isNotNull())
-    varies = lines.select("leaf", "seed", F.explode(odd).alias("j")).groupBy("leaf", "seed").agg(F.collect_set("j").alias("js"))
-    n = lines.groupBy("leaf", "seed").agg(F.count("*").alias("n_lines")).join(varies, ["leaf", "seed"], "left")
-    js = F.coalesce("js", F.array().cast("array<int>"))
-    made = F.array_join(F.transform(F.split("seed", " "), lambda w, j: F.when(F.array_contains(js, j), FIELD).otherwise(w)), " ")
-    return n.select("leaf", "seed", made.alias("template"), "n_lines")
+    lines = parsed(docs, id_col, text_col, depth, least_docs)
+    busy = lines.select("leaf", "need", "i", "k").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs")).filter("docs >= need").select("leaf")
+    met = lines.join(small(staged(busy, "busy")), "leaf").select("i", "k", "at", "leaf", "n", "need", _masked(F.col("line")).alias("masked"))
+    rest = staged(met.withColumn("t", F.xxhash64("masked")), "lines")
+    texts = staged(
+        rest.select("leaf", "t", "masked", "n", "need", "i", "k").distinct().groupBy("leaf", "t", "masked", "n", "need").agg(F.count("*").alias("docs")), "texts"
+    )
+    undecided = staged(texts.filter("docs < need").select("leaf").distinct(), "open")
+    undecided = small(undecided)
+
+    body = texts.join(undecided, "leaf", "left_semi").select("leaf", "t", "n", "need", "docs", F.posexplode(F.split("masked", " ")).alias("j", "w"))
+    words = body.filter(F.col("j") >= depth).withColumn("w", F.xxhash64("w", "j"))
+    support = words.groupBy("leaf", "need", "w").agg(F.sum("docs").alias("s")).filter("s >= need").select("leaf", "w", "s")
+    ranked = staged(words.join(support, ["leaf", "w"]), "ranked")
+
+    least = lambda share: F.ceil(F.col("n") * share - 1e-6)
+    chain = W.partitionBy("leaf", "t").orderBy(F.desc("s")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    steps = ranked.select(
+        "leaf", "t", "n", "need", "docs", "s", (F.count("*").over(chain) + depth).alias("m"), F.bit_xor("w").over(chain).alias("x"), F.bit_xor(F.xxhash64("w")).over(chain).alias("y")
+    ).filter(F.col("m") >= least(alike))
+    steps = steps.dropDuplicates(["leaf", "t", "s"]).withColumn("enough", F.when(F.col("m") >= least(max(alike, NEAR)), F.col("need")).otherwise(F.lit(least_docs)))
+    short = texts.join(undecided, "leaf", "left_semi").filter(F.col("n") <= depth)  # nothing beyond the leading words
+    steps = steps.unionByName(short.select("leaf", "t", "n", "need", "docs", *(F.lit(0).cast("long").alias(c) for c in ("s", "x", "y")), F.col("n").cast("long").alias("m"), F.col("need").alias("enough")))
+    steps = staged(steps.withColumn("seed", F.struct("x", "y")).drop("x", "y"), "steps")
+
+    totals = staged(steps.groupBy("leaf", "seed", "m", "enough").agg(F.max("docs").alias("one"), F.sum("docs").alias("all")).filter(F.col("all") >= F.col("enough")), "totals")
+    unsure = steps.join(totals.filter(F.col("one") < F.col("enough")), ["leaf", "seed", "m", "enough"], "left_semi")
+    places = unsure.join(rest.select("leaf", "t", "i", "k").distinct(), ["leaf", "t"]).select("leaf", "seed", "m", "enough", "i", "k").distinct()
+    counted = places.groupBy("leaf", "seed", "m", "enough").agg(F.count("*").alias("docs")).filter(F.col("docs") >= F.col("enough")).drop("docs")
+    sure = totals.filter(F.col("one") >= F.col("enough")).select("leaf", "seed", "m", "enough")
+    good = totals.join(sure.unionByName(counted), ["leaf", "seed", "m", "enough"], "left_semi")
+    best = steps.join(good, ["leaf", "seed", "m", "enough"]).groupBy("leaf", "t").agg(F.max(F.struct("all", "m", "seed", "s")).alias("b"))
+    closed = texts.join(undecided, "leaf", "left_anti").select("leaf", "t", F.struct(F.col("t").alias("x"), F.col("t").alias("y")).alias("seed"), F.lit(0).cast("long").alias("level"))
+    found = closed.unionByName(best.select("leaf", "t", "b.seed", F.col("b.s").alias("level")))
+    return Mined(rest, texts, ranked, staged(found, "found"))
+
+
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(i, k, at, leaf, seed): the lines of recurring templates (mined()), which leaf and seed name."""
+    known = mined(docs, id_col, text_col, **how)
+    return known.lines.join(small(known.found.drop("level")), ["leaf", "t"]).select("i", "k", "at", "leaf", "seed")
+
+
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, **how) -> DataFrame:
+    """(leaf, seed, template, n_lines) for each recurring template: its words, with FIELD for its fields, and its lines."""
+    known = mined(docs, id_col, text_col, depth=depth, **how)
+    lines = known.lines.join(known.found, ["leaf", "t"]).groupBy("leaf", "seed").agg(F.count("*").alias("n_lines"))
+    one = known.found.groupBy("leaf", "seed").agg(F.min(F.struct("t", "level")).alias("o")).select("leaf", "seed", "o.t", "o.level")
+    kept = known.ranked.join(one, ["leaf", "t"]).filter(F.col("s") >= F.col("level")).groupBy("leaf", "t").agg(F.collect_set("j").alias("js"))
+    both = one.join(known.texts.select("leaf", "t", "masked"), ["leaf", "t"]).join(kept, ["leaf", "t"], "left")
+    fixed = lambda j: (j < depth) | (F.col("level") == 0) | F.coalesce(F.array_contains("js", j), F.lit(False))
+    made = F.array_join(F.transform(F.split("masked", " "), lambda w, j: F.when(fixed(j), w).otherwise(FIELD)), " ")
+    return both.select("leaf", "seed", made.alias("template")).join(lines, ["leaf", "seed"])
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = True, **how) -> DataFrame:
@@ -141,7 +131,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = recurring(docs, id_col, text_col, **how)
     if keep_first:
         first = hit.groupBy("leaf", "seed").agg(F.min(F.struct("i", "k")).alias("first"))
-        hit = hit.join(first, ["leaf", "seed"]).filter(F.struct("i", "k") != F.col("first"))
+        hit = hit.join(small(staged(first, "first")), ["leaf", "seed"]).filter(F.struct("i", "k") != F.col("first"))
     return hit.groupBy("i", "k").agg(F.collect_set("at").alias("gone"))
 
 
@@ -149,16 +139,15 @@ def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with text_col without the dropped lines, and a new last column: how many were dropped.
 
     Lines are parted by \\n; lines without a word always stay.  A null text stays null, an empty one
-    empty.  Rows that repeat an id and text count as one document and get the same text.
+    empty.  Rows that repeat an id and text count as one document and get the same text.  The new column is `lines_dropped`, with
+    underscores in front if docs has that name in any case.
     """
-    name = "lines_dropped"
-    while name in docs.columns:
-        name = f"_{name}"
+    (name,) = fresh(docs, "lines_dropped")
     gone = dropped_lines(docs, id_col, text_col, **how).withColumnsRenamed({"gone": name})
     both = with_key(docs, gone, "left", id_col, text_col)
     text, places = F.col(f"`{text_col}`"), F.col(f"`{name}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, j: ~F.array_contains(places, j)), "\n")
-    return both.withColumns({text_col: F.when(places.isNull(), text).otherwise(left), name: F.coalesce(F.size(places), F.lit(0))}).select(*docs.columns, name)
+    return both.withColumns({text_col: F.when(places.isNull(), text).otherwise(left), name: F.coalesce(F.size(places), F.lit(0))}).select(*(f"`{c}`" for c in docs.columns), name)
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
