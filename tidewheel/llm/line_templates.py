@@ -158,3 +158,36 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, place, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+  FROM (SELECT doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM d)),
+m AS (SELECT *, len(w) AS n, list_slice(w, 1, 4) AS head, least(10, greatest(2, 10 - floor((len(w) - 10) / 5))) AS need FROM l WHERE len(w) > 0),
+busy AS (SELECT n, head FROM m GROUP BY n, head, need HAVING count(DISTINCT doc_id) >= need),
+texts AS (SELECT w, n, head, need, count(DISTINCT doc_id) AS docs FROM m SEMI JOIN busy USING (n, head) GROUP BY ALL),
+undecided AS (SELECT DISTINCT n, head FROM texts WHERE docs < need),
+body AS (SELECT w, n, head, need, docs, unnest(range(5, n + 1)) AS j FROM texts SEMI JOIN undecided USING (n, head)),
+words AS (SELECT *, w[j] AS x FROM body),
+support AS (SELECT n, head, j, x, sum(docs) AS s FROM words GROUP BY n, head, need, j, x HAVING s >= need),
+ranked AS (SELECT w, n, head, need, docs, j, x, s FROM words JOIN support USING (n, head, j, x)),
+levels AS (SELECT DISTINCT w, s AS level FROM ranked),
+steps AS (
+  SELECT w, n, head, need, docs, count(*) + 4 AS m, list(struct_pack(j := j, x := x) ORDER BY j) AS seed FROM ranked JOIN levels USING (w) WHERE s >= level GROUP BY w, n, head, need, docs, level
+  HAVING 10 * m >= 7 * n
+  UNION ALL SELECT w, n, head, need, docs, n, [] FROM texts SEMI JOIN undecided USING (n, head) WHERE n <= 4),
+good AS (
+  SELECT n, head, seed, m FROM (SELECT s.n, s.head, s.seed, s.m, CASE WHEN s.n <= 4 OR 10 * s.m >= 9 * s.n THEN s.need ELSE 10 END AS enough, doc_id FROM steps s JOIN m ON m.w = s.w)
+  GROUP BY n, head, seed, m, enough HAVING count(DISTINCT doc_id) >= enough),
+ranks AS (SELECT w, steps.n, steps.head, seed, m, sum(docs) OVER (PARTITION BY steps.n, steps.head, seed) AS total FROM steps SEMI JOIN good USING (n, head, seed, m)),
+found AS (
+  SELECT w, n, head, arg_max(seed, (total, m)) AS seed FROM ranks GROUP BY ALL
+  UNION ALL SELECT w, n, head, list_transform(w, lambda x, j: struct_pack(j := j, x := x)) FROM texts ANTI JOIN undecided USING (n, head)),
+hit AS (SELECT m.doc_id, m.place, min(m.doc_id) OVER (PARTITION BY m.n, m.head, f.seed) AS first FROM m JOIN found f ON m.w = f.w),
+gone AS (SELECT doc_id, list(place) AS gone FROM hit WHERE doc_id <> first GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, j: NOT list_contains(gone, j - 1)), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL twins of those that SQL can express."""
 
 from .decontaminate import op8_decontamination
-from .line_templates import op7_line_templates
+from .line_templates import OP7_SQL, op7_line_templates
 from .lm_score import op10_lm_scores
 from .minhash import op9_near_duplicates
 from .packing import op1_packing
@@ -53,4 +53,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-ORACLE = {"op3_url_lists": OP3_SQL, "op4_tool_calls": OP4_SQL, "op6_warc": OP6_SQL, "op8_decontamination": OP8_SQL}
+ORACLE = {"op3_url_lists": OP3_SQL, "op4_tool_calls": OP4_SQL, "op6_warc": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_decontamination": OP8_SQL}
