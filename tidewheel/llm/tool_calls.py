@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, staged
 
-TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 #: What the query's two tools take.
 SCHEMAS = {
     "search": {"properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 60}}, "required": ["query", "limit"]},
@@ -18,36 +19,71 @@ SCHEMAS = {
 }
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def read(arguments: str | None):
+    """The value of JSON arguments; ValueError if they are none, hold NaN or infinities, or are nested too deeply to read."""
+    try:
+        return json.loads(arguments or "", parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+
+
+def _is(x, kind: str) -> bool:
+    return isinstance(x, TYPES[kind]) and (kind == "boolean" or not isinstance(x, bool))
+
+
+def _fault(x, rule: dict, path: str) -> str | None:
+    """The first fault of a value: its own type, choice, length and range before those inside it, in order of names."""
+    kinds = rule.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(x, k) for k in kinds):
+        return f"type of {path}" if path else "not an object"
+    if "enum" in rule and not any(x == y and isinstance(x, bool) == isinstance(y, bool) for y in rule["enum"]):
+        return f"choice of {path}"
+    if isinstance(x, str | list):
+        low, high = ("minLength", "maxLength") if isinstance(x, str) else ("minItems", "maxItems")
+        if not rule.get(low, 0) <= len(x) <= rule.get(high, len(x)):
+            return f"length of {path}"
+    if isinstance(x, int | float) and not isinstance(x, bool) and not rule.get("minimum", x) <= x <= rule.get("maximum", x):
+        return f"range of {path}"
+    if isinstance(x, dict) and ("properties" in rule or "required" in rule):
+        at = f"{path}." if path else ""
+        for name in sorted(rule.get("required", [])):
+            if name not in x:
+                return f"missing {at}{name}"
+        for name in sorted(x):
+            inner = rule.get("properties", {}).get(name)
+            if inner is None:
+                if not rule.get("additionalProperties", False):
+                    return f"unexpected {at}{name}"
+            elif found := _fault(x[name], inner, at + name):
+                return found
+    if isinstance(x, list) and "items" in rule:
+        return next((found for j, y in enumerate(x) if (found := _fault(y, rule["items"], f"{path}[{j}]"))), None)
+    return None
+
+
 def faults(arguments: str | None, schema: dict | None) -> str | None:
-    """What is wrong with a call's arguments, the first fault in order of names; None if nothing is."""
+    """What is wrong with a call's arguments, the first fault in order of names; None if nothing is.
+
+    Schemas may use type (one or several), enum, properties, required, additionalProperties (false unless given), items, and bounds of
+    numbers, strings and arrays, at any depth.  Arguments that can't be read, or are nested too deeply for that, are not JSON.
+    """
     if schema is None:
         return "unknown tool"
     try:
-        value = json.loads(arguments or "")
+        return _fault(read(arguments), {"type": "object"} | schema, "")
     except ValueError:
         return "not JSON"
-    if not isinstance(value, dict):
-        return "not an object"
-    for name in sorted(schema.get("required", [])):
-        if name not in value:
-            return f"missing {name}"
-    for name in sorted(value):
-        rule = schema["properties"].get(name)
-        if rule is None:
-            return f"unexpected {name}"
-        x, kind = value[name], rule.get("type")
-        if kind and (not isinstance(x, TYPES[kind]) or (isinstance(x, bool) and kind != "boolean")):
-            return f"type of {name}"
-        if isinstance(x, str) and len(x) < rule.get("minLength", 0):
-            return f"length of {name}"
-        if isinstance(x, int | float) and not isinstance(x, bool) and not rule.get("minimum", x) <= x <= rule.get("maximum", x):
-            return f"range of {name}"
-    return None
 
 
 def canonical(value) -> str:
-    """JSON with sorted names, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted names, no spaces and characters as they are; halves of surrogate pairs, which UTF-8 can't hold, as escapes."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -79,7 +115,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     (conv, call).  Of calls, or of results, that repeat an identifier the first by turn, then by content, counts.
     A result without a call is dropped, a call without a result stays with is_linked false, a call
     whose `after` isn't there starts a chain.  Rows without conv or call are dropped.  The output is sorted by conv, depth,
-    turn and call over range partitions, so that a long conversation is spread.  record: canonical JSON.
+    turn and call over range partitions, so that a long conversation is spread.  record: canonical JSON; arguments that can't be
+    read stay as the string they are.
     """
     one = calls.filter("conv is not null and call is not null").groupBy("conv", "call").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select("conv", "call", "c.*")
     one = staged(one, "calls")
@@ -91,11 +128,11 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
             fault, record = [], []
             for call, name, arguments, after, content, has in zip(*(batch.column(c).to_pylist() for c in ("call", "name", "arguments", "after", "content", "is_linked")), strict=True):
                 fault.append(faults(arguments, schemas.get(name)))
+                rest = {"after": after, "id": call, "name": name, "result": {"content": content} if has else None}
                 try:
-                    given = json.loads(arguments or "")
-                except ValueError:
-                    given = arguments
-                record.append(canonical({"after": after, "arguments": given, "id": call, "name": name, "result": {"content": content} if has else None}))
+                    record.append(canonical(rest | {"arguments": read(arguments)}))
+                except (ValueError, RecursionError):
+                    record.append(canonical(rest | {"arguments": arguments}))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("conv", "call", "turn", "depth", "is_linked")), pa.array(fault, pa.string()), pa.array(record, pa.string())],
                 ["conv", "call", "turn", "depth", "is_linked", "fault", "record"],
