@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 7 * 86400
+from .common import fresh, small, staged
+
+BUCKET_SECONDS, SALT_ROWS = 7 * 86400, 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -41,26 +43,32 @@ def intervals(entries: DataFrame, bucket: int = BUCKET_SECONDS) -> DataFrame:
 def active(captures: DataFrame, entries: DataFrame, bucket: int = BUCKET_SECONDS) -> DataFrame:
     """(url, at, n_lists, matched) for each distinct (url, at): the keys listed at that time.
 
-    captures: (url, at).  Each interval is dealt to the time buckets it touches, up to the last capture, where one
-    of them at most covers any instant; a bucket's entries and captures of one key are then put in order of time and each
-    capture takes the state of the last entry at or before it.  A key that holds a third of all rows
-    is spread over its buckets.
+    captures: (url, at).  Only keys that an entry names are looked up.  Captures and intervals of one key meet in time
+    buckets: those of the bucket's own intervals, and the one that reaches in from before it; of the latter, each key needs one for each bucket
+    that has captures.  In a bucket both are put in order of time and each capture takes the last interval that starts
+    at or before it.  Buckets of a key with more than SALT_ROWS captures are split, and their intervals copied to each piece; so a
+    key that holds a third of all rows is spread, whether its captures are spread over time or not.
     """
     asked = captures.filter("url is not null and at is not null").distinct()
-    keyed = asked.select("url", "at", F.explode(F.array_distinct(keys_of(F.col("url")))).alias("key")).withColumn("b", F.floor(F.unix_timestamp("at") / bucket))
-    met = keyed.select("key", "b").distinct()
-    spans = intervals(entries, bucket).withColumns({"b0": F.floor(F.unix_timestamp("since") / bucket), "b1": F.floor(F.unix_timestamp("until") / bucket)})
-    # the state a bucket starts with: of the intervals that reach in from before it, there is one
-    own = spans.select("key", F.col("b0").alias("b"), F.col("since").alias("at"), "listed")
-    last = keyed.agg(F.max("b").alias("m")).first().m
-    later = spans.filter("listed").withColumn("b1", F.coalesce("b1", F.lit(last))).filter("b1 > b0")
-    carried = later.select("key", F.explode(F.sequence(F.col("b0") + 1, F.col("b1"))).alias("b"), F.col("b0"), "listed")
-    carried = carried.join(met, ["key", "b"], "left_semi").select("key", "b", F.timestamp_seconds(F.col("b") * bucket - 1).alias("at"), "listed")
-    rows = own.unionByName(carried).withColumns({"url": F.lit(None).cast("string"), "entry": F.lit(1)}).unionByName(
-        keyed.withColumns({"listed": F.lit(None).cast("boolean"), "entry": F.lit(0)})
-    )
-    w = W.partitionBy("key", "b").orderBy("at", F.desc("entry")).rowsBetween(W.unboundedPreceding, 0)
-    state = rows.withColumn("now", F.last("listed", ignorenulls=True).over(w)).filter("entry = 0 and now")
+    spans = staged(intervals(entries, bucket).withColumn("b", F.floor(F.unix_timestamp("since") / bucket)), "intervals")
+    listed = small(staged(spans.select("key").distinct(), "keys"))
+    keyed = asked.select("url", "at", F.explode(F.array_distinct(keys_of(F.col("url")))).alias("key")).join(listed, "key", "left_semi")
+    keyed = staged(keyed.withColumn("b", F.floor(F.unix_timestamp("at") / bucket)), "asked")
+    met = keyed.groupBy("key", "b").agg(F.count("*").alias("n"))
+    interval = F.struct("since", "until", "listed")
+    last = spans.groupBy("key", "b").agg(F.max(interval).alias("last")).withColumn("n", F.lit(None).cast("long"))
+    before = W.partitionBy("key").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    both = met.withColumn("last", F.lit(None).cast(last.schema["last"].dataType)).unionByName(last).groupBy("key", "b").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+    reach = staged(both.withColumn("x", F.last("last", ignorenulls=True).over(before)).filter("n is not null").select("key", "b", "n", "x"), "reach")
+    hot = small(staged(reach.filter(F.col("n") > SALT_ROWS).select("key", "b", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "hot"))
+    rows = spans.select("key", "b", interval.alias("x")).join(reach.select("key", "b"), ["key", "b"], "left_semi").unionByName(reach.filter("x is not null").select("key", "b", "x"))
+    rows = rows.join(hot, ["key", "b"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    rows = rows.select("key", "b", "salt", "x", F.col("x.since").alias("at"), F.lit(None).cast("string").alias("url"), F.lit(1).alias("entry"))
+    salt = F.pmod(F.xxhash64("url", "at"), F.coalesce("salts", F.lit(1))).cast("int")
+    asks = keyed.join(hot, ["key", "b"], "left").select("key", "b", salt.alias("salt"), F.lit(None).cast(rows.schema["x"].dataType).alias("x"), "at", "url", F.lit(0).alias("entry"))
+    w = W.partitionBy("key", "b", "salt").orderBy("at", F.desc("entry")).rowsBetween(W.unboundedPreceding, 0)
+    state = rows.unionByName(asks).withColumn("x", F.last("x", ignorenulls=True).over(w))
+    state = state.filter((F.col("entry") == 0) & F.col("x.listed") & (F.col("x.until").isNull() | (F.col("at") < F.col("x.until"))))
     return state.groupBy("url", "at").agg(F.count("*").alias("n_lists"), F.max_by("key", F.struct(F.length("key"), "key")).alias("matched"))
 
 
@@ -68,11 +76,14 @@ def filtered(captures: DataFrame, entries: DataFrame, bucket: int = BUCKET_SECON
     """captures with blocked, n_lists and matched, the longest listed key (the greatest of equals).
 
     Rows without url or time, or whose url has no host, match nothing and aren't blocked; rows that repeat are each
-    judged.
+    judged.  Where captures has a name of the new columns, in any case, the new one starts with underscores.
     """
-    found = active(captures.select("url", "at"), entries, bucket).withColumnsRenamed({"url": "hit_url", "at": "hit_at"})
-    both = captures.join(found, (captures["url"] == found.hit_url) & (captures["at"] == found.hit_at), "left")
-    return both.select(*captures.columns, F.col("hit_url").isNotNull().alias("blocked"), F.coalesce("n_lists", F.lit(0)).cast("long").alias("n_lists"), "matched")
+    url, at, n, key, blocked, n_lists, matched = fresh(captures, "hit_url", "hit_at", "hit_n", "hit_key", "blocked", "n_lists", "matched")
+    found = active(captures.select("url", "at"), entries, bucket).toDF(url, at, n, key)
+    both = captures.join(found, (F.col("url") == F.col(url)) & (F.col("at") == F.col(at)), "left")
+    return both.select(
+        *(f"`{c}`" for c in captures.columns), F.col(url).isNotNull().alias(blocked), F.coalesce(n, F.lit(0)).cast("long").alias(n_lists), F.col(key).alias(matched)
+    )
 
 
 def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
