@@ -31,15 +31,24 @@ def _urn(page_id) -> str:
 def planned(pages: DataFrame, id_col: str, url_col: str, body_col: str, least_bytes: int) -> DataFrame:
     """(i, url, body, digest, first): first is the largest id with the same payload, null for that row itself.
 
-    Payloads that occur once need no partner, so only repeated digests are joined: by broadcast up to small()'s bound,
-    else by a shuffle.
+    Payloads that occur once need no partner, so only repeated digests are joined: by broadcast up to small()'s bound (28-byte
+    rows, so 6 MB), else by a shuffle.  Of several rows with the largest id and the payload, one with the greatest url is the
+    response, and the others revisit it.
     """
     i, body = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{body_col}`"), F.lit(""))
-    rows = pages.select(i.alias("i"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("i").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    both = rows.join(small(staged(first, "repeated")), "digest", "left")
-    alone = (F.octet_length("body") < least_bytes) | F.col("i").isNull() | F.col("first").isNull() | (F.col("i") == F.col("first"))
-    return both.withColumn("first", F.when(~alone, F.col("first")))
+    rows = pages.select(i.alias("i"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), body.alias("body"), F.unhex(F.sha1(body)).alias("digest"))
+    each = rows.groupBy("digest", "i").agg(F.count("*").alias("n"))
+    first = each.groupBy("digest").agg(F.max(F.struct("i", "n")).alias("f"), F.sum("n").alias("n")).filter("n > 1")
+    first = staged(first.select("digest", F.col("f.i").alias("first"), (F.col("f.i").isNotNull() & (F.col("f.n") > 1)).alias("tied")), "repeated")
+    both = rows.join(small(first), "digest", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) & (F.col("i") == F.col("first")))
+    alone = (F.octet_length("body") < least_bytes) | F.col("i").isNull() | F.col("first").isNull()
+    plain = both.withColumn("first", F.when(~alone & (F.col("i") != F.col("first")), F.col("first")))
+    if not first.filter("tied").limit(1).count():
+        return plain.drop("tied")
+    same = both.filter("tied").groupBy("i", "url", "body", "digest").agg(F.count("*").alias("n"))
+    ties = same.join(same.groupBy("digest").agg(F.max("url").alias("top")), "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    response = (F.octet_length("body") < least_bytes) | ((F.col("url") == F.col("top")) & (F.col("copy") == 1))
+    return plain.filter(~F.col("tied") | F.col("tied").isNull()).drop("tied").unionByName(ties.select("i", "url", "body", "digest", F.when(~response, F.col("i")).alias("first")))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0) -> None:
@@ -131,14 +140,15 @@ def reachable(found: DataFrame) -> DataFrame:
             return now.filter("on").select("file", "at")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, damaged: bool = False) -> DataFrame:
     """The records of all files under folder: those on the chain from each file's start, whose payload is intact.
 
-    A magic string inside a payload may look like a record; no chain from the start leads to it.  An
-    empty folder has no records.  A file must fit into a task, as those of write_archives() do.
+    With `damaged`, the others on the chain are returned instead, for a report.  A magic string inside a payload may look like a
+    record; no chain from the start leads to it.  An empty folder has no records.  A file must fit into a task, as those of
+    write_archives() do.
     """
     found = staged(candidates(spark, folder), "candidates")
-    return found.join(reachable(found), ["file", "at"], "left_semi").filter("intact")
+    return found.join(reachable(found), ["file", "at"], "left_semi").filter(F.col("intact") != damaged)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
