@@ -145,17 +145,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             ).alias("score"),
         ),
     )
-    name = "quality"
-    while name in docs.columns:
-        name = f"_{name}"
+    (name,) = fresh(docs, "quality")
     with_kept = let(found, lambda q: q.withField("kept", ~q.base_failed & F.coalesce(q.score >= least, F.lit(False))))
-    return marked.withColumn(name, with_kept).select(*docs.columns, name)
+    return marked.withColumn(name, with_kept).select(*(f"`{c}`" for c in docs.columns), name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject.  Columns as in docs."""
     out = scored(docs, labels)
-    return out.filter(F.col(f"`{out.columns[-1]}`").kept).select(*docs.columns)
+    return out.filter(F.col(f"`{out.columns[-1]}`").kept).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
