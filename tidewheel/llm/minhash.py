@@ -152,6 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = sized.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     dealt = (
         rows.join(placed, ["i", "k"])
+        .dropDuplicates(["i", "k"])  # rows that repeat an id and text come once
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "sig", "text")
     )
@@ -168,7 +169,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     from .common import with_key
 
     found = near_duplicates(docs, id_col, text_col, **how).filter("i = component").select("i", "k").distinct()
-    return with_key(docs, found, "left_semi", id_col, text_col).select(*docs.columns)
+    return with_key(docs, found, "left_semi", id_col, text_col).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
