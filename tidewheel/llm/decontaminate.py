@@ -125,7 +125,7 @@ def is_contaminated() -> Column:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows.  Columns as in docs."""
     bad = overlaps(docs, items).filter(is_contaminated()).select("i", "k").distinct()
-    return with_key(docs, bad, "left_anti").select(*docs.columns)
+    return with_key(docs, bad, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
