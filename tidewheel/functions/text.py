@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ FOOTERS = [
     r"(?i)\n*RSVP (?:at|on) (?:lu\.ma|luma\.com)\S*\s*$",
     r"(?i)\n*Learn more (?:at|on) Meetup\S*\s*$",
 ]
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 # Category rules in order, on lower-case text.
 CATEGORY_RULES = [
     ("volunteering", r"\b(volunteer(?:s|ing)?|work ?day|clean-?up|mutual aid|service day)\b"),
@@ -40,6 +40,31 @@ CATEGORY_RULES = [
     ("nightlife", r"\b(party|dance party|late night|karaoke|trivia night|bar crawl|club night)\b"),
     ("community", r"\b(community|meetup|gathering|social|neighbors?|potluck|celebration|festival|block party|circle|assembly)\b"),
 ]
+# Source tags that name a category.
+TAG_CATEGORIES = {
+    "music": "music", "concert": "music", "arts": "arts", "art": "arts", "theater": "arts", "theatre": "arts", "dance": "arts", "food": "food", "dining": "food",
+    "community": "community", "education": "education", "class": "education", "workshop": "education", "outdoors": "outdoors", "hiking": "outdoors",
+    "family": "family", "kids": "family", "civic": "civic", "government": "civic", "politics": "civic", "tech": "tech", "technology": "tech",
+    "wellness": "wellness", "health": "wellness", "yoga": "wellness", "spirituality": "spirituality", "religion": "spirituality", "markets": "markets",
+    "market": "markets", "volunteering": "volunteering", "volunteer": "volunteering", "sports": "sports", "fitness": "sports", "film": "film", "movies": "film",
+    "literary": "literary", "books": "literary", "business": "business", "networking": "business", "sustainability": "sustainability",
+    "environment": "sustainability", "nightlife": "nightlife", "party": "nightlife",
+}
+
+
+def _decomposed() -> tuple[str, str]:
+    """Characters whose compatibility decomposition is one plain letter or digit and marks, and these; marks alone have none."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    plain = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if x not in marks)
+        if len(base) == 1 and base != c and base.isascii() and base.isalnum():
+            plain[c] = base.lower()
+    return "".join(plain) + "".join(marks), "".join(plain.values())
+
+
+#: For translate() on lower-case text: letters to plain ones, marks to nothing.
+ACCENTED, PLAIN = _decomposed()
 
 
 def redact(text: Column) -> Column:
@@ -84,7 +109,20 @@ def clean_description(text: Column) -> Column:
     return F.when(out != "", out)
 
 
-def categorize(title: Column, body: Column) -> Column:
-    """The first rule that the title meets, else the first that the beginning of the body meets."""
-    rules = lambda c: [F.when(F.lower(c).rlike(pattern), name) for name, pattern in CATEGORY_RULES]
-    return F.coalesce(*rules(title), *rules(F.substring(body, 1, 600)))
+def categorize(title: Column, body: Column, tags: Column | None = None) -> Column:
+    """The first tag that names a category; else the first rule that the title meets, else a tag, else the beginning of the body."""
+    rules = lambda c: F.coalesce(*(F.when(F.lower(c).rlike(pattern), name) for name, pattern in CATEGORY_RULES))
+    if tags is None:
+        return F.coalesce(rules(title), rules(F.substring(body, 1, 600)))
+    named = F.create_map(*(F.lit(x) for pair in TAG_CATEGORIES.items() for x in pair))
+    first = lambda of: F.get(F.array_compact(F.transform(tags, of)), F.lit(0))
+    return F.coalesce(first(lambda t: F.try_element_at(named, F.lower(F.btrim(t)))), rules(title), first(rules), rules(F.substring(body, 1, 600)))
+
+
+def fallback_identity(title: Column, start: Column, place: Column) -> Column:
+    """An identity for listings whose source gives none: hash of title, start and place."""
+    return F.concat(F.lit("h_"), F.substring(F.sha2(F.concat_ws("\0", norm_title(title), start, F.btrim(F.lower(F.coalesce(place, F.lit(""))))), 256), 1, 24))
+
+
+def source_fingerprint(kind: Column, key: Column) -> Column:
+    return F.concat_ws(":", kind, F.lower(F.btrim(key)))

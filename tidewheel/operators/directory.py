@@ -63,15 +63,24 @@ def places(events: DataFrame) -> DataFrame:
     )
 
 
-def map_frame(events: DataFrame, pad: float = 0.01, low: float = 0.05, high: float = 0.95, least: int = 20) -> DataFrame:
-    """Nearest-rank percentiles of both axes, plain bounds below `least` points; ranks from counts by value."""
-    sides = []
+def map_frame(events: DataFrame, pad: float = 0.01, low: float = 0.05, high: float = 0.95, least: int = 20, cell: float = 0.1) -> DataFrame:
+    """Nearest-rank percentiles of both axes, plain bounds below `least` points.
+
+    Points are counted by cells of `cell` degrees first (a few thousand rows on the whole globe), which gives the cell of each rank and the
+    count before it; only these cells' values are then ranked, so no task sorts all values.
+    """
+    one = None
     for axis in ("lat", "lon"):
-        by = events.filter(F.col(axis).isNotNull()).groupBy(F.col(axis).alias("v")).agg(F.count("*").alias("n"))
-        run = by.withColumns({"upto": F.sum("n").over(W.orderBy("v")), "total": F.sum("n").over(W.partitionBy())})
+        values = events.filter(F.col(axis).isNotNull()).select(F.col(axis).alias("v"), F.floor(F.col(axis) / cell).alias("c")).groupBy("c", "v").agg(F.count("*").alias("n"))
+        cells = values.groupBy("c").agg(F.sum("n").alias("n"))
+        run = cells.withColumns({"upto": F.sum("n").over(W.orderBy("c")), "total": F.sum("n").over(W.partitionBy())})
         rank = lambda q: F.when(F.col("total") < least, F.when(F.lit(q) < 0.5, 1).otherwise(F.col("total"))).otherwise(F.floor(F.lit(q) * (F.col("total") - 1)) + 1)
-        sides.append(run.agg(F.min(F.when(F.col("upto") >= rank(low), F.col("v") - pad)).alias(f"{axis}_min"), F.min(F.when(F.col("upto") >= rank(high), F.col("v") + pad)).alias(f"{axis}_max")))
-    return sides[0].crossJoin(sides[1])  # one row each
+        for side, q, sign in (("min", low, -1), ("max", high, 1)):
+            at = run.filter((F.col("upto") >= rank(q)) & (F.col("upto") - F.col("n") < rank(q))).select("c", (rank(q) - F.col("upto") + F.col("n")).alias("rank"))
+            inner = values.join(F.broadcast(at), "c").withColumn("upto", F.sum("n").over(W.partitionBy("c").orderBy("v")))
+            found = inner.filter(F.col("upto") >= F.col("rank")).agg((F.min("v") + sign * pad).alias(f"{axis}_{side}"))
+            one = found if one is None else one.crossJoin(found)  # one row each
+    return one
 
 
 def bucket(at: Column, now: Column, zone: str) -> Column:

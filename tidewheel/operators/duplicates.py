@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,29 +15,50 @@ def url_groups(items: DataFrame) -> DataFrame:
     return items.groupBy(F.lower("url").alias("url")).agg(lead).select("url", "r.*")
 
 
-def exact_groups(items: DataFrame) -> DataFrame:
-    """(id, group_id): items with one URL are one listing, listings with one day and title are one group, named by
-    its first item in order of (starts_at, id)."""
-    by_url = url_groups(items)
-    named = by_url.groupBy("day", "title").agg(F.min_by("id", F.struct("starts_at", "id")).alias("group_id"))
-    of_url = by_url.join(named, ["day", "title"]).select("url", "group_id")
-    return items.select("id", F.lower("url").alias("url")).join(of_url, "url").select("id", "group_id")
+def leads(items: DataFrame) -> DataFrame:
+    """(day, title, o) of the distinct listings: o is the first item's (starts_at, id)."""
+    return url_groups(items).groupBy("day", "title").agg(F.min(F.struct("starts_at", "id")).alias("o"))
 
 
-def prefix_links(items: DataFrame) -> DataFrame:
-    """(group_id, into): for each group of exact_groups() the first earlier one of its day whose title
-    begins the other's or the other way round, both longer than LEAST_TITLE and alike in length.
+def _joined(block: Column) -> Column:
+    """array<struct(title, into)> of a block's titles in order: the title that opened the group each goes to.
+
+    A title goes to the first group whose opening title begins it or the other way round and is alike in length; else it opens one.
+    Titles that join a group open none, so later ones are held against openers only.
+    """
+    alike = lambda a, b: (F.startswith(a, b) | F.startswith(b, a)) & (F.least(F.length(a), F.length(b)) >= LEAST_RATIO * F.greatest(F.length(a), F.length(b)))
+
+    def step(a: Column, x: Column) -> Column:
+        into = F.coalesce(F.get(F.filter(a.openers, lambda t: alike(t, x.title)), F.lit(0)), x.title)
+        return F.struct(
+            F.when(into == x.title, F.array_append(a.openers, x.title)).otherwise(a.openers).alias("openers"),
+            F.array_append(a.out, F.struct(x.title.alias("title"), into.alias("into"))).alias("out"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("openers"), F.array().cast("array<struct<title:string,into:string>>").alias("out"))
+    return F.aggregate(block, start, step, lambda a: a.out)
 
-    Candidates meet by day and the first LEAST_TITLE + 1 characters, which any such pair shares.
+
+def groups(items: DataFrame) -> DataFrame:
+    """(id, group_id): listings of one event, named by the first item in order of (starts_at, id).
+
+    Items with one URL are one listing; listings with one day and title are one group; those of a day whose long titles begin
+    alike join the first such group.  Candidates meet by day and the first LEAST_TITLE + 1 characters, which any such pair shares; a block
+    has a row for each distinct title with that beginning, whatever the number of items.
     """
-    by_url = url_groups(items)
-    lead = by_url.groupBy("day", "title").agg(F.min(F.struct("starts_at", "id")).alias("o")).filter(F.length("title") > LEAST_TITLE)
-    lead = lead.withColumn("head", F.substring("title", 1, LEAST_TITLE + 1))
-    a, b = lead.alias("a"), lead.alias("b")
-    ta, tb = F.col("a.title"), F.col("b.title")
-    alike = (ta.startswith(tb) | tb.startswith(ta)) & (F.least(F.length(ta), F.length(tb)) / F.greatest(F.length(ta), F.length(tb)) >= LEAST_RATIO)
-    met = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.head") == F.col("b.head")) & (F.col("b.o") < F.col("a.o")) & alike)
-    return met.groupBy(F.col("a.o.id").alias("group_id")).agg(F.min("b.o").alias("o")).select("group_id", F.col("o.id").alias("into"))
+    first = leads(items)
+    long = first.filter(F.length("title") > LEAST_TITLE).groupBy("day", F.substring("title", 1, LEAST_TITLE + 1).alias("head"))
+    block = long.agg(F.array_sort(F.collect_list(F.struct("o", "title"))).alias("block"))
+    into = block.select("day", F.explode(_joined(F.col("block"))).alias("x")).select("day", "x.title", "x.into")
+    named = first.select("day", F.col("title").alias("into"), F.col("o.id").alias("group_id"))
+    of_title = first.select("day", "title").join(into, ["day", "title"], "left").withColumn("into", F.coalesce("into", "title")).join(named, ["day", "into"])
+    of_url = url_groups(items).join(of_title, ["day", "title"]).select("url", "group_id")
+    return items.select("id", F.lower("url").alias("url")).join(of_url, "url").select("id", "group_id")
+
+
+def prefix_links(items: DataFrame) -> DataFrame:
+    """(group_id, into): the first item of each day and title that joins another title's group, and that group."""
+    return leads(items).select(F.col("o.id").alias("id")).join(groups(items), "id").filter("id <> group_id").select(F.col("id").alias("group_id"), F.col("group_id").alias("into"))
 
 
 def collapse(items: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,27 +6,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.places import in_box
 from ..functions.text import ACCENTED, PLAIN
 
 
+# Words that don't tell venues apart.
+NOISE = r"^(the|co|colorado|usa|us|\d{5})$"
+
+
 def venue_text(text: Column) -> Column:
-    bare = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.btrim(F.regexp_replace(F.regexp_replace(bare, "&", " and "), "[^a-z0-9]+", " "))
+    """Plain lower-case words, `&` spelt out, without quotes, the state, the country and a postal code."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), "['‘’ʼ]", "")
+    words = F.split(F.regexp_replace(F.regexp_replace(bare, "&", " and "), "[^a-z0-9]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.rlike(NOISE)), " ")
+
+
+def address_key(text: Column) -> Column:
+    """The key that coordinates of a place are kept under."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), "[.,]+", ",")
+    return F.btrim(F.regexp_replace(out, r",\s*,", ","))
 
 
-def venue_match(texts: DataFrame, venues: DataFrame, most_words: int = 6) -> DataFrame:
-    """(id, venue, key): the longest venue key that stands in the text as whole words.
+def venue_match(texts: DataFrame, venues: DataFrame) -> DataFrame:
+    """(id, venue, key): the longest venue key that stands in the text as whole words; of equals that of the least venue.
 
-    Texts (id, text) are cut into runs of up to `most_words` words and joined by equality, instead of every text with every key.
+    venues: venue, name and, if there is one, an array `aliases`.  Texts (id, text) are cut into runs of as many words as some key has and
+    joined by equality, instead of every text with every key.  The numbers of words that keys have come to the driver: at most as many as the
+    longest name has words.
     """
-    keys = venues.select("venue", venue_text(F.col("name")).alias("key")).filter(F.length("key") >= 3)
-    words = F.split(venue_text(F.col("text")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    grams = texts.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("key"))
+    names = F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))) if "aliases" in venues.columns else F.array("name")
+    keys = venues.select("venue", F.explode(F.array_distinct(F.transform(names, venue_text))).alias("key")).filter(F.length("key") >= 3)
+    sizes = [r.n for r in keys.select(F.size(F.split("key", " ")).alias("n")).distinct().orderBy("n").collect()]
+    words = texts.select("id", F.split(venue_text(F.col("text")), " ").alias("w"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = [run(n) for n in sizes]
+    grams = words.select("id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("key"))
     best = F.max_by(F.struct("venue", "key"), F.struct(F.length("key"), -F.col("venue")))
     return grams.join(keys, "key").groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
+def relabelled(events: DataFrame, zone: str) -> DataFrame:
+    """Timed events with a place in the region get its zone; their instant stays.  Events: mode, all_day, tz, lat, lon, tz_inferred."""
+    here = (F.col("mode") != "virtual") & ~F.coalesce("all_day", F.lit(False)) & F.coalesce(F.col("tz") != zone, F.lit(True)) & in_box(F.col("lat"), F.col("lon"))
+    here = F.coalesce(here, F.lit(False))
+    return events.withColumns({"tz": F.when(here, zone).otherwise(F.col("tz")), "tz_inferred": F.when(here, True).otherwise(F.col("tz_inferred"))})
+
+
+def without_stray_pins(events: DataFrame) -> DataFrame:
+    """Pins outside the region go; the words of the place stay."""
+    keep = in_box(F.col("lat"), F.col("lon"))
+    return events.withColumns({c: F.when(keep, F.col(c)) for c in ("lat", "lon")})
+
+
+def placed(events: DataFrame, venues: DataFrame, cache: DataFrame, town: str, region: str) -> DataFrame:
+    """Events with what the gazetteer and the cache of coordinates know of their place.
+
+    events: id, mode, name, street, locality, region, lat, lon, precision, hint (the venue of a source that has one).  venues: venue, name,
+    aliases, street, locality, region, lat, lon, precision.  cache: key (address_key), lat, lon, precision (exact or city).
+
+    A venue found in the place's words gives its name and fills what is blank.  If none is, and the event states a bare room (no street,
+    town or pin), the venue that the hint names gives all, with the room after its name.  Without a pin the cache gives one; that of a
+    town marks the place as such.  Words that name the default town stand for it.
+    """
+    stray = without_stray_pins(events)
+    some = F.coalesce("name", "street", "locality").isNotNull() & (F.col("mode") != "virtual")
+    rows = stray.withColumn("_words", F.when(some, F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in ("name", "street", "locality")))))
+    known = venues.select("venue", F.struct("name", "street", "locality", "region", "lat", "lon", "precision").alias("v"))
+    found = lambda text, name: venue_match(rows.select("id", text.alias("text")).filter("text <> ''"), venues).join(known, "venue").select("id", F.col("v").alias(name))
+    out = rows.join(found(F.col("_words"), "_v"), "id", "left").join(found(F.when(some, F.col("hint")), "_h"), "id", "left")
+    out = out.withColumn("_key", address_key(F.col("_words"))).join(cache.select(F.col("key").alias("_key"), F.struct("lat", "lon", "precision").alias("_c")), "_key", "left")
+    c = F.col
+    bare = c("_v").isNull() & c("_h").isNotNull() & c("street").isNull() & c("locality").isNull() & c("lat").isNull()
+    room = F.when(c("name").isNotNull() & (c("name") != c("_h.name")), F.concat(c("_h.name"), F.lit(", "), c("name"))).otherwise(c("_h.name"))
+    fill = lambda n: F.when(bare, c(f"_h.{n}")).otherwise(F.coalesce(n, F.when(c("_v").isNotNull(), c(f"_v.{n}"))))
+    out = out.select(
+        *(x for x in events.columns if x not in ("name", "street", "locality", "region", "lat", "lon", "precision")), "_words", "_c", bare.alias("_bare"),
+        F.when(bare, room).otherwise(F.coalesce("_v.name", "name")).alias("name"), *(fill(n).alias(n) for n in ("street", "locality", "region", "lat", "lon")),
+        F.when(c("_v").isNotNull(), F.when(c("_v.precision") == "exact", c("precision")).otherwise("neighborhood")).otherwise(c("precision")).alias("precision"),
+    )
+    pinned = c("lat").isNull() & c("_c.lat").isNotNull() & ~c("_bare")
+    out = out.withColumns({"lat": F.when(pinned, c("_c.lat")).otherwise(c("lat")), "lon": F.when(pinned, c("_c.lon")).otherwise(c("lon")), "precision": F.when(pinned & (c("_c.precision") != "exact"), "city").otherwise(c("precision"))})
+    default = c("locality").isNull() & F.coalesce(F.contains(F.lower("_words"), F.lit(town.lower())), F.lit(False))
+    out = out.withColumns({"region": F.when(default, region).otherwise(c("region")), "locality": F.when(default, town).otherwise(c("locality"))})
+    return out.select(*events.columns)
+
+
 def cached(rows: DataFrame, cache: DataFrame, key: str, now: Column, days: int = 7) -> DataFrame:
     """rows with the cached value of their key, null if there is none or it is too old."""
     fresh = cache.filter(F.col("fetched_at") >= now - F.expr(f"interval {days} days"))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Keys in a bucket of create_budget().
+BUCKET = 1 << 16
+
 
 def content_hash(*cols: str) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)), 256)
+    """Hash of the values by name as JSON; a null differs from an empty text, and no value runs into the next."""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
 def decide_missing(complete: Column, ended: Column, in_window: Column, state: Column, cancelled_days: Column, runs: Column, hours: Column, least_runs: int = 2, least_hours: int = 6, keep_days: int = 7) -> Column:
@@ -23,55 +27,128 @@ def decide_missing(complete: Column, ended: Column, in_window: Column, state: Co
     )
 
 
-def plan(ledger: DataFrame, snapshot: DataFrame, keys: list[str], now: Column, complete: Column | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
-    """(keys, action) for each row of either side.
+def plan(ledger: DataFrame, snapshot: DataFrame, now: Column, complete: Column | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
+    """(source, key, action, new_key) for each row of either side; new_key only for rekey.
 
-    Both sides have level (higher is more visible), hash and starts_at; the ledger also state, published, widen_to,
-    missing_runs, missing_hours, cancelled_days.  A row that gets more visible without leave waits, whatever else
-    changed; a removed one comes back as a new one; an unchanged one that isn't cancelled is only touched.
+    Both sides have source, key, level (higher is more visible), hash, title, starts_at and ends_at; the ledger also state,
+    published, from_signal, widen_to, missing_runs, missing_hours, cancelled_days.  A row that gets more visible without leave waits,
+    whatever else changed, if it is published, held, or as visible as its source said; a removed one comes back as a new
+    one; an unchanged one that isn't cancelled is only touched.  Rows of a source that came back under new keys (churn()) are
+    given these.
     """
     complete = F.lit(True) if complete is None else complete
-    l, s = ledger.alias("l"), snapshot.alias("s")
-    both = l.join(s, [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "full_outer")
+    keys = ["source", "key"]
+    missing = ledger.filter("state <> 'removed'").join(snapshot, keys, "left_anti").filter(complete)
+    pairs = churn(missing, snapshot.join(ledger, keys, "left_anti"), ["title", "starts_at"])
+    l = ledger.join(pairs.withColumnRenamed("old_key", "key"), keys, "left").alias("l")
+    s = snapshot.join(pairs.select("source", F.col("new_key").alias("key")), keys, "left_anti").alias("s")
+    both = l.join(s, (F.col("l.source") == F.col("s.source")) & (F.col("l.key") == F.col("s.key")), "full_outer")
     here, there = F.col("l.hash").isNotNull(), F.col("s.hash").isNotNull()
-    widens = (F.col("s.level") > F.col("l.level")) & (F.col("l.published") | (F.col("l.state") == "held")) & F.coalesce(F.col("l.widen_to") < F.col("s.level"), F.lit(True))
+    guarded = F.col("l.published") | (F.col("l.state") == "held") | F.coalesce("l.from_signal", F.lit(False))
+    widens = (F.col("s.level") > F.col("l.level")) & guarded & F.coalesce(F.col("l.widen_to") < F.col("s.level"), F.lit(True))
     same = (F.col("l.level") == F.col("s.level")) & (F.col("l.hash") == F.col("s.hash")) & (F.col("l.state") != "cancelled")
-    start = F.col("l.starts_at")
-    inside = F.lit(True) if window is None else start.between(*window)
-    gone = decide_missing(complete, start < now, inside, F.col("l.state"), F.col("l.cancelled_days"), F.col("l.missing_runs"), F.col("l.missing_hours"))
+    inside = F.lit(True) if window is None else F.col("l.starts_at").between(*window)
+    ended = F.coalesce("l.ends_at", "l.starts_at") < now
+    gone = decide_missing(complete, ended, inside, F.col("l.state"), F.col("l.cancelled_days"), F.col("l.missing_runs"), F.col("l.missing_hours"))
     action = (
-        F.when(~here, "create").when(~there & (F.col("l.state") == "removed"), None).when(~there, gone)
+        F.when(F.col("l.new_key").isNotNull(), "rekey").when(~here, "create").when(~there & (F.col("l.state") == "removed"), None).when(~there, gone)
         .when(widens, "widen-pending").when(F.col("l.state") == "removed", "create").when(same, "touch").otherwise("update")
     )
-    return both.select(*(F.coalesce(f"l.{k}", f"s.{k}").alias(k) for k in keys), action.alias("action")).filter("action is not null")
+    return both.select(*(F.coalesce(f"l.{k}", f"s.{k}").alias(k) for k in keys), action.alias("action"), "l.new_key").filter("action is not null")
 
 
 def churn(missing: DataFrame, fresh: DataFrame, by: list[str], least: int = 5, share: float = 0.8) -> DataFrame:
     """(source, old_key, new_key): rows of a source that came back under new keys.
 
-    Rows pair up one to one by source and `by` in order of key, if a source has at least `least` on both sides
-    and pairs for `share` of the new ones.
+    At most one pair for each value of `by`, the greatest missing key with the least new one, if a source has at least `least` on
+    both sides and pairs for `share` of the new ones.
     """
-    ranked = lambda d: d.withColumn("nth", F.row_number().over(W.partitionBy("source", *by).orderBy("key")))
-    pairs = ranked(missing).withColumnRenamed("key", "old_key").join(ranked(fresh).withColumnRenamed("key", "new_key"), ["source", *by, "nth"])
+    old = missing.groupBy("source", *by).agg(F.max("key").alias("old_key"))
+    pairs = old.join(fresh.groupBy("source", *by).agg(F.min("key").alias("new_key")), ["source", *by])
     count = lambda d, name: d.groupBy("source").agg(F.count("*").alias(name))
     ok = count(missing, "m").join(count(fresh, "f"), "source").join(count(pairs, "p"), "source")
     ok = ok.filter((F.col("m") >= least) & (F.col("f") >= least) & (F.col("p") >= F.ceil(share * F.col("f"))))
     return pairs.join(ok.select("source"), "source", "left_semi").select("source", "old_key", "new_key")
 
 
+# How visible a level is at least where it has a public record, and at most where it has one for guests.
+PUBLIC_LEAST, GUESTS = 3, (1, 3)
+
+
+def applied(ledger: DataFrame, snapshot: DataFrame, planned: DataFrame, now: Column) -> DataFrame:
+    """The next version of the ledger, with what each row's change takes back.
+
+    ledger: source, key, level, hash, title, starts_at, ends_at, state, public_uri, own (its host wrote the public record: taken over, and
+    never deleted), space_uri, missing_since, missing_runs, cancelled_at, last_seen; snapshot: source, key, level, hash, title, starts_at,
+    ends_at, cancelled, own_uri.  withdrawn: public and guests' records to delete.
+    """
+    acts = ledger.join(planned, ["source", "key"], "full_outer").withColumn("at_key", F.coalesce("new_key", "key"))
+    s = snapshot.select("source", F.col("key").alias("at_key"), F.struct(*(c for c in snapshot.columns if c not in ("source", "key"))).alias("s"))
+    rows = acts.join(s, ["source", "at_key"], "left")
+    a, c = F.coalesce("action", F.lit("leave")), F.col
+    take, seen = a.isin("create", "update", "rekey"), a.isin("create", "update", "rekey", "touch", "widen-pending")
+    held, was_out = take & (c("s.level") == 0), c("public_uri").isNotNull() | c("space_uri").isNotNull()
+    cleared = seen | ((a == "cancel") & was_out)
+    new = lambda name: F.when(take, c(f"s.{name}")).otherwise(c(name))
+    own = F.coalesce(F.when(take, c("s.own_uri").isNotNull()).otherwise(c("own")), F.lit(False))
+    public = F.when(take, F.when(c("s.level") >= PUBLIC_LEAST, F.coalesce("s.own_uri", "public_uri", F.concat(F.lit("at://"), "source", F.lit("/"), "at_key")))).when(a != "remove", c("public_uri"))
+    space = F.when(take, F.when(c("s.level").between(*GUESTS), F.concat(F.lit("space://"), "source", F.lit("/"), "at_key"))).when(a != "remove", c("space_uri"))
+    state = F.when(held, "held").when(take, F.when(c("s.cancelled"), "cancelled").otherwise("live")).when(a == "cancel", "cancelled").when(a == "remove", "removed").otherwise(c("state"))
+    ended = F.when(a.isin("update", "rekey") & ~held, F.when(c("s.cancelled"), F.coalesce("cancelled_at", now))).when(a == "cancel", now).otherwise(c("cancelled_at"))
+    out = rows.select(
+        "source", F.when(take, c("at_key")).otherwise(c("key")).alias("key"), *(new(n).alias(n) for n in ("level", "hash", "title", "starts_at", "ends_at")), state.alias("state"),
+        public.alias("public_uri"), space.alias("space_uri"),
+        F.when(~cleared, F.when(a == "missing", F.coalesce("missing_since", now)).otherwise(c("missing_since"))).alias("missing_since"),
+        F.when(cleared, 0).otherwise(F.coalesce("missing_runs", F.lit(0)) + (a == "missing").cast("int")).cast("int").alias("missing_runs"),
+        ended.alias("cancelled_at"), F.when(cleared, now).otherwise(c("last_seen")).alias("last_seen"), c("public_uri").alias("old_public"), c("space_uri").alias("old_space"),
+        (take & (c("level") != c("s.level"))).alias("moved"), own.alias("own"),
+    )
+    gone = F.array_compact(F.array(
+        F.when(c("old_public").isNotNull() & c("public_uri").isNull() & ~c("own"), c("old_public")),
+        F.when(c("old_space").isNotNull() & (c("space_uri").isNull() | c("moved")), c("old_space")),
+    ))
+    return out.withColumn("withdrawn", gone).drop("old_public", "old_space", "moved")
+
+
+def write(version: DataFrame, folder: str) -> None:
+    """A version of the ledger as Parquet by source, for the next run to read."""
+    version.drop("withdrawn").write.mode("errorifexists").partitionBy("source").parquet(folder)
+
+
 def run_counters(planned: DataFrame) -> DataFrame:
-    names = ("create", "update", "touch", "widen-pending", "cancel", "missing", "remove", "leave")
+    names = ("create", "update", "touch", "rekey", "widen-pending", "cancel", "missing", "remove", "leave")
     return planned.groupBy("source").agg(*(F.count_if(F.col("action") == n).alias(n.replace("-", "_")) for n in names))
 
 
 def create_budget(planned: DataFrame, order: list[str], budget: int = 250) -> DataFrame:
-    """Creates of each source in order, those beyond the budget put off to the next run."""
-    nth = F.row_number().over(W.partitionBy("source").orderBy(*order))
-    return planned.filter("action = 'create'").withColumn("nth", nth).withColumn("deferred", F.col("nth") > budget)
+    """Creates of each source in order, those beyond the budget put off to the next run.
+
+    Ranks are found in buckets of keys first, so that no source is sorted as a whole: within a bucket by a window, before it by running
+    sums of the buckets' counts.  `order` is one number that rises with the place.
+    """
+    (key,) = order
+    creates = planned.filter("action = 'create'").withColumn("_b", F.floor(F.col(key) / BUCKET))
+    inner = creates.withColumn("_r", F.row_number().over(W.partitionBy("source", "_b").orderBy(key)))
+    sizes = creates.groupBy("source", "_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("source").orderBy("_b")) - F.col("_n")).drop("_n")
+    nth = (F.col("_r") + F.col("_before")).cast("int")
+    return inner.join(before, ["source", "_b"]).withColumn("nth", nth).drop("_b", "_r", "_before").withColumn("deferred", F.col("nth") > budget)
 
 
 def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """Last write wins for each key."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("r")).select(*keys, "r.*")
+
+
+def pushed(calls: DataFrame) -> DataFrame:
+    """The rows that pushed calls (source, external_id, at, seq, deleted, status, ...) leave: the last write of each key wins.
+
+    A delete keeps what the last write said and sets a tombstone, which reads as a cancelled event; a later write clears it.  A delete of a key
+    that was never written leaves nothing.
+    """
+    keys = ["source", "external_id"]
+    rest = [c for c in calls.columns if c not in (*keys, "at", "seq", "deleted")]
+    order = F.struct("at", "seq")
+    last = calls.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.when(~F.col("deleted"), order)).alias("r"), F.max_by("deleted", order).alias("gone")).filter("r is not null")
+    return last.select(*keys, *(F.when(F.col("gone"), "cancelled").otherwise(F.col("r.status")).alias(c) if c == "status" else F.col(f"r.{c}") for c in rest))

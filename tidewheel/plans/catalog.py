@@ -181,20 +181,42 @@ def excerpt(spark, d):
 _TITLE = f"""array_to_string(list_filter(string_split(trim(regexp_replace(replace(translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: NOT list_contains({T.TITLE_STOPS.split("|")}, w)), ' ')"""
 
 
-@query(f"SELECT doc_id, {_TITLE % 'substr(text, 1, 80)'} AS title FROM documents")
+@query(f"SELECT doc_id, sha256({_TITLE % 'text'}) AS title FROM documents")
 def norm_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.norm_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.norm_title(F.col("text")), 256).alias("title"))
 
 
 def _rules(c: str) -> str:
     return ", ".join("CASE WHEN regexp_matches(lower(%s), '%s') THEN '%s' END" % (c, p.replace("'", "''"), n) for n, p in T.CATEGORY_RULES)
 
 
-@query(f"SELECT p_partkey, coalesce({_rules('p_name')}, {_rules('substr(p_type, 1, 600)')}) AS category FROM part")
+def _tagged(c: str) -> str:
+    return "CASE lower(trim(%s)) %s END" % (c, " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in T.TAG_CATEGORIES.items()))
+
+
+@query(f"""WITH {LEDGER} SELECT id, coalesce({_tagged('tags[1]')}, {_tagged('tags[2]')}, {_rules('name')}, {_rules('tags[1]')}, {_rules('tags[2]')}, {_rules('body')}) AS category
+FROM (SELECT id, CASE WHEN id % 3 = 0 THEN list_transform(tags, lambda t: CASE WHEN t IN ('music', 'tech') THEN ' Kids ' ELSE t || ' walkers' END) ELSE list_transform(tags, lambda t: t || ' jam') END AS tags,
+  CASE WHEN id % 4 = 0 THEN 'Open mic' ELSE 'Night ' || id END AS name, repeat('long ', CAST(id % 130 AS INTEGER)) || 'farmers market' AS body FROM ledger)""".replace("lower(body)", "lower(substr(body, 1, 600))"))
 def categorize(spark, d):
+    e, n = ledger(spark, d), F.col("id")
+    tags = F.when(n % 3 == 0, F.transform("tags", lambda t: F.when(t.isin("music", "tech"), " Kids ").otherwise(F.concat(t, F.lit(" walkers"))))).otherwise(F.transform("tags", lambda t: F.concat(t, F.lit(" jam"))))
+    name, body = F.when(n % 4 == 0, "Open mic").otherwise(F.concat(F.lit("Night "), n)), F.concat(F.repeat(F.lit("long "), (n % 130).cast("int")), F.lit("farmers market"))
+    return e.select("id", tags.alias("tags"), name.alias("name"), body.alias("body")).select("id", T.categorize(F.col("name"), F.col("body"), F.col("tags")).alias("category"))
+
+
+@query(f"SELECT p_partkey, coalesce({_rules('p_name')}, {_rules('substr(p_type, 1, 600)')}) AS category FROM part")
+def categorize_untagged(spark, d):
     return table(spark, d, "part").select("p_partkey", T.categorize(F.col("p_name"), F.col("p_type")).alias("category"))
 
 
+@query(f"""SELECT event_id, 'h_' || substr(sha256({_TITLE % "'The ' || event_type || ' at ' || user_id"} || chr(0) || strftime(ts, '%Y-%m-%dT%H:%M:%S') || chr(0) || CASE WHEN user_id % 2 = 0 THEN 'hall ' || user_id ELSE '' END), 1, 24) AS identity,
+'ics:http://x/' || user_id AS fingerprint FROM events""")
+def identities(spark, d):
+    n = F.col("user_id")
+    title, place = F.concat(F.lit("The "), "event_type", F.lit(" at "), n), F.when(n % 2 == 0, F.concat(F.lit(" Hall "), n))
+    return table(spark, d, "events").select("event_id", T.fallback_identity(title, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), place).alias("identity"), T.source_fingerprint(F.lit("ics"), F.concat(F.lit(" HTTP://x/"), n)).alias("fingerprint"))
+
+
 _LINKED = "(SELECT page_id, 'See ' || url || ', or https://us04.zoom.us/j/' || page_id || '. Übrigens ' || url || ' too' AS text FROM pages)"
 _LINK = r"""https?://[^\s<>()\]"'']+[^\s<>()\]"''.,;:!?]"""
 
@@ -250,9 +272,10 @@ def mode(spark, d):
     return table(spark, d, "events").select(e.alias("id"), infer_mode(F.lit(None).cast("string"), F.when(e % 3 == 0, "https://zoom.us/j/1"), e % 4 != 0, words).alias("mode"))
 
 
-@query(f"WITH {LEDGER} SELECT id, sha256(concat_ws('|', external_id, state, visibility, category)) AS hash FROM ledger")
+@query(f"WITH {LEDGER} SELECT id, sha256(CAST(to_json(struct_pack(external_id := external_id, state := state, visibility := visibility, category := category, tags := CASE WHEN id % 3 <> 0 THEN tags END)) AS VARCHAR)) AS hash FROM ledger")
 def content_hash(spark, d):
-    return ledger(spark, d).select("id", R.content_hash("external_id", "state", "visibility", "category").alias("hash"))
+    e = ledger(spark, d).withColumn("tags", F.when(F.col("id") % 3 != 0, F.col("tags")))
+    return e.select("id", R.content_hash("external_id", "state", "visibility", "category", "tags").alias("hash"))
 
 
 @query(f"WITH {SNAPS} SELECT n.source, n.key FROM snap_new n JOIN snap_old o USING (source, key) WHERE n.price <> o.price OR n.level <> o.level")
@@ -265,35 +288,84 @@ def changed_rows(spark, d):
 
 # --- reconcile -------------------------------------------------------------------------------------
 
+# Sources 0, 5, 10 and 15 give the rows that the other sources have lost new keys instead, and add none.
 _ROWS = f"""{SNAPS},
-l AS (SELECT *, CASE WHEN status = 'F' AND key % 9 = 0 THEN 'removed' WHEN key % 7 = 0 THEN 'cancelled' WHEN key % 5 = 0 THEN 'held' ELSE 'live' END AS state, key % 2 = 0 AS published,
+l AS (SELECT *, CASE WHEN status = 'F' AND key % 9 = 0 THEN 'removed' WHEN key % 7 = 0 THEN 'cancelled' WHEN key % 5 = 0 THEN 'held' ELSE 'live' END AS state, key % 2 = 0 AS published, key % 8 = 3 AS from_signal,
   key % 3 AS missing_runs, key % 13 AS missing_hours, key % 11 AS cancelled_days FROM snap_old),
-plan AS (SELECT coalesce(l.source, s.source) AS source, coalesce(l.key, s.key) AS key, CASE
+s AS (SELECT * FROM snap_new WHERE NOT (source % 5 = 0 AND key % 10 = 0) UNION ALL SELECT source, key + 1000000000, price, CAST(key % 4 AS INTEGER), starts_at, status, ends_at, title FROM snap_old WHERE source % 5 = 0 AND key % 10 = 1),
+m AS (SELECT * FROM l ANTI JOIN s USING (source, key) WHERE state <> 'removed'), f AS (SELECT * FROM s ANTI JOIN l USING (source, key)),
+p AS (SELECT source, old_key, new_key FROM (SELECT source, title, starts_at, max(key) AS old_key FROM m GROUP BY ALL) JOIN (SELECT source, title, starts_at, min(key) AS new_key FROM f GROUP BY ALL) USING (source, title, starts_at)),
+ok AS (SELECT source FROM (SELECT source, count(*) AS m FROM m GROUP BY 1) JOIN (SELECT source, count(*) AS f FROM f GROUP BY 1) USING (source) JOIN (SELECT source, count(*) AS p FROM p GROUP BY 1) USING (source) WHERE m >= 5 AND f >= 5 AND p >= ceil(0.8 * f)),
+k AS (SELECT * FROM p SEMI JOIN ok USING (source)),
+plan AS (SELECT source, old_key AS key, 'rekey' AS action, new_key FROM k UNION ALL SELECT coalesce(l.source, s.source) AS source, coalesce(l.key, s.key) AS key, CASE
   WHEN l.key IS NULL THEN 'create' WHEN s.key IS NULL AND l.state = 'removed' THEN NULL
-  WHEN s.key IS NULL THEN CASE WHEN l.state = 'cancelled' AND l.cancelled_days > 7 THEN 'remove' WHEN l.starts_at < TIMESTAMP '1998-01-01' OR l.state = 'cancelled' THEN 'leave'
+  WHEN s.key IS NULL THEN CASE WHEN l.state = 'cancelled' AND l.cancelled_days > 7 THEN 'remove' WHEN coalesce(l.ends_at, l.starts_at) < TIMESTAMP '1998-01-01' OR l.state = 'cancelled' THEN 'leave'
     WHEN l.missing_runs + 1 >= 2 AND l.missing_hours >= 6 THEN 'cancel' ELSE 'missing' END
-  WHEN s.level > l.level AND (l.published OR l.state = 'held') THEN 'widen-pending' WHEN l.state = 'removed' THEN 'create'
-  WHEN s.level = l.level AND s.price = l.price AND l.state <> 'cancelled' THEN 'touch' ELSE 'update' END AS action
-  FROM l FULL JOIN snap_new s ON l.source = s.source AND l.key = s.key)"""
+  WHEN s.level > l.level AND (l.published OR l.state = 'held' OR l.from_signal) THEN 'widen-pending' WHEN l.state = 'removed' THEN 'create'
+  WHEN s.level = l.level AND s.price = l.price AND l.state <> 'cancelled' THEN 'touch' ELSE 'update' END AS action, NULL
+  FROM (SELECT * FROM l WHERE (source, key) NOT IN (SELECT (source, old_key) FROM k)) l FULL JOIN (SELECT * FROM s WHERE (source, key) NOT IN (SELECT (source, new_key) FROM k)) s ON l.source = s.source AND l.key = s.key)"""
 
 
-def _plan(spark, d):
+def _sides(spark, d):
     k = F.col("key")
     state = F.when((F.col("status") == "F") & (k % 9 == 0), "removed").when(k % 7 == 0, "cancelled").when(k % 5 == 0, "held").otherwise("live")
-    old = snapshot(spark, d, False).select(
-        "source", "key", "level", R.content_hash("price").alias("hash"), "starts_at", state.alias("state"), (k % 2 == 0).alias("published"), F.lit(None).cast("int").alias("widen_to"),
+    was, now_ = snapshot(spark, d, False), snapshot(spark, d, True)
+    common = ("source", "key", "level", R.content_hash("price").alias("hash"), "title", "starts_at", "ends_at")
+    old = was.select(
+        *common, state.alias("state"), (k % 2 == 0).alias("published"), (k % 8 == 3).alias("from_signal"), F.lit(None).cast("int").alias("widen_to"),
         (k % 3).alias("missing_runs"), (k % 13).alias("missing_hours"), (k % 11).alias("cancelled_days"),
     )
-    new = snapshot(spark, d, True).select("source", "key", "level", R.content_hash("price").alias("hash"), "starts_at")
-    return R.plan(old, new, ["source", "key"], F.lit("1998-01-01").cast("timestamp_ntz"))
+    again = was.filter("source % 5 = 0 and key % 10 = 1").withColumns({"key": k + 1000000000, "level": (k % 4).cast("int")})
+    new = now_.filter("not (source % 5 = 0 and key % 10 = 0)").unionByName(again).select(*common, (k % 6 == 0).alias("cancelled"))
+    return old, new
+
+
+def _plan(spark, d):
+    old, new = _sides(spark, d)
+    return R.plan(old, new, F.lit("1998-01-01").cast("timestamp_ntz"))
 
 
-@query(f"WITH {_ROWS} SELECT source, key, action FROM plan WHERE action IS NOT NULL")
+@query(f"WITH {_ROWS} SELECT source, key, action, new_key FROM plan WHERE action IS NOT NULL")
 def reconcile_plan(spark, d):
     return _plan(spark, d)
 
 
-@query(f"""WITH {_ROWS} SELECT source, {', '.join(f"count(*) FILTER (action = '{a}') AS {a.replace('-', '_')}" for a in ("create", "update", "touch", "widen-pending", "cancel", "missing", "remove", "leave"))} FROM plan WHERE action IS NOT NULL GROUP BY 1""")
+_NEXT = f"""{_ROWS},
+b AS (SELECT *, CASE WHEN state = 'live' AND level >= 3 THEN 'at://' || source || '/' || key END AS public_uri, CASE WHEN level BETWEEN 1 AND 3 THEN 'space://' || source || '/' || key END AS space_uri, key % 17 = 0 AS own FROM l),
+j AS (SELECT coalesce(b.source, plan.source) AS source, coalesce(b.key, plan.key) AS old_key, coalesce(plan.new_key, b.key, plan.key) AS key, coalesce(action, 'leave') AS a, b.level AS l0, b.state AS s0, b.public_uri AS p0, b.space_uri AS g0, b.own AS o0, b.missing_runs AS r0
+  FROM b FULL JOIN plan ON b.source = plan.source AND b.key = plan.key),
+t AS (SELECT j.*, s.level AS l1, s.key IS NOT NULL AND a IN ('create', 'update', 'rekey') AS take, s.key % 6 = 0 AS c1, s.key % 19 = 0 AS o1 FROM j LEFT JOIN s ON s.source = j.source AND s.key = j.key),
+u AS (SELECT *, CASE WHEN take THEN CASE WHEN l1 >= 3 THEN CASE WHEN o1 THEN 'own://' || key ELSE coalesce(p0, 'at://' || source || '/' || key) END END WHEN a <> 'remove' THEN p0 END AS p1,
+  CASE WHEN take THEN CASE WHEN l1 BETWEEN 1 AND 3 THEN 'space://' || source || '/' || key END WHEN a <> 'remove' THEN g0 END AS g1, CASE WHEN take THEN o1 ELSE coalesce(o0, false) END AS own FROM t)"""
+
+
+def _next(spark, d):
+    old, new = _sides(spark, d)
+    k = F.col("key")
+    name = lambda kind: F.concat(F.lit(kind), "source", F.lit("/"), k)
+    ledger_ = old.withColumns({
+        "public_uri": F.when((F.col("state") == "live") & (F.col("level") >= 3), name("at://")), "space_uri": F.when(F.col("level").between(1, 3), name("space://")), "own": k % 17 == 0,
+        "missing_since": F.lit(None).cast("timestamp_ntz"), "cancelled_at": F.lit(None).cast("timestamp_ntz"), "last_seen": F.lit(None).cast("timestamp_ntz"), "missing_runs": F.col("missing_runs").cast("int"),
+    }).drop("published", "from_signal", "widen_to", "missing_hours", "cancelled_days")
+    snap = new.withColumn("own_uri", F.when(k % 19 == 0, F.concat(F.lit("own://"), k)))
+    return R.applied(ledger_, snap, _plan(spark, d), now())
+
+
+@query(f"""WITH {_NEXT} SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, CASE WHEN take THEN l1 ELSE l0 END AS level,
+CASE WHEN take AND l1 = 0 THEN 'held' WHEN take AND c1 THEN 'cancelled' WHEN take THEN 'live' WHEN a = 'cancel' THEN 'cancelled' WHEN a = 'remove' THEN 'removed' ELSE s0 END AS state, p1 AS public_uri, g1 AS space_uri, own,
+CASE WHEN a = 'missing' THEN {T0} END AS missing_since, CAST(CASE WHEN a IN ('create', 'update', 'rekey', 'touch', 'widen-pending') OR (a = 'cancel' AND coalesce(p0, g0) IS NOT NULL) THEN 0 WHEN a = 'missing' THEN r0 + 1 ELSE r0 END AS INTEGER) AS missing_runs,
+CASE WHEN a IN ('update', 'rekey') AND l1 <> 0 AND c1 THEN {T0} WHEN a = 'cancel' THEN {T0} END AS cancelled_at FROM u""")
+def ledger_write(spark, d):
+    return _next(spark, d).select("source", "key", "level", "state", "public_uri", "space_uri", "own", "missing_since", "missing_runs", "cancelled_at")
+
+
+@query(f"""WITH {_NEXT} SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, x AS record FROM u, LATERAL (SELECT unnest(list_filter([CASE WHEN p0 IS NOT NULL AND p1 IS NULL AND NOT own THEN p0 END,
+CASE WHEN g0 IS NOT NULL AND (g1 IS NULL OR (take AND l0 <> l1)) THEN g0 END], lambda y: y IS NOT NULL)) AS x)""")
+def teardown(spark, d):
+    return _next(spark, d).select("source", "key", F.explode("withdrawn").alias("record"))
+
+
+@query(f"""WITH {_ROWS} SELECT source, {', '.join(f"count(*) FILTER (action = '{a}') AS {a.replace('-', '_')}" for a in ("create", "update", "touch", "rekey", "widen-pending", "cancel", "missing", "remove", "leave"))} FROM plan WHERE action IS NOT NULL GROUP BY 1""")
 def run_counters(spark, d):
     return R.run_counters(_plan(spark, d))
 
@@ -309,16 +381,15 @@ def widen_queue(spark, d):
     return C.widen_queue(_plan(spark, d), waiting)
 
 
-_CHURN = f"""{SNAPS}, m AS (SELECT source, key, starts_at FROM snap_old WHERE key % 2 = 0), f AS (SELECT source, key + 1000000000 AS key, starts_at FROM snap_old WHERE key % 2 = 0 AND (source % 2 = 0 OR key % 3 = 0)
-  UNION ALL SELECT source, key + 2000000000, starts_at - INTERVAL 9999 DAY FROM snap_old WHERE key % 2 = 0 AND source % 3 = 0),
-a AS (SELECT *, row_number() OVER (PARTITION BY source, starts_at ORDER BY key) AS nth FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY source, starts_at ORDER BY key) AS nth FROM f),
-p AS (SELECT a.source, a.key AS old_key, b.key AS new_key FROM a JOIN b USING (source, starts_at, nth)),
+_CHURN = f"""{SNAPS}, m AS (SELECT source, key, starts_at FROM snap_old), f AS (SELECT source, key + 1000000000 AS key, starts_at FROM snap_old WHERE source % 2 = 0 OR key % 3 = 0
+  UNION ALL SELECT source, key + 2000000000, starts_at - INTERVAL 9999 DAY FROM snap_old WHERE source % 3 = 0),
+p AS (SELECT source, old_key, new_key FROM (SELECT source, starts_at, max(key) AS old_key FROM m GROUP BY ALL) JOIN (SELECT source, starts_at, min(key) AS new_key FROM f GROUP BY ALL) USING (source, starts_at)),
 c AS (SELECT source FROM (SELECT source, count(*) AS m FROM m GROUP BY 1) JOIN (SELECT source, count(*) AS f FROM f GROUP BY 1) USING (source) JOIN (SELECT source, count(*) AS p FROM p GROUP BY 1) USING (source) WHERE m >= 5 AND f >= 5 AND p >= ceil(0.8 * f))"""
 
 
 @query(f"WITH {_CHURN} SELECT p.* FROM p SEMI JOIN c USING (source)")
 def churn(spark, d):
-    base = snapshot(spark, d, False).filter("key % 2 = 0").select("source", "key", "starts_at")
+    base = snapshot(spark, d, False).select("source", "key", "starts_at")
     again = base.filter("source % 2 = 0 or key % 3 = 0").withColumn("key", F.col("key") + 1000000000)
     other = base.filter("source % 3 = 0").select("source", (F.col("key") + 2000000000).alias("key"), (F.col("starts_at") - F.expr("interval 9999 day")).alias("starts_at"))
     return R.churn(base, again.unionByName(other), ["starts_at"])
@@ -409,71 +480,46 @@ def requests(spark, d):
 
 # --- duplicates, search, venues --------------------------------------------------------------------
 
-_ITEMS = f"""items AS (SELECT doc_id AS id, 'http://x/' || CASE WHEN doc_id % 7 = 0 THEN doc_id // 14 ELSE doc_id END AS url, DATE '2024-01-01' + CAST(doc_id % 3 AS INTEGER) AS day, {_TITLE % "substr(text, 1, 60)"} AS title, doc_id AS starts_at FROM documents),
+_ITEMS = f"""RECURSIVE items AS (SELECT p_partkey AS id, 'http://x/' || CASE WHEN p_partkey % 7 = 0 THEN p_partkey // 14 ELSE p_partkey END AS url, DATE '2024-01-01' + CAST(p_partkey % 3 AS INTEGER) AS day,
+  {_TITLE % "p_name || ' & ' || p_type || ['', ' fair', ' fair one', ' fair one of two', ' No. ' || p_size][CAST(p_partkey % 5 + 1 AS INTEGER)]"} AS title, p_partkey AS starts_at FROM part),
 f AS (SELECT url, arg_min((day, title, starts_at, id), (starts_at, id)) AS r FROM items GROUP BY 1),
 u AS (SELECT url, struct_extract(r, 1) AS day, struct_extract(r, 2) AS title, struct_extract(r, 3) AS s, struct_extract(r, 4) AS i FROM f),
-g AS (SELECT url, arg_min(i, (s, i)) OVER (PARTITION BY day, title) AS group_id FROM u)"""
+lead AS (SELECT day, title, min((s, i)) AS o FROM u GROUP BY ALL),
+n AS (SELECT *, substr(title, 1, 13) AS head, row_number() OVER (PARTITION BY day, substr(title, 1, 13) ORDER BY o) AS nth FROM lead WHERE length(title) > 12),
+w AS (SELECT day, head, nth, title, title AS opener, [title] AS openers FROM n WHERE nth = 1
+  UNION ALL SELECT day, head, nth, title, coalesce(hit, title), CASE WHEN hit IS NULL THEN list_append(openers, title) ELSE openers END
+  FROM (SELECT n.*, w.openers, list_filter(w.openers, lambda t: (starts_with(t, n.title) OR starts_with(n.title, t)) AND least(length(t), length(n.title)) >= 0.75 * greatest(length(t), length(n.title)))[1] AS hit
+    FROM w JOIN n ON n.day = w.day AND n.head = w.head AND n.nth = w.nth + 1)),
+named AS (SELECT lead.day, lead.title, struct_extract(first.o, 2) AS group_id, struct_extract(lead.o, 2) AS lead_id FROM lead LEFT JOIN w ON w.day = lead.day AND w.title = lead.title JOIN lead AS first ON first.day = lead.day AND first.title = coalesce(w.opener, lead.title)),
+g AS (SELECT url, group_id FROM u JOIN named USING (day, title))"""
 
 
 def _items(spark, d):
-    n = F.col("doc_id")
-    return table(spark, d, "documents").select(
+    n, c = F.col("p_partkey"), F.col
+    more = F.get(F.array(F.lit(""), F.lit(" fair"), F.lit(" fair one"), F.lit(" fair one of two"), F.concat(F.lit(" No. "), "p_size")), (n % 5).cast("int"))
+    return table(spark, d, "part").select(
         n.alias("id"), F.concat(F.lit("http://x/"), F.when(n % 7 == 0, F.floor(n / 14)).otherwise(n)).alias("url"), F.date_add(F.to_date(F.lit("2024-01-01")), (n % 3).cast("int")).alias("day"),
-        T.norm_title(F.substring("text", 1, 60)).alias("title"), n.alias("starts_at"), (n % 2).alias("rank"), n.alias("published_at"),
+        T.norm_title(F.concat(c("p_name"), F.lit(" & "), c("p_type"), more)).alias("title"), n.alias("starts_at"), (n % 2).alias("rank"), n.alias("published_at"),
     )
 
 
 @query(f"WITH {_ITEMS} SELECT id, group_id FROM items JOIN g USING (url)")
 def dup_groups(spark, d):
-    return G.exact_groups(_items(spark, d))
+    return G.groups(_items(spark, d))
 
 
 @query(f"""WITH {_ITEMS}, a AS (SELECT group_id, id, url, row_number() OVER (PARTITION BY group_id ORDER BY id % 2, id) AS nth FROM items JOIN g USING (url))
 SELECT group_id, max(CASE WHEN nth = 1 THEN id END) AS primary_id, count(*) AS n, count(DISTINCT url) - 1 AS also_on FROM a GROUP BY 1""")
 def dup_collapse(spark, d):
     items = _items(spark, d)
-    return G.collapse(items, G.exact_groups(items))
+    return G.collapse(items, G.groups(items))
 
 
-@query()
+@query(f"""WITH {_ITEMS} SELECT lead_id AS group_id, group_id AS into FROM named WHERE lead_id <> group_id""")
 def dup_prefix(spark, d):
     return G.prefix_links(_items(spark, d))
 
 
-_INDEX = f"""t AS (SELECT p_partkey AS id, 0 AS attribute, string_split_regex(lower(p_name), '[^a-z0-9]+') AS w FROM part UNION ALL SELECT p_partkey, 1, string_split_regex(lower(p_type), '[^a-z0-9]+') FROM part),
-x AS (SELECT id, attribute, i - 1 AS position, w[i] AS token FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)), x2 AS (SELECT * FROM x WHERE token <> '' AND NOT list_contains({S.STOPS}, token))"""
-
-
-def _search_sql(words: str) -> str:
-    rows = ", ".join(f"({n}, '{w}')" for n, w, _ in S.terms(words))
-    return f"""WITH {_INDEX}, q AS (SELECT DISTINCT * FROM (VALUES {rows}) v(term, token)), h AS (SELECT id, term, min(attribute) AS a, min(position) AS p FROM x2 JOIN q USING (token) GROUP BY ALL)
-SELECT id, count(*) AS n_terms, CAST(0 AS BIGINT) AS typos, CAST(max(p) - min(p) AS INTEGER) AS spread, CAST(min(a) AS INTEGER) AS best_attribute FROM h GROUP BY 1 ORDER BY n_terms DESC, typos, spread, best_attribute, id LIMIT 200"""
-
-
-def _search(spark, d, words, **how):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type")
-    return S.ranked(S.search(S.index(part, ["p_name", "p_type"]), words, **how), 200)
-
-
-def _some_words(spark, d):
-    return "small part economy"
-
-
-@query(_search_sql("small part economy"))
-def search_rank(spark, d):
-    return _search(spark, d, "small part economy")
-
-
-@query(_search_sql("free class show"))
-def search_synonym(spark, d):
-    return _search(spark, d, "free class show")
-
-
-@query()
-def search_typo(spark, d):
-    return _search(spark, d, "smalll econmy", typos=True)
-
-
 @query(f"WITH {LEDGER} SELECT id FROM ledger WHERE {GUARD}")
 def indexable(spark, d):
     return S.indexable(ledger(spark, d)).select("id")
@@ -485,18 +531,6 @@ def index_sweep(spark, d):
     return S.swept(everything, S.indexable(everything))
 
 
-_VENUE = f"""trim(regexp_replace(replace(translate(lower(%s), '{T.ACCENTED}', '{T.PLAIN}'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"""
-
-
-@query(f"""WITH k AS (SELECT p_partkey AS venue, {_VENUE % 'p_name'} AS key FROM part), t AS (SELECT p_partkey AS id, ' ' || {_VENUE % "'At ' || p_name || ' hall'"} || ' ' AS text FROM part),
-h AS (SELECT id, venue, key FROM t JOIN k ON contains(text, ' ' || key || ' ') WHERE length(key) >= 3)
-SELECT id, struct_extract(b, 1) AS venue, struct_extract(b, 2) AS key FROM (SELECT id, arg_max((venue, key), (length(key), -venue)) AS b FROM h GROUP BY 1)""")
-def venue_match(spark, d):
-    p = table(spark, d, "part")
-    texts = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("At "), F.col("p_name"), F.lit(" hall")).alias("text"))
-    return N.venue_match(texts, p.select(F.col("p_partkey").alias("venue"), F.col("p_name").alias("name")))
-
-
 @query(f"""WITH c AS (SELECT user_id % 60 AS k, max(ts) AS fetched_at, max(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1)
 SELECT event_id, CASE WHEN fetched_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN c.value END AS value FROM events e LEFT JOIN c ON e.user_id = c.k""")
 def geocode_cache(spark, d):

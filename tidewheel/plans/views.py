@@ -49,7 +49,8 @@ def snapshot(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
         (F.col("o_custkey") % 20).alias("source"), n.alias("key"),
         (F.when(n % 10 == 2, price + 1).otherwise(price) if new else price).alias("price"),
         (rank if new else F.lit(5) - rank).cast("int").alias("level"),
-        F.col("o_orderdate").alias("starts_at"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("starts_at"), F.when(n % 4 != 0, F.col("o_orderdate") + F.make_dt_interval((n % 4).cast("int"))).alias("ends_at"), F.col("o_orderstatus").alias("status"),
+        F.concat(F.lit("order of "), F.col("o_custkey")).alias("title"),
     )
 
 
@@ -68,10 +69,12 @@ host AS (SELECT CAST(n_nationkey AS BIGINT) AS host, r_name AS region FROM natio
 
 SNAPS = """
 snap_old AS (
-  SELECT o_custkey % 20 AS source, o_orderkey AS key, o_totalprice AS price, CAST(5 - o_orderkey % 6 AS INTEGER) AS level, o_orderdate AS starts_at, o_orderstatus AS status
+  SELECT o_custkey % 20 AS source, o_orderkey AS key, o_totalprice AS price, CAST(5 - o_orderkey % 6 AS INTEGER) AS level, o_orderdate AS starts_at, o_orderstatus AS status,
+    CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 4 AS INTEGER)) END AS ends_at, 'order of ' || o_custkey AS title
   FROM orders WHERE o_orderkey % 10 <> 0),
 snap_new AS (
   SELECT o_custkey % 20 AS source, o_orderkey AS key, CASE WHEN o_orderkey % 10 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS price,
-    CAST(o_orderkey % 4 AS INTEGER) AS level, o_orderdate AS starts_at, o_orderstatus AS status
+    CAST(o_orderkey % 4 AS INTEGER) AS level, o_orderdate AS starts_at, o_orderstatus AS status,
+    CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 4 AS INTEGER)) END AS ends_at, 'order of ' || o_custkey AS title
   FROM orders WHERE o_orderkey % 10 <> 1)
 """
