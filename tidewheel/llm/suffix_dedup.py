@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .arrays import U, Prefix, cut_points, slices
 from .common import discard, id_out, staged, text_rows
 
-GROUP_BYTES, PART_BYTES = 5 << 20, 1 << 25
+GROUP_BYTES, PART_BYTES = 2 << 20, 1 << 23
 FEW, MIXED = 2, 3  # counts stop at two; MIXED: the suffixes that start alike go on differently
 
 
