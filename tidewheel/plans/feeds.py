@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import zones as Z
 from ..operators import cards as C
+from ..operators import enrich as E
 from ..operators import export as X
 from ..sources import api, calendar, delimited, pages, push
 from .catalog import query
@@ -230,3 +231,60 @@ def zone_names(spark, d):
     n = F.col("event_id") % 6
     spelt = F.element_at(F.array(*map(F.lit, [*_SPELT, "UTC+02:00"])), (n + 1).cast("int"))
     return table(spark, d, "events").select("event_id", Z.resolve(spelt).alias("zone"))
+
+
+_WEEKDAY = "isodow(x) <= 5"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 6 AS kind, date_trunc('second', ts) AS wall FROM events), g AS (SELECT event_id, kind, wall, wall::DATE AS d0, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2025-12-31', INTERVAL 1 DAY)) AS x FROM e),
+f AS (SELECT *, CASE kind WHEN 3 THEN date_trunc('week', x + INTERVAL 1 DAY) - INTERVAL 1 DAY WHEN 2 THEN date_trunc('year', x) ELSE date_trunc('month', x) END AS p FROM g
+  WHERE CASE kind WHEN 0 THEN {_WEEKDAY} WHEN 1 THEN {_WEEKDAY} WHEN 2 THEN month(x) IN (2, 3) AND isodow(x) = 1 WHEN 3 THEN isodow(x) IN (7, 1) AND date_diff('day', date_trunc('week', d0 + INTERVAL 1 DAY), date_trunc('week', x + INTERVAL 1 DAY)) % 14 = 0
+    WHEN 4 THEN month(x) IN (2, 4) AND day(x) = day(d0) ELSE isodow(x) = 5 AND ceil(dayofyear(x) / 7.0) = 10 END),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_id, p ORDER BY x) AS a, row_number() OVER (PARTITION BY event_id, p ORDER BY x DESC) AS z FROM f),
+c AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY x) AS k FROM n WHERE x >= d0 AND CASE kind WHEN 0 THEN z = 1 WHEN 1 THEN a = 1 OR z = 2 WHEN 2 THEN z = 1 ELSE true END)
+SELECT CAST(event_id AS VARCHAR) AS external_id, ((x + (wall - d0)) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS starts_at FROM c WHERE k <= 10 AND ((x + (wall - d0)) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' + INTERVAL 1 HOUR > TIMESTAMP '{NOW}' AND ((x + (wall - d0)) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' < TIMESTAMP '2024-04-15 12:00:00'""")
+def ics_places(spark, d):
+    """Series by places within a period, by months, with weeks from Sunday, and by weekdays of the year."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 6
+    wall = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
+    weekdays = "BYDAY=MO,TU,WE,TH,FR"
+    rule = (
+        F.when(k == 0, f"FREQ=MONTHLY;{weekdays};BYSETPOS=-1").when(k == 1, f"FREQ=MONTHLY;{weekdays};BYSETPOS=1,-2").when(k == 2, "FREQ=YEARLY;BYMONTH=2,3;BYDAY=MO;BYSETPOS=-1")
+        .when(k == 3, "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,MO").when(k == 4, "FREQ=YEARLY;BYMONTH=2,4").otherwise("FREQ=YEARLY;BYDAY=10FR")
+    )
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id").cast("string")), F.lit("SUMMARY:Series"), F.concat(F.lit(f"DTSTART;TZID={ZONE}:"), wall("ts")), F.concat(F.lit("RRULE:"), rule, F.lit(";COUNT=10")), F.lit("END:VEVENT"))
+    feeds = e.select(F.floor(F.col("event_id") / 100).alias("feed"), block.alias("b")).groupBy("feed").agg(F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.collect_list("b"), F.lit("END:VCALENDAR")).alias("body"))
+    found, _ = calendar.read(feeds, now(), F.lit("2024-04-15 12:00:00").cast("timestamp_ntz"), ZONE)
+    return found.select("external_id", "starts_at")
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 3 AS kind, date_trunc('second', ts) AS t, {_L % "date_trunc('second', ts)"} AS wall FROM events), g AS (SELECT *, unnest(generate_series(wall::DATE::TIMESTAMP, TIMESTAMP '2024-04-16', INTERVAL 1 DAY)) AS x FROM e WHERE kind < 2),
+h AS (SELECT event_id, ((x + (wall - wall::DATE)) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS u FROM g WHERE kind = 0 OR isodow(x) = isodow(wall)), k AS (SELECT event_id, u, row_number() OVER (PARTITION BY event_id ORDER BY u) AS nth FROM h WHERE u <= TIMESTAMP '{NOW}' + INTERVAL 90 DAY)
+SELECT CAST(event_id AS VARCHAR) AS external_id, u AS starts_at, u + INTERVAL 2 HOUR AS ends_at, CAST(event_id AS VARCHAR) AS series_key FROM k WHERE nth <= 60 UNION ALL SELECT CAST(event_id AS VARCHAR), t, t + INTERVAL 2 HOUR, NULL FROM e WHERE kind = 2""")
+def confirmed_series(spark, d):
+    k, at = F.col("event_id") % 3, F.date_trunc("second", "ts").cast("timestamp_ntz")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("external_id"), at.alias("starts_at"), (at + F.expr("interval 2 hours")).alias("ends_at"), F.lit(ZONE).alias("zone"), F.when(k == 0, "RRULE:FREQ=DAILY").when(k == 1, "FREQ=WEEKLY").alias("rule"))
+    return calendar.confirmed(rows, now()).select("external_id", "starts_at", "ends_at", "series_key")
+
+
+@query(f"""WITH {LEDGER}, s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY starts_at, id) AS nth FROM ledger WHERE state IN ('live', 'cancelled') AND visibility IN ('public', 'gated') AND starts_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND TIMESTAMP '{NOW}' + INTERVAL 10 DAY)
+SELECT host, count(*) AS events, min(CASE WHEN nth = 1 THEN id END) AS first_id FROM s WHERE nth <= 5 GROUP BY 1""")
+def host_calendars(spark, d):
+    """Calendars of hosts with their next events, as counts of what each body holds."""
+    body = X.calendars(X.select(_listing(spark, d), "host", now(), 10, 5), "host", ZONE, "tidewheel")
+    return body.select("host", F.size(F.regexp_extract_all("body", F.lit("BEGIN:VEVENT"), F.lit(0))).cast("long").alias("events"), F.regexp_extract("body", r"UID:(\d+)", 1).cast("long").alias("first_id"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 3 = 0 AS reused, CASE page_id % 5 WHEN 0 THEN 'native' WHEN 1 THEN 'logo.png' END AS a, CASE WHEN page_id % 4 = 1 THEN 'data' END AS b, CASE WHEN page_id % 7 = 2 THEN 'cover' END AS c FROM pages)
+SELECT page_id, coalesce(CASE WHEN a <> 'logo.png' THEN a END, b, c, CASE WHEN NOT reused THEN 'og' END) AS image FROM p""")
+def picked_image(spark, d):
+    n = F.col("page_id")
+    rows = table(spark, d, "pages").select(
+        "page_id", F.when(n % 5 == 0, "native").when(n % 5 == 1, "logo.png").alias("native_image"), F.when(n % 4 == 1, "data").alias("data_image"), F.when(n % 7 == 2, "cover").alias("cover_image"), F.lit("og").alias("preview_image"), (n % 3 == 0).alias("is_default"),
+    )
+    return E.pick_image(rows).select("page_id", "image")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def first_orders(spark, d):
+    return E.first_by(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")

@@ -46,17 +46,36 @@ def stream_upsert(spark, d):
     return upsert.read(spark, f"{place}/table", ["source"], ["ts", "event_id"])
 
 
-@query("""WITH l AS (SELECT user_id AS source, ts, event_id AS seq, event_type <> 'error' AS ok FROM events), i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, seq) AS g FROM l)
-SELECT source, seq, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source, g ORDER BY ts, seq) AS INTEGER) AS failures FROM i""")
+#: One step for each run of a source, in order: what it leaves of status, failures, unchanged runs, interval and last success.
+_HEALTH = """WITH RECURSIVE l AS (SELECT user_id AS source, ts AS at_, event_id AS seq, event_type <> 'error' AS ok, event_type = 'purchase' AS changed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+w AS (SELECT source, CAST(0 AS BIGINT) AS nth, CAST(NULL AS TIMESTAMP) AS at_, CAST(NULL AS BIGINT) AS seq, 'active' AS status, 0 AS failures, 0 AS unchanged, CAST(3600 AS BIGINT) AS wait, CAST(NULL AS TIMESTAMP) AS good FROM (SELECT DISTINCT source FROM l)
+  UNION ALL SELECT l.source, l.nth, l.at_, l.seq,
+    CASE WHEN ok THEN CASE WHEN status = 'failing' THEN 'active' ELSE status END WHEN good IS NOT NULL AND l.at_ - good > INTERVAL 14 DAY THEN 'paused' WHEN failures + 1 >= 3 THEN 'failing' ELSE status END,
+    CASE WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN NOT ok THEN unchanged WHEN changed OR unchanged + 1 >= 20 THEN 0 ELSE unchanged + 1 END,
+    CASE WHEN NOT ok THEN least(86400, 3600 * CAST(pow(2, least(failures + 1, 6)) AS BIGINT)) WHEN changed THEN greatest(600, least(wait, 3600) // 2) WHEN unchanged + 1 >= 20 THEN least(21600, wait * 2) ELSE wait END,
+    CASE WHEN ok THEN l.at_ ELSE good END FROM w JOIN l ON l.source = w.source AND l.nth = w.nth + 1)
+SELECT source, at_ AS "at", seq, status, CAST(failures AS INTEGER) AS failures, CAST(unchanged AS INTEGER) AS unchanged, wait AS interval_s FROM w WHERE nth > 0"""
+
+
+@query(_HEALTH)
 def stream_health(spark, d):
     e = _stream(spark, d, "events")
     log = e.select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "purchase").alias("changed"))
-    return _stateful(spark, state.intervals(log)).select("source", "seq", "failures")
+    return _stateful(spark, state.intervals(log)).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id % 20 AS source, event_type AS key, count(*) AS runs, count(*) FILTER (WHERE event_type IN ('click', 'view') AND event_id % 3 = 0) AS seen FROM events GROUP BY 1, 2""")
+_MISSING = """WITH RECURSIVE l AS (SELECT user_id % 20 AS source, event_type AS key, ts AS at_, event_id % 7 <> 0 AS complete, event_type IN ('click', 'view') AND event_id % 3 = 0 AS seen, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts) AS nth FROM events),
+w AS (SELECT source, key, CAST(0 AS BIGINT) AS nth, CAST(NULL AS TIMESTAMP) AS at_, '' AS action, CAST(NULL AS TIMESTAMP) AS since, 0 AS runs, CAST(NULL AS TIMESTAMP) AS cancelled FROM (SELECT DISTINCT source, key FROM l)
+  UNION ALL SELECT source, key, nth, at_, action, CASE WHEN seen THEN NULL WHEN action IN ('cancel', 'missing') THEN coalesce(since, at_) ELSE since END, CASE WHEN seen THEN 0 WHEN action IN ('cancel', 'missing') THEN runs + 1 ELSE runs END,
+    CASE WHEN seen THEN NULL WHEN action = 'cancel' THEN at_ ELSE cancelled END
+  FROM (SELECT l.*, since, runs, cancelled, CASE WHEN seen THEN CASE WHEN cancelled IS NULL THEN 'touch' ELSE 'update' END WHEN NOT complete THEN 'leave' WHEN cancelled IS NOT NULL THEN CASE WHEN l.at_ - cancelled > INTERVAL 7 DAY THEN 'remove' ELSE 'leave' END
+    WHEN runs + 1 >= 2 AND l.at_ - coalesce(since, l.at_) >= INTERVAL 6 HOUR THEN 'cancel' ELSE 'missing' END AS action FROM w JOIN l ON l.source = w.source AND l.key = w.key AND l.nth = w.nth + 1))
+SELECT source, key, at_ AS "at", action, CAST(runs AS INTEGER) AS missing_runs FROM w WHERE nth > 0"""
+
+
+@query(_MISSING)
 def stream_missing(spark, d):
     e = _stream(spark, d, "events")
-    runs = e.select((F.col("user_id") % 20).alias("source"), F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.lit(True).alias("complete"),
+    runs = e.select((F.col("user_id") % 20).alias("source"), F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 7 != 0).alias("complete"),
                     (F.col("event_type").isin("click", "view") & (F.col("event_id") % 3 == 0)).alias("seen"))
-    return _stateful(spark, state.missing(runs)).groupBy("source", "key").agg(F.count("*").alias("runs"), F.count_if(F.col("action").isin("touch", "update")).alias("seen"))
+    return _stateful(spark, state.missing(runs)).withColumn("at", F.col("at").cast("timestamp_ntz"))

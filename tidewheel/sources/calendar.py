@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..functions import zones as Z
 from ..functions.places import wall_to_utc
 
-MOST = 500
+MOST, MOST_CONFIRMED = 500, 60
 _DAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 # Image properties in the order they are tried.
 IMAGES = ["X-TKF-FEATURED-IMAGE", "X-WR-IMAGE", "IMAGE", "X-IMAGE", "X-MICROSOFT-CDO-IMAGE"]
@@ -124,47 +124,83 @@ def _part(name: str) -> Column:
 
 
 def readable_rule() -> Column:
-    """Whether a rule has only the parts that are expanded here."""
+    """Whether a rule has only the parts that are expanded here: all but those of week and day numbers, hours and less."""
     names = F.transform(F.split("rule", ";"), lambda p: F.substring_index(p, "=", 1))
-    ok = F.size(F.array_except(names, F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "WKST"])))) == 0
-    yearly = (_part("FREQ") == "YEARLY") & (_part("BYDAY").isNotNull() | _part("BYMONTHDAY").isNotNull())
-    return F.col("rule").isNull() | (ok & F.coalesce(_part("FREQ").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False)) & ~yearly & (F.coalesce(_part("WKST"), F.lit("MO")) == "MO"))
+    ok = F.size(F.array_except(names, F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "BYMONTH", "BYSETPOS", "WKST"])))) == 0
+    return F.col("rule").isNull() | (ok & F.coalesce(_part("FREQ").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False)) & F.coalesce(_part("WKST"), F.lit("MO")).isin(*_DAYS))
 
 
 def occurrences(until: Column) -> Column:
     """array<timestamp_ntz>: wall-clock starts of the rule up to a date, COUNT included, before EXDATE and RDATE."""
-    first = F.to_date("start_wall")
+    first, freq = F.to_date("start_wall"), _part("FREQ")
     gap = F.coalesce(_part("INTERVAL").try_cast("int"), F.lit(1))
     last_text = _part("UNTIL")
     last = F.when(last_text.endswith("Z") & ~F.col("in_utc"), F.from_utc_timestamp(_wall(last_text).cast("timestamp"), F.col("zone")).cast("timestamp_ntz")).otherwise(_wall(last_text))
     last = F.when(last_text.rlike(r"^\d{8}$"), F.timestamp_add("SECOND", F.lit(86399), last)).otherwise(last)
     stop = F.least(until, F.coalesce(F.to_date(last), until))
     by_day = F.transform(F.split(_part("BYDAY"), ","), lambda t: F.regexp_replace(t, r"^\+", ""))
-    by_date = F.split(_part("BYMONTHDAY"), ",")
-    monday = lambda d: F.date_sub(d, F.weekday(d))
+    by_date, by_month = F.split(_part("BYMONTHDAY"), ","), F.transform(F.split(_part("BYMONTH"), ","), lambda m: m.try_cast("int"))
+    places = F.transform(F.split(_part("BYSETPOS"), ","), lambda p: p.try_cast("int"))
+    week_day = F.coalesce(F.array_position(F.array(*map(F.lit, _DAYS)), _part("WKST")), F.lit(1)) - 1
+    week = lambda d: F.date_sub(d, F.pmod(F.weekday(d) - week_day, F.lit(7)).cast("int"))
+    period = lambda d: F.when(freq == "WEEKLY", week(d)).when(freq == "MONTHLY", F.trunc(d, "MM")).when(freq == "YEARLY", F.trunc(d, "YEAR")).otherwise(d)
+    ending = F.when(freq == "WEEKLY", F.date_add(week(stop), 6)).when(freq == "MONTHLY", F.last_day(stop)).when(freq == "YEARLY", F.make_date(F.year(stop), F.lit(12), F.lit(31))).otherwise(stop)
+    in_year = (freq == "YEARLY") & by_month.isNull()
 
     def fits(d: Column) -> Column:
         code = F.element_at(F.array(*map(F.lit, _DAYS)), F.weekday(d) + 1)
-        nth, from_end = F.ceil(F.dayofmonth(d) / 7), F.ceil((F.dayofmonth(F.last_day(d)) - F.dayofmonth(d) + 1) / 7)
+        place, size = F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d)), F.when(in_year, F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31)))).otherwise(F.dayofmonth(F.last_day(d)))
+        nth, from_end = F.ceil(place / 7), F.ceil((size - place + 1) / 7)
         on_day = F.arrays_overlap(by_day, F.array(code, F.concat(nth.cast("string"), code), F.concat(F.lit("-"), from_end.cast("string"), code)))
         on_date = F.arrays_overlap(by_date, F.array(F.dayofmonth(d).cast("string"), (F.dayofmonth(d) - F.dayofmonth(F.last_day(d)) - 1).cast("string")))
+        on_month = F.coalesce(F.array_contains(by_month, F.month(d)), F.lit(True))
         months = (F.year(d) - F.year(first)) * 12 + F.month(d) - F.month(first)
         picked = F.coalesce(on_day, F.lit(True)) & F.coalesce(on_date, F.lit(True))
-        bare = by_day.isNull() & by_date.isNull()
-        return (
-            F.when(_part("FREQ") == "DAILY", (F.date_diff(d, first) % gap == 0) & picked)
-            .when(_part("FREQ") == "WEEKLY", (F.date_diff(monday(d), monday(first)) / 7 % gap == 0) & F.coalesce(on_day, F.weekday(d) == F.weekday(first)))
-            .when(_part("FREQ") == "MONTHLY", (months % gap == 0) & F.when(bare, F.dayofmonth(d) == F.dayofmonth(first)).otherwise(picked))
-            .otherwise((months % (gap * 12) == 0) & (F.dayofmonth(d) == F.dayofmonth(first)))
+        same_date, bare = F.dayofmonth(d) == F.dayofmonth(first), by_day.isNull() & by_date.isNull()
+        return on_month & (
+            F.when(freq == "DAILY", (F.date_diff(d, first) % gap == 0) & picked)
+            .when(freq == "WEEKLY", (F.date_diff(week(d), week(first)) / 7 % gap == 0) & F.coalesce(on_day, F.weekday(d) == F.weekday(first)) & F.coalesce(on_date, F.lit(True)))
+            .when(freq == "MONTHLY", (months % gap == 0) & F.when(bare, same_date).otherwise(picked))
+            .otherwise(((F.year(d) - F.year(first)) % gap == 0) & F.when(bare, same_date & (by_month.isNotNull() | (F.month(d) == F.month(first)))).otherwise(picked))
         )
 
-    days = F.filter(F.when(stop >= first, F.sequence(first, stop, F.expr("interval 1 day"))).otherwise(F.array().cast("array<date>")), fits)
+    def chosen(x: Column) -> Column:
+        """Of the days x.days those at the rule's places within their period; all, where it names none."""
+        def keep(o: Column) -> Column:
+            peers = F.transform(F.filter(x.of, lambda q: q.p == o.p), lambda q: q.d)
+            at = F.array_position(peers, o.d).cast("int")
+            return F.arrays_overlap(places, F.array(at, at - F.size(peers) - 1))
+
+        return F.when(places.isNull(), x.days).otherwise(F.transform(F.filter(x.of, keep), lambda o: o.d))
+
+    begin, end = F.when(places.isNull(), first).otherwise(period(first)), F.when(places.isNull(), stop).otherwise(ending)
+    days = F.filter(F.when(stop >= first, F.sequence(begin, end, F.expr("interval 1 day"))).otherwise(F.array().cast("array<date>")), fits)
+    dated = lambda l: F.struct(l.alias("days"), F.when(places.isNotNull(), F.transform(l, lambda d: F.struct(d.alias("d"), period(d).alias("p")))).alias("of"))
+    days = F.transform(F.transform(F.array(days), dated), chosen)[0]
+    days = F.filter(days, lambda d: d.between(first, stop))
     clock = F.timestamp_diff("SECOND", F.date_trunc("day", "start_wall").cast("timestamp_ntz"), F.col("start_wall"))
     walls = F.transform(days, lambda d: F.timestamp_add("SECOND", clock, d.cast("timestamp_ntz")))
     walls = F.filter(walls, lambda w: last.isNull() | (w <= last))
     return F.slice(walls, F.lit(1), F.coalesce(_part("COUNT").try_cast("int"), F.size(walls)))
 
 
+def confirmed(rows: DataFrame, now: Column, days: int = 90, most: int = MOST_CONFIRMED) -> DataFrame:
+    """Confirmed rows (external_id, starts_at, ends_at, zone, rule, ...) with their occurrences up to `days` ahead, `most` at best.
+
+    Occurrences keep the wall-clock time across changes of the clock, and their length; a row without a readable rule stays as it is.
+    """
+    wall = F.from_utc_timestamp(F.col("starts_at").cast("timestamp"), F.col("zone")).cast("timestamp_ntz")
+    ready = rows.withColumns({"rule": F.upper(F.regexp_replace("rule", "(?i)^RRULE:", "")), "start_wall": wall, "in_utc": F.lit(False)})
+    span = F.timestamp_diff("SECOND", F.col("starts_at"), F.col("ends_at"))
+    found = F.when(F.col("rule").isNotNull() & readable_rule(), F.slice(F.filter(F.transform(occurrences(F.to_date(now + F.expr(f"interval {days + 1} days"))), lambda w: wall_to_utc(w, F.col("zone"))), lambda u: u <= now + F.expr(f"interval {days} days")), 1, most))
+    out = ready.withColumn("at", F.explode(F.coalesce(found, F.array("starts_at"))))
+    repeats = F.col("rule").isNotNull() & readable_rule()
+    return out.select(
+        *(c for c in rows.columns if c not in ("starts_at", "ends_at", "rule")), F.col("at").alias("starts_at"), F.timestamp_add("SECOND", span, F.col("at")).alias("ends_at"),
+        F.when(repeats, F.col("at")).alias("occurrence"), F.when(repeats, F.col("external_id")).alias("series_key"),
+    )
+
+
 def expand(rows: DataFrame, begin: Column, end: Column, most: int = MOST) -> DataFrame:
     """Occurrences of rows of `properties` that overlap a window of UTC times.
 
