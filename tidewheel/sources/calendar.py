@@ -130,58 +130,77 @@ def readable_rule() -> Column:
     return F.col("rule").isNull() | (ok & F.coalesce(_part("FREQ").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False)) & F.coalesce(_part("WKST"), F.lit("MO")).isin(*_DAYS))
 
 
-def occurrences(until: Column) -> Column:
-    """array<timestamp_ntz>: wall-clock starts of the rule up to a date, COUNT included, before EXDATE and RDATE."""
-    first, freq = F.to_date("start_wall"), _part("FREQ")
-    gap = F.coalesce(_part("INTERVAL").try_cast("int"), F.lit(1))
+def _parts(until: Column) -> Column:
+    """struct of a rule's parts, read once for each row: r.stop is the last day to look at, r.last the moment that UNTIL names."""
     last_text = _part("UNTIL")
     last = F.when(last_text.endswith("Z") & ~F.col("in_utc"), F.from_utc_timestamp(_wall(last_text).cast("timestamp"), F.col("zone")).cast("timestamp_ntz")).otherwise(_wall(last_text))
     last = F.when(last_text.rlike(r"^\d{8}$"), F.timestamp_add("SECOND", F.lit(86399), last)).otherwise(last)
-    stop = F.least(until, F.coalesce(F.to_date(last), until))
-    by_day = F.transform(F.split(_part("BYDAY"), ","), lambda t: F.regexp_replace(t, r"^\+", ""))
-    by_date, by_month = F.split(_part("BYMONTHDAY"), ","), F.transform(F.split(_part("BYMONTH"), ","), lambda m: m.try_cast("int"))
-    places = F.transform(F.split(_part("BYSETPOS"), ","), lambda p: p.try_cast("int"))
-    week_day = F.coalesce(F.array_position(F.array(*map(F.lit, _DAYS)), _part("WKST")), F.lit(1)) - 1
-    week = lambda d: F.date_sub(d, F.pmod(F.weekday(d) - week_day, F.lit(7)).cast("int"))
-    period = lambda d: F.when(freq == "WEEKLY", week(d)).when(freq == "MONTHLY", F.trunc(d, "MM")).when(freq == "YEARLY", F.trunc(d, "YEAR")).otherwise(d)
-    ending = F.when(freq == "WEEKLY", F.date_add(week(stop), 6)).when(freq == "MONTHLY", F.last_day(stop)).when(freq == "YEARLY", F.make_date(F.year(stop), F.lit(12), F.lit(31))).otherwise(stop)
-    in_year = (freq == "YEARLY") & by_month.isNull()
-
-    def fits(d: Column) -> Column:
-        code = F.element_at(F.array(*map(F.lit, _DAYS)), F.weekday(d) + 1)
-        place, size = F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d)), F.when(in_year, F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31)))).otherwise(F.dayofmonth(F.last_day(d)))
-        nth, from_end = F.ceil(place / 7), F.ceil((size - place + 1) / 7)
-        on_day = F.arrays_overlap(by_day, F.array(code, F.concat(nth.cast("string"), code), F.concat(F.lit("-"), from_end.cast("string"), code)))
-        on_date = F.arrays_overlap(by_date, F.array(F.dayofmonth(d).cast("string"), (F.dayofmonth(d) - F.dayofmonth(F.last_day(d)) - 1).cast("string")))
-        on_month = F.coalesce(F.array_contains(by_month, F.month(d)), F.lit(True))
-        months = (F.year(d) - F.year(first)) * 12 + F.month(d) - F.month(first)
-        picked = F.coalesce(on_day, F.lit(True)) & F.coalesce(on_date, F.lit(True))
-        same_date, bare = F.dayofmonth(d) == F.dayofmonth(first), by_day.isNull() & by_date.isNull()
-        return on_month & (
-            F.when(freq == "DAILY", (F.date_diff(d, first) % gap == 0) & picked)
-            .when(freq == "WEEKLY", (F.date_diff(week(d), week(first)) / 7 % gap == 0) & F.coalesce(on_day, F.weekday(d) == F.weekday(first)) & F.coalesce(on_date, F.lit(True)))
-            .when(freq == "MONTHLY", (months % gap == 0) & F.when(bare, same_date).otherwise(picked))
-            .otherwise(((F.year(d) - F.year(first)) % gap == 0) & F.when(bare, same_date & (by_month.isNotNull() | (F.month(d) == F.month(first)))).otherwise(picked))
-        )
-
-    def chosen(x: Column) -> Column:
-        """Of the days x.days those at the rule's places within their period; all, where it names none."""
-        def keep(o: Column) -> Column:
-            peers = F.transform(F.filter(x.of, lambda q: q.p == o.p), lambda q: q.d)
-            at = F.array_position(peers, o.d).cast("int")
-            return F.arrays_overlap(places, F.array(at, at - F.size(peers) - 1))
-
-        return F.when(places.isNull(), x.days).otherwise(F.transform(F.filter(x.of, keep), lambda o: o.d))
-
-    begin, end = F.when(places.isNull(), first).otherwise(period(first)), F.when(places.isNull(), stop).otherwise(ending)
-    days = F.filter(F.when(stop >= first, F.sequence(begin, end, F.expr("interval 1 day"))).otherwise(F.array().cast("array<date>")), fits)
-    dated = lambda l: F.struct(l.alias("days"), F.when(places.isNotNull(), F.transform(l, lambda d: F.struct(d.alias("d"), period(d).alias("p")))).alias("of"))
-    days = F.transform(F.transform(F.array(days), dated), chosen)[0]
-    days = F.filter(days, lambda d: d.between(first, stop))
-    clock = F.timestamp_diff("SECOND", F.date_trunc("day", "start_wall").cast("timestamp_ntz"), F.col("start_wall"))
-    walls = F.transform(days, lambda d: F.timestamp_add("SECOND", clock, d.cast("timestamp_ntz")))
-    walls = F.filter(walls, lambda w: last.isNull() | (w <= last))
-    return F.slice(walls, F.lit(1), F.coalesce(_part("COUNT").try_cast("int"), F.size(walls)))
+    numbers = lambda name: F.transform(F.split(_part(name), ","), lambda x: x.try_cast("int"))
+    return F.struct(
+        F.to_date("start_wall").alias("first"), _part("FREQ").alias("freq"), F.coalesce(_part("INTERVAL").try_cast("int"), F.lit(1)).alias("gap"), last.alias("last"), F.least(until, F.coalesce(F.to_date(last), until)).alias("stop"),
+        F.transform(F.split(_part("BYDAY"), ","), lambda t: F.regexp_replace(t, r"^\+", "")).alias("by_day"), numbers("BYMONTHDAY").alias("by_date"), numbers("BYMONTH").alias("by_month"), numbers("BYSETPOS").alias("places"),
+        (F.coalesce(F.array_position(F.array(*map(F.lit, _DAYS)), _part("WKST")), F.lit(1)) - 1).cast("int").alias("week_day"), _part("COUNT").try_cast("int").alias("count"),
+        F.timestamp_diff("SECOND", F.date_trunc("day", "start_wall").cast("timestamp_ntz"), F.col("start_wall")).alias("clock"),
+    )
+
+
+def _week(r: Column, d: Column) -> Column:
+    return F.date_sub(d, F.pmod(F.weekday(d) - r.week_day, F.lit(7)).cast("int"))
+
+
+def _period(r: Column, d: Column) -> Column:
+    """The first day of the week, month or year that places count in."""
+    return F.when(r.freq == "WEEKLY", _week(r, d)).when(r.freq == "MONTHLY", F.trunc(d, "MM")).when(r.freq == "YEARLY", F.trunc(d, "YEAR")).otherwise(d)
+
+
+def _fits(r: Column, d: Column) -> Column:
+    """Whether a day is one of the rule's, places and COUNT aside."""
+    code = F.element_at(F.array(*map(F.lit, _DAYS)), F.weekday(d) + 1)
+    in_year = (r.freq == "YEARLY") & r.by_month.isNull()
+    place = F.when(in_year, F.dayofyear(d)).otherwise(F.dayofmonth(d))
+    size = F.when(in_year, F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31)))).otherwise(F.dayofmonth(F.last_day(d)))
+    numbered = F.array(code, F.concat(F.ceil(place / 7).cast("string"), code), F.concat(F.lit("-"), F.ceil((size - place + 1) / 7).cast("string"), code))
+    on_day = F.arrays_overlap(r.by_day, numbered)
+    on_date = F.arrays_overlap(r.by_date, F.array(F.dayofmonth(d), F.dayofmonth(d) - F.dayofmonth(F.last_day(d)) - 1))
+    on_month = F.coalesce(F.array_contains(r.by_month, F.month(d)), F.lit(True))
+    months = (F.year(d) - F.year(r.first)) * 12 + F.month(d) - F.month(r.first)
+    picked = F.coalesce(on_day, F.lit(True)) & F.coalesce(on_date, F.lit(True))
+    same_date, bare = F.dayofmonth(d) == F.dayofmonth(r.first), r.by_day.isNull() & r.by_date.isNull()
+    return on_month & (
+        F.when(r.freq == "DAILY", (F.date_diff(d, r.first) % r.gap == 0) & picked)
+        .when(r.freq == "WEEKLY", (F.date_diff(_week(r, d), _week(r, r.first)) / 7 % r.gap == 0) & F.coalesce(on_day, F.weekday(d) == F.weekday(r.first)) & F.coalesce(on_date, F.lit(True)))
+        .when(r.freq == "MONTHLY", (months % r.gap == 0) & F.when(bare, same_date).otherwise(picked))
+        .otherwise(((F.year(d) - F.year(r.first)) % r.gap == 0) & F.when(bare, same_date & (r.by_month.isNotNull() | (F.month(d) == F.month(r.first)))).otherwise(picked))
+    )
+
+
+def _placed(r: Column, days: Column) -> Column:
+    """Of the days that fit whole periods those at the rule's places within their period."""
+    dated = F.transform(days, lambda d: F.struct(d.alias("d"), _period(r, d).alias("p")))
+
+    def keep(all_: Column, o: Column) -> Column:
+        peers = F.transform(F.filter(all_, lambda q: q.p == o.p), lambda q: q.d)
+        at = F.array_position(peers, o.d).cast("int")
+        return F.arrays_overlap(r.places, F.array(at, at - F.size(peers) - 1))
+
+    return F.flatten(F.transform(F.array(dated), lambda x: F.transform(F.filter(x, lambda o: keep(x, o)), lambda o: o.d)))
+
+
+def _walls(r: Column) -> Column:
+    none = F.array().cast("array<date>")
+    year_end = F.make_date(F.year(r.stop), F.lit(12), F.lit(31))
+    end = F.when(r.freq == "WEEKLY", F.date_add(_week(r, r.stop), 6)).when(r.freq == "MONTHLY", F.last_day(r.stop)).when(r.freq == "YEARLY", year_end).otherwise(r.stop)
+    span = F.when(r.stop < r.first, none).when(r.places.isNull(), F.sequence(r.first, F.greatest(r.stop, r.first), F.expr("interval 1 day")))
+    span = span.otherwise(F.sequence(_period(r, r.first), F.greatest(end, r.first), F.expr("interval 1 day")))
+    days = F.filter(span, lambda d: _fits(r, d))
+    days = F.when(r.places.isNull(), days).otherwise(F.filter(_placed(r, days), lambda d: d.between(r.first, r.stop)))
+    walls = F.filter(F.transform(days, lambda d: F.timestamp_add("SECOND", r.clock, d.cast("timestamp_ntz"))), lambda w: r["last"].isNull() | (w <= r["last"]))
+    return F.slice(walls, F.lit(1), F.coalesce(r["count"], F.lit(2**31 - 1)))
+
+
+def occurrences(until: Column) -> Column:
+    """array<timestamp_ntz>: wall-clock starts of the rule up to a date, COUNT included, before EXDATE and RDATE."""
+    return F.flatten(F.transform(F.array(_parts(until)), _walls))
 
 
 def confirmed(rows: DataFrame, now: Column, days: int = 90, most: int = MOST_CONFIRMED) -> DataFrame:
