@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, Prefix, mix, slices, words
@@ -16,6 +16,7 @@ from .common import components, id_out, staged, text_rows
 PERMS, ROWS, BITS = 128, 5, 2
 BANDS = PERMS // ROWS
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+SIG_DOCS, SMALL, FIRST = 2048, 64, 3
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int) -> Iterator[np.ndarray]:
@@ -82,17 +83,55 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "i long, k long, n long, node binary, sig binary, bands array<long>")
 
 
-def _pairs_in_block(threshold: int, margin: float, size: int):
+def _estimates(threshold: int, margin: float):
+    """(x, others, table columns) -> which of the others' signatures are near enough to x's, and how many bits apart they are."""
     chance = 0.5**BITS
     least = (threshold / 100 - margin) * (1 - chance) + chance  # collision-corrected: share of equal bits to expect
     most_apart = PERMS * (1 - least)
     odd = U(int("01" * 32, 2))
 
+    def near(sig: np.ndarray, n: np.ndarray, x: int, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = sig[x] ^ sig[to]
+        apart = np.bitwise_count((d | (d >> U(1))) & odd).sum(1)
+        return (apart <= most_apart) & (100 * np.minimum(n[x], n[to]) >= threshold * np.maximum(n[x], n[to])), apart
+
+    return near
+
+
+def _sides(table: pa.Table):
+    """Each row of the first block with the rows of the second that it is to be compared with."""
+    block, a, b = table["block"].to_numpy(), table["a"][0].as_py(), table["b"][0].as_py()
+    right = np.arange(len(block)) if a == b else np.flatnonzero(block == b)
+    for x in range(len(block)) if a == b else np.flatnonzero(block == a):
+        yield x, right[right > x] if a == b else right
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sig"].to_pylist()), U).reshape(len(table), -1)
+
+
+def _hopeful(threshold: int, margin: float):
+    near = _estimates(threshold, margin)
+
+    def run(table: pa.Table) -> pa.Table:
+        """The nodes of a block pair that some other's signature is near."""
+        sig, n, some = _signatures(table), table["n"].to_numpy(), np.zeros(len(table), bool)
+        for x, to in _sides(table):
+            ok, _ = near(sig, n, x, to)
+            some[to[ok]] = True
+            some[x] |= bool(ok.any())
+        return table.select(["band", "node"]).filter(pa.array(some))
+
+    return run
+
+
+def _pairs_in_block(threshold: int, margin: float, size: int):
+    near = _estimates(threshold, margin)
+
     def run(table: pa.Table) -> pa.Table:
-        """Links found between block a and block b of one cluster: enough of them to join what is linked."""
-        nodes, sig = table["node"].to_pylist(), np.frombuffer(b"".join(table["sig"].to_pylist()), U).reshape(len(table), -1)
-        sets, block = list(shingle_sets(table["text"], size)), table["block"].to_numpy()
-        n, same = np.array([len(x) for x in sets]), table["a"][0].as_py() == table["b"][0].as_py()
+        """Links found between block a and block b of one bucket: enough of them to join what is linked."""
+        nodes, sig, n = table["node"].to_pylist(), _signatures(table), table["n"].to_numpy()
+        sets = list(shingle_sets(table["text"], size))
         up, a, b = list(range(len(sets))), [], []
 
         def top(x: int) -> int:
@@ -100,14 +139,9 @@ def _pairs_in_block(threshold: int, margin: float, size: int):
                 up[x] = x = up[up[x]]
             return x
 
-        right = np.arange(len(sets)) if same else np.flatnonzero(block == table["b"][0].as_py())
-        for x in range(len(sets)) if same else np.flatnonzero(block == table["a"][0].as_py()):
-            to = right[right > x] if same else right
-            d = sig[x] ^ sig[to]
-            apart = np.bitwise_count((d | (d >> U(1))) & odd).sum(1)
-            ok = (apart <= most_apart) & (100 * np.minimum(n[x], n[to]) >= threshold * np.maximum(n[x], n[to]))
-            ok, apart = to[ok], apart[ok]
-            for y in ok[np.argsort(apart, kind="stable")]:
+        for x, to in _sides(table):
+            ok, apart = near(sig, n, x, to)
+            for y in to[ok][np.argsort(apart[ok], kind="stable")]:
                 if top(x) == top(y):
                     continue
                 both = np.concatenate([sets[x], sets[y]])
@@ -121,18 +155,26 @@ def _pairs_in_block(threshold: int, margin: float, size: int):
     return run
 
 
+def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
+    """members (band, node, ...) dealt out as pairs of blocks (a, b) of their band's bucket."""
+    m = members.withColumn("m", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    other = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return other.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")}).drop("other", "m")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: int = 85, margin: float = 0.23) -> DataFrame:
     """(i, k, n, component) for each row: component is the least id linked with it, itself included.
 
     Texts are linked when their word-shingle sets have a Jaccard similarity of threshold percent.
     1. Rows with the same shingle set become one node, so a group of exact copies costs one node.
-    2. 25 bands of 5 minima; nodes that meet in a band are chained to the band's least node, and
-       connected components of these chains are clusters: a pair at the threshold shares no band with
-       probability below 1e-6, and clusters are a superset of shared bands.
-    3. Clusters are dealt out as pairs of blocks of at most BLOCK_DOCS nodes or BLOCK_SHINGLES
-       shingles.  In a block pair 2-bit signatures are compared by bit counts; pairs above the threshold less
-       `margin` (six standard deviations) and not joined yet are confirmed on full sets.
-    4. Components of the confirmed links.
+    2. 25 bands of 5 minima; nodes that meet in a band share its bucket, and only such are compared: a pair at the threshold shares no band
+       with probability below 1e-6.  Buckets with the same nodes are looked at once.
+    3. In buckets of more than SMALL nodes, dealt out as pairs of blocks of at most SIG_DOCS nodes, 2-bit signatures alone are compared
+       by bit counts; nodes with no other above the threshold less `margin` (six standard deviations) leave the bucket.
+    4. What is left is dealt out, with the texts, as pairs of blocks of at most BLOCK_DOCS nodes or BLOCK_SHINGLES shingles.  Pairs
+       near enough by signature and not joined yet are confirmed on full sets, so m near copies give m - 1 links and not all pairs.
+    5. The buckets of the first FIRST bands come first; of the others those are left out whose nodes these have joined already.
+       Components of the confirmed links.
 
     Texts without words (null, empty, blank) have n = 0 and are their own component.  Rows without
     an id come last in the order.  Rows that repeat an id and text are one node.
@@ -141,23 +183,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = staged(sketches(rows, size), "sketch")
     nodes = drawn.filter("n > 0").groupBy("node").agg(F.min(F.struct("i", "k", "n", "sig", "bands")).alias("r"))
     nodes = staged(nodes.select("node", "r.*"), "nodes")
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    roots = met.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    chains = met.join(roots, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    cluster = components(chains)
-    sized = nodes.join(cluster, "node").select("node", "i", "k", "n", "sig", "label")
-    blocks = sized.groupBy("label").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m")
-    )
-    placed = sized.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    dealt = (
-        rows.join(placed, ["i", "k"])
-        .dropDuplicates(["i", "k"])  # rows that repeat an id and text come once
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "sig", "text")
-    )
-    links = dealt.groupBy("label", "a", "b").applyInArrow(_pairs_in_block(threshold, margin, size), "a binary, b binary")
-    joined = components(staged(links, "links"))
+    met = nodes.select("node", F.posexplode("bands").alias("at", "band"))
+    buckets = met.groupBy("at", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("c > 1")
+    buckets = staged(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("at", "band")).alias("b")).select("c", "b.*"), "buckets")
+    few = nodes.select("node", "n", "sig")
+
+    def links(members: DataFrame) -> DataFrame:
+        """(a, b): confirmed links within the buckets of members (band, c, node)."""
+        large = _block_pairs(members.filter(F.col("c") > SMALL).join(few, "node"), F.ceil(F.col("c") / SIG_DOCS))
+        kept = large.select("band", "a", "b", "block", "node", "n", "sig").groupBy("band", "a", "b").applyInArrow(_hopeful(threshold, margin), "band long, node binary").distinct()
+        left = staged(members.filter(F.col("c") <= SMALL).select("band", "node").unionByName(kept), "members").join(nodes.select("node", "i", "k", "n", "sig"), "node")
+        blocks = left.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        texts = rows.join(left.select("i", "k").distinct(), ["i", "k"], "left_semi").dropDuplicates(["i", "k"])
+        dealt = _block_pairs(left.join(blocks, "band"), F.col("blocks")).join(texts, ["i", "k"]).select("band", "a", "b", "block", "node", "n", "sig", "text")
+        return staged(dealt.groupBy("band", "a", "b").applyInArrow(_pairs_in_block(threshold, margin, size), "a binary, b binary"), "links")
+
+    def members(some: Column) -> DataFrame:
+        return met.join(buckets.filter(some), ["at", "band"]).select("band", "c", "node")
+
+    first = links(members(F.col("at") < FIRST))
+    label = components(first)
+    later = staged(members(F.col("at") >= FIRST).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "later")
+    apart = later.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    joined = components(staged(first.union(links(later.drop("label").join(apart, "band", "left_semi"))), "links"))
     of_node = nodes.select("node", "i").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("i").alias("component"))
     known = of_node.join(least, "label").select("node", "component")
