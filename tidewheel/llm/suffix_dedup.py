@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .arrays import U, Prefix, cut_points, slices
 from .common import discard, id_out, staged, text_rows
 
-GROUP_BYTES, PART_BYTES = 2 << 20, 1 << 23
+GROUP_BYTES, PART_BYTES, TASK_GROUPS = 2 << 20, 1 << 23, 8
 FEW, MIXED = 2, 3  # counts stop at two; MIXED: the suffixes that start alike go on differently
 
 
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             {"i": table["i"], "k": table["k"], "n_bytes": pa.array(size, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
         )
 
-    dealt = rows.select(F.pmod("k", F.lit(groups)).cast("int").alias("g"), "i", "k", "text").repartition(groups, "g")
+    dealt = rows.select(F.pmod("k", F.lit(groups)).cast("int").alias("g"), "i", "k", "text").repartition(-(-groups // TASK_GROUPS), "g")
     asked = dealt.groupBy("g").applyInArrow(ask, "p int, g int, heads binary")
     found = asked.groupBy("p").cogroup(family.table().groupBy("p")).applyInArrow(_scan, "g int, p int, found binary")
     sent = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(edges, f"g int, p int, {entry}")
