@@ -191,6 +191,13 @@ def indexable(events: DataFrame) -> DataFrame:
     return events.filter(F.col("id").cast("string").rlike("^[A-Za-z0-9_-]+$") & F.col("visibility").isin("public", "gated") & F.col("state").isin("live", "cancelled"))
 
 
+def synced(old_index: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the index's documents, counts): the index holds what may be found now; counts are how many it holds and how many left it."""
+    fresh = document(events)
+    gone = swept(old_index, fresh)
+    return fresh, fresh.agg(F.count("*").alias("indexed")).crossJoin(gone.agg(F.count("*").alias("removed")))  # one row each
+
+
 def swept(old_index: DataFrame, fresh: DataFrame) -> DataFrame:
     """Ids in the old index that the new one lacks."""
     return old_index.select("id").join(fresh.select("id"), "id", "left_anti")

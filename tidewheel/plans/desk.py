@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import cards as C
 from ..operators import connect as O
 from ..operators import moderation as M
 from ..operators import normalize as Z
 from ..operators import reconcile as R
-from ..operators import upkeep as K
-from ..functions import text as T
-from . import views as V
+from ..sources import raw as W
 from .catalog import T0, query
-from .views import LEDGER, NOW, ZONE, ledger, now, table
+from .views import LEDGER, ZONE, ledger, now, table
 
 # --- reports ---------------------------------------------------------------------------------------
 
@@ -274,3 +273,14 @@ SELECT source, external_id, arg_max(value, (ts, event_id)) FILTER (NOT deleted)
 def pushed_rows(spark, d):
     k = table(spark, d, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("external_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_id") % 4 == 0).alias("deleted"), F.lit("scheduled").alias("status"), "value")
     return R.pushed(k).select("source", "external_id", "value", "status")
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_id % 3 AS k, event_id % 4 <> 0 AS geo, user_id AS u FROM events)
+SELECT id, CASE WHEN k = 0 THEN 2 WHEN k = 1 OR geo THEN 1 ELSE 0 END AS n, CASE k WHEN 0 THEN 'Hall ' || u WHEN 1 THEN 'Text ' || u END AS name, CASE WHEN k = 0 AND u % 2 = 0 THEN 1.0::DOUBLE WHEN geo THEN 40.0::DOUBLE END AS lat FROM e""")
+def coalesced_places(spark, d):
+    n, u = F.col("event_id"), F.col("user_id")
+    hall = W.place(name=F.concat(F.lit("Hall "), u), lat=F.when(u % 2 == 0, 1.0), lon=F.when(u % 2 == 0, 1.0))
+    where = W.coalesced(F.when(n % 3 == 0, F.concat(hall, W.place(name=F.lit("Annex")))), F.when(n % 3 == 1, F.concat(F.lit(" Text "), u)), F.when(n % 4 != 0, 40.0), F.when(n % 4 != 0, -105.0))
+    got = table(spark, d, "events").select(n.alias("id"), where.alias("w"))
+    first = F.get("w", F.lit(0))
+    return got.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("n"), first["name"].alias("name"), first["lat"].alias("lat"))

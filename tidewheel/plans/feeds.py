@@ -105,6 +105,31 @@ def push_events(spark, d):
     return good.select("call", F.col("event_id").alias("item"), "external_id", "name", "status", "privacy")
 
 
+@query("""SELECT event_id AS item, CASE WHEN event_id % 3 = 0 THEN 'gated' END AS level, CASE WHEN event_id % 3 = 0 THEN 'crew' END AS audience, 'music' AS category, CASE event_id % 2 WHEN 0 THEN 'Hall' ELSE 'Annex' END AS place, CASE WHEN event_id % 5 = 0 THEN 40.0::DOUBLE END AS lat, 'http://x/' || event_id AS link FROM events""")
+def push_asks(spark, d):
+    """What pushed items ask for beside their texts."""
+    n, e = F.col("event_id"), table(spark, d, "events")
+    body = F.to_json(F.struct(
+        n.cast("string").alias("externalId"), F.lit("x").alias("name"), F.col("ts").cast("string").alias("start"), F.when(n % 3 == 0, "gated").when(n % 3 == 1, "secret").alias("visibility"), F.lit("crew").alias("audience"), F.lit("music").alias("category"),
+        F.when(n % 2 == 0, F.array(F.struct(F.lit("Hall").alias("name")))).alias("locations"), F.lit("Annex").alias("location"), F.when(n % 5 == 0, F.struct(F.lit(40.0).alias("lat"), F.lit(-105.0).alias("lon"))).alias("geo"),
+        F.array(F.struct(F.concat(F.lit("http://x/"), n).alias("uri"))).alias("links"),
+    ))
+    good, _ = push.parse(e.select(n.cast("string").alias("call"), F.lit(0).alias("item"), body.alias("payload"), "event_id"), ("event_id",))
+    first = F.get("locations", F.lit(0))
+    return good.select(n.alias("item"), "level", "audience", "category", first["name"].alias("place"), first["lat"].alias("lat"), F.get("links", F.lit(0))["uri"].alias("link"))
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 5 AS kind, event_id // 50 AS feed, (date_trunc('second', ts) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS u FROM events)
+SELECT feed, count(*) FILTER (kind = 0 OR kind = 1) AS dropped, count(*) FILTER (kind = 0 OR kind = 1) = 0 AS complete, min(CASE WHEN kind > 1 THEN u END) AS window_from FROM e GROUP BY 1""")
+def feed_report(spark, d):
+    """What each feed of 50 events leaves out: those without a name, and rules that can't be read."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 5
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id").cast("string")), F.when(k != 0, "SUMMARY:x"), F.concat(F.lit(f"DTSTART;TZID={ZONE}:"), F.date_format("ts", "yyyyMMdd'T'HHmmss")), F.when(k == 1, "RRULE:FREQ=SECONDLY"), F.lit("END:VEVENT"))
+    feeds = e.select(F.floor(F.col("event_id") / 50).alias("feed"), block.alias("b")).groupBy("feed").agg(F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.collect_list("b"), F.lit("END:VCALENDAR")).alias("body"))
+    _, report = calendar.read(feeds, now(), F.lit("2024-04-15 12:00:00").cast("timestamp_ntz"), ZONE)
+    return report.select("feed", "dropped", "complete", "window_from")
+
+
 @query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS title, 'https://x.org/' || page_id AS canonical, 'https://x.org/i' || page_id || '.png' AS image,
 CAST(CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS calendars, CASE WHEN page_id % 3 = 0 THEN 'luma' ELSE '' END AS platforms FROM pages""")
 def page_meta(spark, d):

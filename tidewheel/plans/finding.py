@@ -92,6 +92,11 @@ def search_document(spark, d):
     return S.document(_events(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(f"WITH {_EVENTS} SELECT (SELECT count(*) FROM docs) AS indexed, (SELECT count(*) FROM ledger WHERE id % 3 = 0 AND id NOT IN (SELECT id FROM docs)) AS removed")
+def index_sync(spark, d):
+    return S.synced(ledger(spark, d).filter("id % 3 = 0"), _events(spark, d))[1]
+
+
 @query(f"WITH {_EVENTS}, {_DOC_INDEX}, {_hits_sql('the kids show meet up')} SELECT hits.* FROM hits JOIN docs USING (id) ORDER BY {_ORDER}, starts_unix, id LIMIT 300")
 def search_synonym(spark, d):
     docs = S.document(_events(spark, d))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCATION = "struct<name:string,street:string,locality:string,region:string,postal_code:string,country:string,lat:double,lon:double>"
+FIELDS = [f.split(":") for f in LOCATION[len("struct<"):-1].split(",")]
 RAW = {
     "external_id": "string", "occurrence": "string", "name": "string", "start": "string", "end": "string", "tz": "string", "all_day": "boolean",
     "description": "string", "description_is_html": "boolean", "url": "string", "image": "string", "organizer": "string", "locations": f"array<{LOCATION}>",
@@ -24,11 +25,21 @@ def place(**parts: Column) -> Column:
     for name in ("name", "street", "locality", "region", "postal_code", "country"):
         if name in kept:
             kept[name] = blank(kept[name])
-    fields = [f.split(":") for f in LOCATION[len("struct<"):-1].split(",")]
-    one = F.struct(*(kept.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
+    one = F.struct(*(kept.get(n, F.lit(None)).cast(t).alias(n) for n, t in FIELDS))
     return F.when(F.coalesce(*(c.cast("string") for c in kept.values())).isNotNull(), F.array(one))
 
 
+def coalesced(locations: Column, text: Column, lat: Column, lon: Column) -> Column:
+    """Places of a listing: those given, else its text as a name, else a point alone; a point goes to a first place without one."""
+    given = F.when(F.size(locations) > 0, locations)
+    first = F.get(F.coalesce(given, place(name=text), F.array(F.lit(None).cast(LOCATION))), F.lit(0))
+    bare = F.coalesce(first.lat, first.lon).isNull()
+    both = lat.isNotNull() & lon.isNotNull()
+    filled = F.when(bare & both, F.coalesce(first, F.struct(*(F.lit(None).cast(t).alias(n) for n, t in FIELDS))).withField("lat", lat).withField("lon", lon)).otherwise(first)
+    rest = F.when(F.size(locations) > 1, F.slice(locations, 2, F.size(locations))).otherwise(F.array().cast(f"array<{LOCATION}>"))
+    return F.when(filled.isNotNull(), F.concat(F.array(filled), rest))
+
+
 def blank(c: Column) -> Column:
     """Trimmed text, or null if nothing is left."""
     return F.when(F.btrim(c) != "", F.btrim(c))
