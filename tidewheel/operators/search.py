@@ -6,8 +6,8 @@ import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.places import near
 from ..functions.text import excerpt
@@ -15,7 +15,7 @@ from .cards import HIDDEN_PLACE, is_coarse
 from .directory import PUBLIC_LEVELS, PUBLIC_STATES, public
 from .duplicates import collapse, groups
 
-APART, DESCRIPTION_MOST = r"[^a-z0-9]+", 2000
+APART, DESCRIPTION_MOST, MOST_HITS = r"[^a-z0-9]+", 2000, 500
 # Words that carry no signal, and what people type for what.
 STOPS = ["the", "a", "an", "and", "of", "at", "in", "on", "for", "to", "with", "by", "from"]
 SYNONYMS = {
@@ -110,11 +110,13 @@ def ranked(found: DataFrame, limit: int, offset: int = 0, then: tuple[str, ...]
 
 
 def page(found: DataFrame, limit: int, offset: int = 0, then: tuple[str, ...] = ("id",)) -> tuple[DataFrame, int | None]:
-    """A page of hits with their place from 1, and the offset of the next page: none if the hits end here."""
-    hits = ranked(found, limit, offset, then)
-    place = F.row_number().over(W.orderBy(*(way(c) for way, c in ORDER), *then))  # over the page's rows only
-    total = found.count()
-    return hits.withColumn("place", place + offset), offset + limit if offset + limit < total else None
+    """A page of hits with their place from 1, and the offset of the next page: none if the hits end here.
+
+    A page has MOST_HITS rows at best and is read at once, so that what is fetched for it doesn't run the search again.
+    """
+    rows = [r.asDict() | {"place": offset + n} for n, r in enumerate(ranked(found, min(limit, MOST_HITS), offset, then).collect(), 1)]
+    hits = found.sparkSession.createDataFrame(rows, T.StructType([*found.schema.fields, T.StructField("place", T.IntegerType())]))
+    return hits, offset + limit if offset + limit < found.count() else None
 
 
 def document(events: DataFrame) -> DataFrame:
