@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, Prefix, mix, slices, words
-from .common import components, id_out, staged, text_rows
+from .common import components, discard, id_out, small, staged, text_rows
 
 PERMS, ROWS, BITS = 128, 5, 2
 BANDS = PERMS // ROWS
@@ -186,17 +186,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     buckets = met.groupBy("at", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("c > 1")
     buckets = staged(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("at", "band")).alias("b")).select("c", "b.*"), "buckets")
-    few = nodes.select("node", "n", "sig")
+    # the texts of nodes that share a bucket with any other: one pass over all texts, whatever the number of buckets
+    shared = staged(nodes.join(met.join(buckets, ["at", "band"]).select("node").distinct(), "node").select("node", "i", "k", "n", "sig"), "shared")
+    texts = staged(rows.join(small(shared), ["i", "k"]).dropDuplicates(["node"]).select("node", "n", "sig", "text"), "texts")
 
     def links(members: DataFrame) -> DataFrame:
         """(a, b): confirmed links within the buckets of members (band, c, node)."""
-        large = _block_pairs(members.filter(F.col("c") > SMALL).join(few, "node"), F.ceil(F.col("c") / SIG_DOCS))
+        large = _block_pairs(members.filter(F.col("c") > SMALL).join(shared.select("node", "n", "sig"), "node"), F.ceil(F.col("c") / SIG_DOCS))
         kept = large.select("band", "a", "b", "block", "node", "n", "sig").groupBy("band", "a", "b").applyInArrow(_hopeful(threshold, margin), "band long, node binary").distinct()
-        left = staged(members.filter(F.col("c") <= SMALL).select("band", "node").unionByName(kept), "members").join(nodes.select("node", "i", "k", "n", "sig"), "node")
-        blocks = left.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        texts = rows.join(left.select("i", "k").distinct(), ["i", "k"], "left_semi").dropDuplicates(["i", "k"])
-        dealt = _block_pairs(left.join(blocks, "band"), F.col("blocks")).join(texts, ["i", "k"]).select("band", "a", "b", "block", "node", "n", "sig", "text")
-        return staged(dealt.groupBy("band", "a", "b").applyInArrow(_pairs_in_block(threshold, margin, size), "a binary, b binary"), "links")
+        left = staged(members.filter(F.col("c") <= SMALL).select("band", "node").unionByName(kept), "members")
+        blocks = left.join(shared.select("node", "n"), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = _block_pairs(left.join(blocks, "band"), F.col("blocks")).join(texts, "node").select("band", "a", "b", "block", "node", "n", "sig", "text")
+        out = staged(dealt.groupBy("band", "a", "b").applyInArrow(_pairs_in_block(threshold, margin, size), "a binary, b binary"), "links")
+        discard(left)
+        return out
 
     def members(some: Column) -> DataFrame:
         return met.join(buckets.filter(some), ["at", "band"]).select("band", "c", "node")
@@ -205,10 +208,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(first)
     later = staged(members(F.col("at") >= FIRST).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "later")
     apart = later.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    joined = components(staged(first.union(links(later.drop("label").join(apart, "band", "left_semi"))), "links"))
+    second = links(later.drop("label").join(apart, "band", "left_semi"))
+    joined = components(first.union(second))
     of_node = nodes.select("node", "i").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("i").alias("component"))
-    known = of_node.join(least, "label").select("node", "component")
+    known = staged(of_node.join(least, "label").select("node", "component"), "known")
+    for done in (buckets, shared, texts, first, label, later, second, joined, nodes):
+        discard(done)
     return drawn.select("i", "k", "n", "node").join(known, "node", "left").select("i", "k", "n", F.coalesce("component", "i").alias("component"))
 
 
