@@ -52,9 +52,10 @@ def test_address(spark):
 
 
 def test_plan_is_idempotent(spark):
-    cols = "source int, key int, level int, hash string, starts_at timestamp_ntz, state string, published boolean, widen_to int, missing_runs int, missing_hours int, cancelled_days int"
-    old = spark.range(20).selectExpr("1 source", "cast(id as int) key", "3 level", "'h' hash", "timestamp_ntz'2030-01-01' starts_at", "'live' state", "true published", "cast(null as int) widen_to", "0 missing_runs", "0 missing_hours", "0 cancelled_days")
-    plan = reconcile.plan(old, old.select("source", "key", "level", "hash", "starts_at"), ["source", "key"], F.lit("2024-01-01").cast("timestamp_ntz"))
-    assert {r.action for r in plan.collect()} == {"touch"} and cols
-    gone = reconcile.plan(old, old.select("source", "key", "level", "hash", "starts_at").limit(0), ["source", "key"], F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
-    assert {r.action for r in gone.collect()} == {"leave"}
+    old = spark.range(20).selectExpr(
+        "1 source", "cast(id as int) key", "3 level", "'h' hash", "'t' title", "timestamp_ntz'2030-01-01' starts_at", "cast(null as timestamp_ntz) ends_at", "'live' state", "true published", "false from_signal",
+        "cast(null as int) widen_to", "0 missing_runs", "0 missing_hours", "0 cancelled_days",
+    )
+    new, now = old.select("source", "key", "level", "hash", "title", "starts_at", "ends_at"), F.lit("2024-01-01").cast("timestamp_ntz")
+    assert {r.action for r in reconcile.plan(old, new, now).collect()} == {"touch"}
+    assert {r.action for r in reconcile.plan(old, new.limit(0), now, F.lit(False)).collect()} == {"leave"}
