@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, id_out, small, staged, text_rows, with_key
+from .common import discard, fresh, small, staged, text_rows, with_key
 from .native import SPACE
 
 DEPTH, LEAST_DOCS, ALIKE = 4, 10, 0.7
@@ -69,13 +69,14 @@ def mined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """
     lines = parsed(docs, id_col, text_col, depth, least_docs)
     busy = lines.select("leaf", "need", "i", "k").distinct().groupBy("leaf", "need").agg(F.count("*").alias("docs")).filter("docs >= need").select("leaf")
-    met = lines.join(small(staged(busy, "busy")), "leaf").select("i", "k", "at", "leaf", "n", "need", _masked(F.col("line")).alias("masked"))
+    busy = staged(busy, "busy")
+    met = lines.join(small(busy), "leaf").select("i", "k", "at", "leaf", "n", "need", _masked(F.col("line")).alias("masked"))
     rest = staged(met.withColumn("t", F.xxhash64("masked")), "lines")
     texts = staged(
         rest.select("leaf", "t", "masked", "n", "need", "i", "k").distinct().groupBy("leaf", "t", "masked", "n", "need").agg(F.count("*").alias("docs")), "texts"
     )
-    undecided = staged(texts.filter("docs < need").select("leaf").distinct(), "open")
-    undecided = small(undecided)
+    unsettled = staged(texts.filter("docs < need").select("leaf").distinct(), "open")
+    undecided = small(unsettled)
 
     body = texts.join(undecided, "leaf", "left_semi").select("leaf", "t", "n", "need", "docs", F.posexplode(F.split("masked", " ")).alias("j", "w"))
     words = body.filter(F.col("j") >= depth).withColumn("w", F.xxhash64("w", "j"))
@@ -101,12 +102,17 @@ def mined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     best = steps.join(good, ["leaf", "seed", "m", "enough"]).groupBy("leaf", "t").agg(F.max(F.struct("all", "m", "seed", "s")).alias("b"))
     closed = texts.join(undecided, "leaf", "left_anti").select("leaf", "t", F.struct(F.col("t").alias("x"), F.col("t").alias("y")).alias("seed"), F.lit(0).cast("long").alias("level"))
     found = closed.unionByName(best.select("leaf", "t", "b.seed", F.col("b.s").alias("level")))
-    return Mined(rest, texts, ranked, staged(found, "found"))
+    found = staged(found, "found")
+    for done in (busy, unsettled, steps, totals):
+        discard(done)
+    return Mined(rest, texts, ranked, found)
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(i, k, at, leaf, seed): the lines of recurring templates (mined()), which leaf and seed name."""
     known = mined(docs, id_col, text_col, **how)
+    for done in (known.texts, known.ranked):
+        discard(done)
     return known.lines.join(small(known.found.drop("level")), ["leaf", "t"]).select("i", "k", "at", "leaf", "seed")
 
 
