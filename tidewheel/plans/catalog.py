@@ -16,7 +16,7 @@ from ..operators import reconcile as R
 from ..operators import search as S
 from ..operators import upkeep as K
 from . import views as V
-from .views import LEDGER, NAMES, NOW, SNAPS, ZONE, ledger, now, snapshot, table
+from .views import LEDGER, NOW, SNAPS, ZONE, ledger, now, snapshot, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..streaming import state, upsert
 from .catalog import query
-from .views import table
 
 
 def scratch(spark: SparkSession) -> str:
