@@ -241,7 +241,7 @@ def test_lm_scores(docs, none, monkeypatch):
     monkeypatch.setattr(lm_score, "GROUP_BYTES", 2000)
     monkeypatch.setattr(lm_score, "PART_KEYS", 100)
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 0
-    toks = [(2**63 - 1 if i is None else i, (t or "").encode().lower().split() + [0]) for i, t in TEXTS]
+    toks = [(i, (t or "").encode().lower().split() + [0]) for i, t in TEXTS]
     c, b, n = Counter(), Counter(), 0
     for (i, _), (_, w) in zip(TEXTS, toks, strict=True):
         if (i or 0) % 3:

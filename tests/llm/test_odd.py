@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidewheel.llm import decontaminate, line_templates, lm_score, minhash, packing, quality, suffix_dedup, tool_calls, url_lists, warc  # noqa: E402
+from tidewheel.llm import common, decontaminate, line_templates, lm_score, minhash, packing, quality, suffix_dedup, tool_calls, url_lists, warc  # noqa: E402
 
 HUGE = "word and more of it " * 100_000
 ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, HUGE), (4, HUGE), (5, HUGE + "tail"), (6, "x" * 700_000), (None, "no id"), (None, "no id"), (7, "same line\nsame line"), (7, "same line\nsame line"), (None, None)]
@@ -122,3 +122,47 @@ def test_warc_ties(spark, tmp_path):
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "a")).collect())
     assert got == sorted([(1, "revisit", 2), (2, "response", None), (2, "revisit", 2), (2, "revisit", 2), (0, "response", None), (0, "response", None), (3, "response", None), (3, "revisit", 3), (4, "response", None)])
     assert warc.read_archives(spark, str(tmp_path / "a"), damaged=True).count() == 0
+
+
+def test_warc_numbers_and_lengths(spark, tmp_path, monkeypatch):
+    """Ids over the whole range of a long; payloads that look like headers, with lengths that lead nowhere; files cut by bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    start = "WARC/1.1\r\nContent-Length: "
+    hostile = [
+        start + "9" * 5000, start + "9" * 5000 + "\r\n\r\n", start + "-5\r\n\r\n\r\n\r\n", start + "\u0664\r\n\r\nabcd\r\n\r\n", start + "9223372036854775807\r\n\r\nx\r\n\r\n", start + "4\r\n\r\nabcd\r\n\r\n",
+        "a: WARC/1.1\r\n" * 20_000 + "\r\n", "\r\n".join(["WARC/1.1"] * 20_000) + "\r\n\r\n", "\r\n" * 50_000, "WARC/1.1\r\n\r\n", "x" * 1_000_000,
+    ]
+    ids = [1234567890123456789, 2**63 - 1, -(2**63), 0, *range(10, 10 + len(hostile))]
+    texts = ["same", "same", "same", "own", *hostile]
+    pages = spark.createDataFrame(list(zip(ids, ["u"] * len(ids), texts, strict=True)), "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_archives(pages.coalesce(1), folder)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, folder).collect()}
+    want = {i: ("response", None, len(t.encode())) for i, t in zip(ids, texts, strict=True)}
+    assert got == want | {i: ("revisit", 2**63 - 1, 4) for i in (1234567890123456789, -(2**63))}
+    assert warc.read_archives(spark, folder, damaged=True).count() == 0
+    sizes = [r.length for r in spark.read.format("binaryFile").load(folder).select("length").collect()]
+    assert len(sizes) == 4 and sum(sizes) > 1_500_000 and sorted(sizes)[-2] < 900_000
+
+
+def test_odd_names_in_arguments(spark):
+    odd = {'{"query":"a","\\ud800":1}': "unexpected \\ud800", '{"query":1e999}': "not JSON", '{"query":"a","\\udfff\\ud800":{}}': "unexpected \\udfff\\ud800", '{"query":-1e400}': "not JSON", '{"query":"1e999"}': None}
+    calls = spark.createDataFrame([(1, f"c{n}", n, "lookup", a, None) for n, a in enumerate(odd)], "conv long, call string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv long, call string, turn long, content string")
+    rows = tool_calls.linked(calls, results, tool_calls.SCHEMAS).orderBy("turn").collect()
+    assert [r.fault for r in rows] == list(odd.values())
+
+
+def test_largest_id_is_an_id(spark):
+    """The greatest long and a missing id are told apart, and each comes back."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(2**63 - 1, text), (None, text), (None, "else " * 30), (2**63 - 1, "other " * 30)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("b", text)], "item_id string, text string")
+    ids = lambda df, c="doc_id": sorted((r[c] is None, r[c] or 0) for r in df.collect())
+    want = [(False, 2**63 - 1)] * 2 + [(True, 0)] * 2
+    assert ids(suffix_dedup.repeated_spans(docs).select(common.id_out().alias("doc_id"))) == want
+    assert ids(decontaminate.overlaps(docs, bench).filter(decontaminate.is_contaminated()).select(common.id_out().alias("doc_id"))) == [want[0], want[2]]
+    near = minhash.near_duplicates(docs).select(common.id_out().alias("doc_id"), common.id_out("component", "lost").alias("c"), "n")
+    assert ids(near) == want and {(r.doc_id, r.c) for r in near.filter("n = 12").collect()} == {(2**63 - 1, 2**63 - 1), (None, 2**63 - 1)}
+    assert ids(minhash.keep_one(docs)) == [(False, 2**63 - 1)] * 2 + [(True, 0)]
+    assert ids(lm_score.lm_scores(docs, F.lit(True)).select("i"), "i") == want

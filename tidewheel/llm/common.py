@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = 2**63 - 1
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +34,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether a staged table has at most BROADCAST_ROWS rows, and these at most BROADCAST_BYTES bytes as JSON text."""
+    if df.count() > BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A staged table with a broadcast hint if it has at most BROADCAST_ROWS rows; else a shuffle joins it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A staged table with a broadcast hint if it fits(); else a shuffle joins it."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def discard(df: DataFrame) -> None:
@@ -48,19 +55,28 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def _row_key(i: Column, t: Column) -> Column:
+    """A hash that tells rows of one id apart; its last bit says that the id is missing."""
+    return F.xxhash64(i, t).bitwiseAND(F.lit(-2)).bitwiseOR(i.isNull().cast("long"))
+
+
+def missing_id(k: Column | str = "k") -> Column:
+    """1 where text_rows() found no id, else 0."""
+    return (F.col(k) if isinstance(k, str) else k).bitwiseAND(F.lit(1).cast("long"))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
-    """(i, k, text): i orders documents (a missing id comes last), k tells rows of one id apart.
+    """(i, k, text): i orders documents (a missing id comes last), k tells rows of one id apart and holds whether the id is missing.
 
     Rows that agree in id and text share both, and get the same results.
     """
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return docs.select(F.coalesce(i, F.lit(NO_ID)).cast("long").alias("i"), F.xxhash64(i, t).alias("k"), t.alias("text"), *(c.alias(name) for name, c in more.items()))
+    return docs.select(F.coalesce(i, F.lit(NO_ID)).cast("long").alias("i"), _row_key(i, t).alias("k"), t.alias("text"), *(c.alias(name) for name, c in more.items()))
 
 
-def id_out(i: Column | str = "i") -> Column:
+def id_out(i: str = "i", lost: Column | str = "k") -> Column:
     """The id that text_rows() ordered by, missing again where it was missing."""
-    c = F.col(i) if isinstance(i, str) else i
-    return F.when(c != NO_ID, c)
+    return F.when((F.col(i) != NO_ID) | (missing_id(lost) == 0), F.col(i))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -79,7 +95,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """docs with the two key columns of text_rows() under free names."""
     ni, nk = fresh(docs, "row_i", "row_k")
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return docs.withColumns({ni: F.coalesce(i, F.lit(NO_ID)).cast("long"), nk: F.xxhash64(i, t)}), ni, nk
+    return docs.withColumns({ni: F.coalesce(i, F.lit(NO_ID)).cast("long"), nk: _row_key(i, t)}), ni, nk
 
 
 def with_key(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

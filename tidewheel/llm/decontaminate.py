@@ -69,18 +69,20 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     rows = text_rows(docs, id_col, text_col)
     hashed = rows.select("i", "k", word_hashes(folded_words(F.col("text"))).alias("h"))
-    found = None
-    for size in sorted(r.m for r in distinct.select("m").distinct().collect()):  # at most `window` lengths
-        if size == window:
-            prints = lambda h: let(gram_hashes(h, gram), lambda g: F.transform(winnowed(g, window - gram + 1), lambda p: F.struct(F.lit(window).alias("m"), p.alias("at"), F.get(g, p).alias("print"))))
-        else:
-            prints = lambda h, size=size: F.transform(gram_hashes(h, size), lambda x, p: F.struct(F.lit(size).alias("m"), p.alias("at"), x.alias("print")))
-        own = distinct.filter(F.col("m") == size).select(F.explode(prints(word_hashes(F.transform("w", _folded)))).alias("f")).select("f.print").distinct()
-        theirs = hashed.select("i", "k", F.explode(prints(F.col("h"))).alias("f")).select("i", "k", "f.*")
-        hit = theirs.join(small(staged(own, "prints")), "print", "left_semi").select("i", "k", "m", "at")
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        found = rows.select("i", "k", F.lit(window).alias("m"), F.lit(0).alias("at")).limit(0)
+    sizes = sorted(r.m for r in distinct.select("m").distinct().collect())  # at most `window` lengths
+
+    def prints(h: Column, size: int) -> Column:
+        at = lambda p, x: F.struct(F.lit(size).alias("m"), p.alias("at"), x.alias("print"))
+        if size < window:
+            return F.transform(gram_hashes(h, size), lambda x, p: at(p, x))
+        return let(gram_hashes(h, gram), lambda g: F.transform(winnowed(g, window - gram + 1), lambda p: at(p, F.get(g, p))))
+
+    # one pass over the documents for all lengths
+    own, found = distinct.select("m", word_hashes(F.transform("w", _folded)).alias("h")), rows.select("i", "k", F.lit(window).alias("m"), F.lit(0).alias("at")).limit(0)
+    if sizes:
+        own = own.select(F.explode(F.coalesce(*(F.when(F.col("m") == size, prints(F.col("h"), size)) for size in sizes))).alias("f")).select("f.m", "f.print").distinct()
+        theirs = hashed.select("i", "k", F.explode(F.concat(*(prints(F.col("h"), size) for size in sizes))).alias("f")).select("i", "k", "f.*")
+        found = theirs.join(small(staged(own, "prints")), ["m", "print"], "left_semi").select("i", "k", "m", "at")
     places = found.groupBy("i", "k").agg(F.collect_set(F.struct("m", "at")).alias("places"))
 
     def around(words: Column, places: Column) -> Column:

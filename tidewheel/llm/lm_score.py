@@ -184,7 +184,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     n, v, nbytes = (int(x or 0) for x in size)
     groups = max(1, -(-nbytes // GROUP_BYTES))
     parts = max(1, -(-nbytes // 5 // PART_KEYS))
-    dealt = rows.select(F.pmod("k", F.lit(groups)).cast("int").alias("g"), "i", "train", "text").repartition(groups, "g")
+    dealt = rows.select(F.pmod("k", F.lit(groups)).cast("int").alias("g"), id_out().alias("i"), "train", "text").repartition(groups, "g")
     sent = dealt.groupBy("g").applyInArrow(_sent(parts), "p int, g int, kind int, keys binary, type string, counts binary")
     replies = sent.groupBy("p", "kind").applyInArrow(_totals, "g int, p int, kind int, type string, counts binary")
     out = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(
@@ -197,5 +197,5 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kept = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0
     return lm_scores(docs, kept).select(
-        id_out().alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        F.col("i").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U, Prefix, mix, slices, words
-from .common import components, discard, id_out, small, staged, text_rows
+from .common import components, discard, id_out, missing_id, small, staged, text_rows
 
 PERMS, ROWS, BITS = 128, 5, 2
 BANDS = PERMS // ROWS
@@ -163,7 +163,7 @@ def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: int = 85, margin: float = 0.23) -> DataFrame:
-    """(i, k, n, component) for each row: component is the least id linked with it, itself included.
+    """(i, k, n, component, lost) for each row: component is the least id linked with it, itself included; lost is 1 if that has none.
 
     Texts are linked when their word-shingle sets have a Jaccard similarity of threshold percent.
     1. Rows with the same shingle set become one node, so a group of exact copies costs one node.
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = text_rows(docs, id_col, text_col)
     drawn = staged(sketches(rows, size), "sketch")
-    nodes = drawn.filter("n > 0").groupBy("node").agg(F.min(F.struct("i", "k", "n", "sig", "bands")).alias("r"))
+    nodes = drawn.filter("n > 0").groupBy("node").agg(F.min(F.struct("i", missing_id().alias("lost"), "k", "n", "sig", "bands")).alias("r"))
     nodes = staged(nodes.select("node", "r.*"), "nodes")
     met = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     buckets = met.groupBy("at", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("c > 1")
@@ -210,19 +210,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = later.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
     second = links(later.drop("label").join(apart, "band", "left_semi"))
     joined = components(first.union(second))
-    of_node = nodes.select("node", "i").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of_node.groupBy("label").agg(F.min("i").alias("component"))
-    known = staged(of_node.join(least, "label").select("node", "component"), "known")
+    of_node = nodes.select("node", "i", "lost").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of_node.groupBy("label").agg(F.min(F.struct("i", "lost")).alias("least"))
+    known = staged(of_node.join(least, "label").select("node", F.col("least.i").alias("component"), F.col("least.lost").alias("lost")), "known")
     for done in (buckets, shared, texts, first, label, later, second, joined, nodes):
         discard(done)
-    return drawn.select("i", "k", "n", "node").join(known, "node", "left").select("i", "k", "n", F.coalesce("component", "i").alias("component"))
+    return drawn.select("i", "k", "n", "node").join(known, "node", "left").select("i", "k", "n", F.coalesce("component", "i").alias("component"), F.coalesce("lost", missing_id()).alias("lost"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose component has a row with a smaller id.  Columns as in docs."""
     from .common import with_key
 
-    found = near_duplicates(docs, id_col, text_col, **how).filter("i = component").select("i", "k").distinct()
+    found = near_duplicates(docs, id_col, text_col, **how).filter((F.col("i") == F.col("component")) & (missing_id() == F.col("lost"))).select("i", "k").distinct()
     return with_key(docs, found, "left_semi", id_col, text_col).select(*(f"`{c}`" for c in docs.columns))
 
 
@@ -231,6 +231,6 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select(
         id_out().alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        id_out("component").alias("component_id"),
-        (F.col("i") == F.col("component")).alias("kept"),
+        id_out("component", "lost").alias("component_id"),
+        ((F.col("i") == F.col("component")) & (missing_id() == F.col("lost"))).alias("kept"),
     )

@@ -1,10 +1,13 @@
 """Queries of this subpackage and the SQL twins of those that SQL can express."""
 
+from .byte_bpe import op13_byte_bpe
 from .decontaminate import op8_decontamination
 from .line_templates import OP7_SQL, op7_line_templates
 from .lm_score import op10_lm_scores
+from .merkle import op11_merkle
 from .minhash import op9_near_duplicates
 from .packing import op1_packing
+from .periodic_runs import op12_periodic_runs
 from .quality import op2_quality_rules
 from .suffix_dedup import op5_suffix_dedup
 from .tool_calls import OP4_SQL, op4_tool_calls
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_lm_scores": op10_lm_scores,
+    "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 OP6_SQL = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pyarrow as pa
@@ -23,10 +24,16 @@ def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    if math.isinf(out := float(text)):
+        raise ValueError(text)
+    return out
+
+
 def read(arguments: str | None):
-    """The value of JSON arguments; ValueError if they are none, hold NaN or infinities, or are nested too deeply to read."""
+    """The value of JSON arguments; ValueError if they are none, hold NaN, infinities or numbers beyond the range of doubles, or are nested too deeply to read."""
     try:
-        return json.loads(arguments or "", parse_constant=_no_constant)
+        return json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
     except RecursionError:
         raise ValueError("nested too deeply") from None
 
@@ -75,15 +82,21 @@ def faults(arguments: str | None, schema: dict | None) -> str | None:
     if schema is None:
         return "unknown tool"
     try:
-        return _fault(read(arguments), {"type": "object"} | schema, "")
+        found = _fault(read(arguments), {"type": "object"} | schema, "")
+        return found and _escaped(found)
     except ValueError:
         return "not JSON"
 
 
+def _escaped(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 can't hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted names, no spaces and characters as they are; halves of surrogate pairs, which UTF-8 can't hold, as escapes."""
     out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)
+    return _escaped(out)
 
 
 def depths(calls: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import discard, shared_dir, small, staged
 
 MAGIC, CLOSE = b"WARC/1.1\r\n", "\r\n\r\n"
-RECORDS_PER_FILE = 512
+#: A file ends after the record that brings it to this size.
+FILE_BYTES = 8 << 20
+LONG = 2**63
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -52,16 +56,17 @@ def planned(pages: DataFrame, id_col: str, url_col: str, body_col: str, least_by
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0) -> None:
-    """Write a record for each row into files of at most RECORDS_PER_FILE records under folder.
+    """Write a record for each row into files under folder that end with the record that brings them to FILE_BYTES.
 
     Of rows with equal payloads of least_bytes or more, that with the largest id is a response and the others are
-    revisits without a payload; rows without an id are responses.  White space and control
-    characters of a url are percent-encoded, so that they can't break the header.
+    revisits without a payload; rows without an id are responses.  A null payload or url counts as empty.  White space and
+    control characters of a url are percent-encoded, so that they can't break the header.
     """
 
     def run(batches):
+        held, size = [], 0
+        value = lambda: pa.RecordBatch.from_pydict({"value": pa.array([CLOSE.join(held)], pa.string())})
         for batch in batches:
-            out = []
             for i, url, body, first in zip(*(batch.column(c).to_pylist() for c in ("i", "url", "body", "first")), strict=True):
                 payload = body.encode()
                 url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
@@ -73,13 +78,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if first is not None:
                     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(first)}", f"X-Refers-To-Page: {first}"]
                 head.append(f"Content-Length: {len(block)}")
-                out.append(MAGIC.decode() + "\r\n".join(head) + "\r\n\r\n" + block.decode())
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+                held.append(MAGIC.decode() + "\r\n".join(head) + "\r\n\r\n" + block.decode())
+                size += len(block)
+                if size >= FILE_BYTES:
+                    yield value()
+                    held, size = [], 0
+        if held:
+            yield value()
 
     rows = planned(pages, id_col, url_col, body_col, least_bytes).select("i", "url", "body", "first")
     records = rows.mapInArrow(run, "value string")
-    # the text writer ends each value with lineSep, which is just what ends a record
-    records.write.option("lineSep", CLOSE).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    # a value is a file: the text writer ends it with lineSep, which is just what ends a record
+    records.write.option("lineSep", CLOSE).option("maxRecordsPerFile", 1).text(folder)
 
 
 _FIELDS = "file string, at long, next long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, intact boolean"
@@ -89,34 +99,50 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each place in a file that looks like a record, whether or not it is inside a payload.
 
     next: where the record after it would start, by its header.  intact: the payload has the length and digest of
-    the header.
+    the header.  Lengths and ids are decimal numbers that fit a long, others count as missing; a record without a length, or with one that leads
+    beyond the file, is none.
     """
 
-    def parse(data: bytes, at: int):
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return None
-        fields = dict(x.split(b": ", 1) for x in data[at + len(MAGIC) : stop].split(b"\r\n") if b": " in x)
-        get = lambda k: fields.get(k, b"").decode("utf-8", "replace")
-        if not get(b"Content-Length").isdecimal():
-            return None
-        body, end = stop + 4, stop + 4 + int(get(b"Content-Length"))
-        if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
-            return None
-        number = lambda k: int(get(k)) if re.fullmatch(r"-?\d{1,18}", get(k)) else None
-        kind, digest, size = get(b"WARC-Type"), get(b"WARC-Payload-Digest").removeprefix("sha1:"), number(b"X-Payload-Length")
-        split = data.find(b"\r\n\r\n", body, end)
-        payload = data[split + 4 : end] if 0 <= split else b""
-        return end + 4, kind, number(b"X-Page-ID"), number(b"X-Refers-To-Page"), size, digest, kind != "response" or (_digest(payload) == digest and len(payload) == size)
+    def number(text: bytes | None) -> int | None:
+        out = int(text) if text and re.fullmatch(rb"-?\d{1,19}", text) else LONG
+        return out if -LONG <= out < LONG else None
+
+    def parse(data: bytes):
+        """(at, fields of the record) of each place with the magic and a header whose length leads to the end of a record.
+
+        Headers that end at one place share their last lines, so they are read from the last to the first, each line once.
+        """
+        ends = [m.start() for m in re.finditer(rb"(?=\r\n\r\n)", data)]
+        by_end = defaultdict(list)
+        for m in re.finditer(re.escape(MAGIC), data):
+            stop = bisect.bisect_left(ends, m.end() - 2)
+            if stop < len(ends):
+                by_end[ends[stop]].append(m.start())
+        for stop, places in by_end.items():
+            fields, upto, digests = {}, stop, {}
+            for at in reversed(places):
+                lines = data[at + len(MAGIC) : upto].removesuffix(b"\r\n").split(b"\r\n") if at + len(MAGIC) < upto else []
+                if not all(b": " in x for x in lines):
+                    break
+                for name, value in (x.split(b": ", 1) for x in reversed(lines)):
+                    fields.setdefault(name, value)
+                upto = at + len(MAGIC)
+                length, body = number(fields.get(b"Content-Length")), stop + 4
+                if length is None or not 0 <= length <= len(data) - body or data[body + length : body + length + 4] != b"\r\n\r\n":
+                    continue
+                end, text = body + length, lambda k: fields.get(k, b"").decode("utf-8", "replace")
+                kind, digest, size = text(b"WARC-Type"), text(b"WARC-Payload-Digest").removeprefix("sha1:"), number(fields.get(b"X-Payload-Length"))
+                split = data.find(b"\r\n\r\n", body, end)
+                if kind == "response" and end not in digests:
+                    payload = data[split + 4 : end] if split >= 0 else b""
+                    digests[end] = _digest(payload), len(payload)
+                yield at, end + 4, kind, number(fields.get(b"X-Page-ID")), number(fields.get(b"X-Refers-To-Page")), size, digest, kind != "response" or digests[end] == (digest, size)
 
     def run(batches):
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_())])
         for batch in batches:
             for file, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                data, out = data.as_py(), []
-                for m in re.finditer(re.escape(MAGIC), data):
-                    if found := parse(data, m.start()):
-                        out.append(dict(zip(schema.names, (file.as_py(), m.start(), *found), strict=True)))
+                out = [dict(zip(schema.names, (file.as_py(), *found), strict=True)) for found in parse(data.as_py())]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, _FIELDS)
@@ -145,7 +171,7 @@ def read_archives(spark: SparkSession, folder: str, damaged: bool = False) -> Da
 
     With `damaged`, the others on the chain are returned instead, for a report.  A magic string inside a payload may look like a
     record; no chain from the start leads to it.  An empty folder has no records.  A file must fit into a task, as those of
-    write_archives() do.
+    write_archives() do: FILE_BYTES and the largest page at most.
     """
     found = staged(candidates(spark, folder), "candidates")
     return found.join(reachable(found), ["file", "at"], "left_semi").filter(F.col("intact") != damaged)
