@@ -59,3 +59,35 @@ def test_plan_is_idempotent(spark):
     new, now = old.select("source", "key", "level", "hash", "title", "starts_at", "ends_at"), F.lit("2024-01-01").cast("timestamp_ntz")
     assert {r.action for r in reconcile.plan(old, new, now).collect()} == {"touch"}
     assert {r.action for r in reconcile.plan(old, new.limit(0), now, F.lit(False)).collect()} == {"leave"}
+
+
+def test_rules_against_a_plain_loop(spark):
+    """Random rules of several hosts with all conditions, short and odd phrases, repeated and empty ones, against a loop over the rules."""
+    import random
+
+    from tidewheel.operators import classify
+
+    rng, pick = random.Random(7), lambda *x: rng.choice(x)
+    words = ["Jazz", "night", "ÄRGER", "a", "Kit 1", "%_", "İ", "x.y"]
+    events = [
+        (n, pick(1, 2, 3, None), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), pick("Main", "main", "", None), pick("music", "Music", None), [x for x in ("music", "Food", "b") if rng.random() < 0.4],
+         pick("home", "venue", "online"), [x for x in ("private", "membersOnly", "conference") if rng.random() < 0.3])
+        for n in range(300)
+    ]
+    rules = [
+        (n, pick(1, 2, 3, None), pick("jazz", "NIGHT", "A", "kit 1", "%", "i̇", "x.", "", None, None), pick("MAIN", "", None, None), pick("music", "Food", "B", None, None), pick("home", "venue", None, None), pick("private", "conference", None, None), pick("public", "held"), None, None)
+        for n in range(200) if n % 50
+    ]
+    def holds(r, e):
+        _, _, title, cal, cat, place, flag, *_ = r
+        _, _, name, own_cal, own_cat, tags, own_place, flags = e
+        return ((not title or title.lower() in name.lower()) and (not cal or (own_cal or "").lower() == cal.lower()) and (not cat or own_cat == cat or cat.lower() in tags)
+                and (not place or own_place == place) and (not flag or flag in flags))
+    want = {e[0]: next((r[0] for r in rules if r[1] == e[1] and e[1] is not None and holds(r, e)), None) for e in events}
+    e = spark.createDataFrame(events, "id long, host long, name string, calendar string, category string, tags array<string>, place_type string, flags array<string>")
+    r = spark.createDataFrame(rules, "position long, host long, title_contains string, calendar string, category string, location_type string, flag string, level string, audience string, gated_fields array<string>")
+    out = classify.first_rule(e, r, "id")
+    assert {x.id: x.rule_position for x in out.collect()} == want and len({*want.values()}) > 10
+    assert {x.rule_position for x in classify.first_rule(e, r.limit(0), "id").collect()} == {None}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -1,3 +1,3 @@
 """Test views, and the queries with their SQL twins."""
 
-from . import accounts, catalog, desk, feeds, finding, streams  # noqa: F401
+from . import accounts, catalog, desk, feeds, rules, finding, streams  # noqa: F401
