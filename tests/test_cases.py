@@ -126,3 +126,63 @@ def test_compaction(spark, tmp_path):
         upsert.write(rows, str(tmp_path / "t"), str(tmp_path / "c"), keys, order, every=3).awaitTermination()
         assert {(r.k, r.v) for r in upsert.read(spark, str(tmp_path / "t"), keys, order).collect()} == {(j % 3, f"v{j}") for j in range(max(0, n - 2), n + 1)}
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")]) == 2
+
+
+def test_rules_against_another_library(spark):
+    """Random rules of all frequencies and parts against dateutil, with COUNT and UNTIL, from starts over leap years."""
+    import random
+
+    from dateutil import rrule
+
+    rng = random.Random(11)
+    days = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
+    some = lambda values, most=3: ",".join(map(str, rng.sample(list(values), rng.randint(1, most))))
+    signed = lambda n: [x for x in range(-n, n + 1) if x]
+    rules = []
+    for _ in range(400):
+        freq = rng.choice(["HOURLY", "DAILY", "WEEKLY", "MONTHLY", "YEARLY"])
+        parts = [f"FREQ={freq}"]
+        maybe = lambda p, text: parts.append(text) if rng.random() < p else None  # noqa: B023, E731
+        maybe(0.5, f"INTERVAL={rng.randint(1, 4)}")
+        maybe(0.4, f"WKST={rng.choice(days)}")
+        kind = rng.random()
+        if freq == "YEARLY" and kind < 0.25:
+            parts.append(f"BYWEEKNO={some(range(2, 51))}")
+            parts.append(f"BYDAY={some(days)}")  # without weekdays the library takes all of a week, and calendars the first day's
+        elif freq == "YEARLY" and kind < 0.5:
+            parts.append(f"BYYEARDAY={some(signed(366))}")
+        else:
+            # the library wants both of a plain and a numbered weekday, so there is one kind in a rule
+            numbered = freq in ("MONTHLY", "YEARLY") and rng.random() < 0.5
+            number = lambda numbered=numbered: rng.choice(["1", "-1", "2", "+3", "-5"]) if numbered else ""
+            maybe(0.4, "BYDAY=" + ",".join(number() + d for d in rng.sample(days, rng.randint(1, 3))))
+            maybe(0.25 if freq != "WEEKLY" else 0, f"BYMONTHDAY={some(signed(31))}")
+            maybe(0.3, f"BYMONTH={some(range(1, 13))}")
+        maybe(0.3, f"BYHOUR={some(range(24))}")
+        maybe(0.2, f"BYMINUTE={some(range(0, 60, 5))}")
+        if freq in ("MONTHLY", "YEARLY", "WEEKLY") and len(parts) > 2:
+            maybe(0.3, f"BYSETPOS={some([1, 2, -1, -2], 2)}")
+        maybe(0.5, f"COUNT={rng.randint(1, 30)}" if rng.random() < 0.7 else f"UNTIL={rng.randint(2021, 2024)}0{rng.randint(1, 9)}1{rng.randint(0, 9)}")
+        start = datetime(rng.randint(2019, 2022), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), 30)
+        rules.append((";".join(parts), start))
+    rows = spark.createDataFrame([(n, r, t, False, "UTC") for n, (r, t) in enumerate(rules)], "n int, rule string, start_wall timestamp_ntz, in_utc boolean, zone string")
+    assert rows.filter(~calendar.readable_rule()).count() == 0
+    got = {r.n: r.o for r in rows.select("n", calendar.occurrences(F.to_date(F.lit("2025-06-30")), F.lit(500)).alias("o")).collect()}
+    for n, (rule, start) in enumerate(rules):
+        want = []
+        try:
+            found = rrule.rrulestr(f"{rule}T235959" if "UNTIL" in rule else rule, dtstart=start)
+        except ValueError:  # hours that no step meets
+            found = []
+        for t in found:
+            if t > datetime(2025, 6, 30, 23, 59, 59) or len(want) == 500:
+                break
+            want.append(t)
+        assert got[n] == want, (rule, start, got[n][:5], want[:5])
+
+
+def test_unreadable_rules(spark):
+    bad = ["INTERVAL=1", "FREQ=DAILY;INTERVAL=0", "FREQ=DAILY;INTERVAL=-2", "FREQ=DAILY;COUNT=-1", "FREQ=DAILY;COUNT=0", "FREQ=MONTHLY;BYMONTHDAY=x", "FREQ=MONTHLY;BYMONTHDAY=32", "FREQ=MONTHLY;BYMONTH=13", "FREQ=SECONDLY", "FREQ=DAILY;BYDAY=2MO",
+           "FREQ=MONTHLY;BYWEEKNO=3", "FREQ=DAILY;UNTIL=20241399", "FREQ=DAILY;UNTIL=x", "FREQ=DAILY;X=1", "", "FREQ=YEARLY;BYWEEKNO=54", "FREQ=YEARLY;BYHOUR=24", "FREQ=WEEKLY;BYSETPOS=0", "FREQ=DAILY;INTERVAL=99999999999999999999"]
+    rows = spark.createDataFrame([(r,) for r in [*bad, "FREQ=DAILY", "FREQ=YEARLY;BYMONTH=06;", None]], "rule string")
+    assert [r.ok for r in rows.select(calendar.readable_rule().alias("ok")).collect()] == [False] * len(bad) + [True] * 3

@@ -9,6 +9,7 @@ from ..operators import cards as C
 from ..operators import connect as O
 from ..operators import moderation as M
 from ..operators import normalize as Z
+from ..operators import quarantine as H
 from ..operators import reconcile as R
 from ..sources import raw as W
 from .catalog import T0, query
@@ -268,6 +269,40 @@ def quarantine(spark, d):
     return Z.normalize(_raw(spark, d), ZONE)[1].select("external_id")
 
 
+_ODD_ZONES = ["Bad/Zone", "america/denver", "UTC+2", "+99:00", "", "Europe/Berlin"]
+_WHY = """CASE WHEN event_id % 10 = 0 THEN 'name' WHEN event_id % 17 = 0 AND event_id // 17 % 6 IN (0, 3, 4) THEN 'zone' WHEN event_id % 11 = 0 OR event_id % 23 = 0 THEN 'start' END"""
+
+
+def _odd_raw(spark, d):
+    """Raw rows of which some name a zone that there isn't, or a time beyond all calendars."""
+    n = F.col("external_id").cast("long")
+    zone = F.element_at(F.array(*map(F.lit, _ODD_ZONES)), (F.floor(n / 17) % 6 + 1).cast("int"))
+    return _raw(spark, d).withColumns({"tz": F.when(n % 17 == 0, zone).otherwise(F.col("tz")), "start": F.when(n % 23 == 0, "+99999-01-01T00:00:00").otherwise(F.col("start"))})
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS external_id, {_WHY} AS reason, CASE WHEN event_id % 10 = 0 THEN ' ' ELSE 'Event ' || event_id END AS name FROM events WHERE {_WHY} IS NOT NULL")
+def quarantine_reasons(spark, d):
+    return Z.normalize(_odd_raw(spark, d), ZONE)[1].select("external_id", "reason", "name")
+
+
+@query(f"SELECT coalesce({_WHY}, '') AS reason, count(*) AS n, count(*) AS read_back FROM events GROUP BY 1")
+def quarantine_counts(spark, d):
+    """Kept and refused rows written in one pass: what was counted on the way, and what each side holds."""
+    from .streams import scratch
+
+    kept, refused, counts = H.settle(Z.judged(_odd_raw(spark, d), ZONE), scratch(spark), Z.REASONS)
+    back = refused.groupBy("reason").agg(F.count("*").alias("read_back")).unionByName(kept.agg(F.count("*").alias("read_back")).withColumn("reason", F.lit("")))
+    return spark.createDataFrame(list(counts.items()), "reason string, n long").join(back, "reason")
+
+
+@query(f"SELECT event_id % 17 = 0 AS odd, CAST(event_id AS VARCHAR) AS external_id, CASE event_id // 17 % 6 WHEN 1 THEN (ts2 AT TIME ZONE 'America/Denver') AT TIME ZONE 'UTC' WHEN 2 THEN ts2 - INTERVAL 2 HOUR ELSE (ts2 AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' END AS starts_at FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS ts2 FROM events) WHERE event_id % 17 = 0 AND {_WHY} IS NULL")
+def odd_zones(spark, d):
+    """Times in zones that are spelt oddly, or given as offsets."""
+    kept, _ = Z.normalize(_odd_raw(spark, d), ZONE)
+    n = F.col("external_id").cast("long")
+    return kept.filter(n % 17 == 0).select((n % 17 == 0).alias("odd"), "external_id", "starts_at")
+
+
 @query("""WITH k AS (SELECT user_id AS source, event_type AS external_id, event_id, ts, event_id % 4 = 0 AS deleted, value FROM events)
 SELECT source, external_id, arg_max(value, (ts, event_id)) FILTER (NOT deleted) AS value, CASE WHEN arg_max(deleted, (ts, event_id)) THEN 'cancelled' ELSE 'scheduled' END AS status FROM k GROUP BY ALL HAVING count(*) FILTER (NOT deleted) > 0""")
 def pushed_rows(spark, d):

@@ -283,6 +283,60 @@ def ics_places(spark, d):
     return found.select("external_id", "starts_at")
 
 
+_REFUSED = """CASE event_id % 12 WHEN 0 THEN 'name' WHEN 1 THEN 'start' WHEN 2 THEN 'rule' WHEN 3 THEN 'rule' WHEN 4 THEN 'rule' WHEN 5 THEN 'rule' WHEN 6 THEN 'duration' WHEN 7 THEN 'duration' END"""
+
+
+def _spoilt(spark, d):
+    """Feeds of 60 events of which two in three can't be read, each in another way."""
+    e, n = table(spark, d, "events"), F.col("event_id") % 12
+    broken = (
+        F.when(n == 2, "RRULE:FREQ=DAILY;INTERVAL=0").when(n == 3, "RRULE:FREQ=DAILY;COUNT=-1").when(n == 4, "RRULE:FREQ=MONTHLY;BYMONTHDAY=x").when(n == 5, "RRULE:FREQ=DAILY;INTERVAL=-2")
+        .when(n == 6, "DURATION:P99999999999999W").when(n == 7, "DURATION:an hour").when(n == 8, "DURATION:PT90M").when(n == 9, "RRULE:FREQ=DAILY;COUNT=1")
+    )
+    start = F.when(n == 1, "DTSTART:2024-13-45").otherwise(F.concat(F.lit(f"DTSTART;TZID={ZONE}:"), F.date_format("ts", "yyyyMMdd'T'HHmmss")))
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id").cast("string")), F.when(n != 0, "SUMMARY:x"), start, broken, F.lit("END:VEVENT"))
+    return e.select(F.floor(F.col("event_id") / 60).alias("feed"), block.alias("b")).groupBy("feed").agg(F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.collect_list("b"), F.lit("END:VCALENDAR")).alias("body"))
+
+
+@query(f"SELECT event_id // 60 AS feed, CAST(event_id AS VARCHAR) AS external_id, {_REFUSED} AS reason FROM events WHERE event_id % 12 < 8")
+def ics_refused(spark, d):
+    """Blocks that are set aside, with their reasons; the others of their feeds stay (ics_kept)."""
+    return calendar.judged(_spoilt(spark, d), ZONE).filter("reason is not null").select("feed", "external_id", "reason")
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS external_id, (date_trunc('second', ts) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS starts_at,
+CASE WHEN event_id % 12 = 8 THEN ((date_trunc('second', ts) + INTERVAL 90 MINUTE) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' END AS ends_at FROM events WHERE event_id % 12 >= 8""")
+def ics_kept(spark, d):
+    found, _ = calendar.read(_spoilt(spark, d), F.lit("2000-01-01").cast("timestamp_ntz"), F.lit("2030-01-01").cast("timestamp_ntz"), ZONE)
+    return found.select("external_id", "starts_at", "ends_at")
+
+
+_SERIES = f"""e AS (SELECT event_id, event_id % 6 AS kind, date_trunc('second', ts) AS wall, date_trunc('second', ts)::DATE AS d0 FROM events),
+g AS (SELECT *, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-04-16', INTERVAL 1 DAY)) AS x FROM e WHERE kind <> 5),
+h AS (SELECT event_id, kind, wall, x, (week(x) IN (4, 9) AND isoyear(x) = year(x) AND isodow(x) = 3) AS wk, (dayofyear(x) IN (40, 100) OR dayofyear(x) = 366 - 300) AS yd FROM g),
+o AS (SELECT event_id, x + (wall - wall::DATE) AS w FROM h WHERE (kind = 0 AND wk) OR (kind = 1 AND yd)
+  UNION ALL SELECT event_id, x + to_hours(CAST(v AS INTEGER)) + to_minutes(CAST(minute(wall) AS INTEGER)) + to_seconds(second(wall)) FROM (SELECT *, unnest([9, 17]) AS v FROM g WHERE kind = 2 AND date_diff('day', d0, x::DATE) % 2 = 0)
+  UNION ALL SELECT event_id, x + to_hours(CAST(v AS INTEGER)) + to_minutes(CAST(minute(wall) AS INTEGER)) + to_seconds(second(wall)) FROM (SELECT *, unnest([8, 20]) AS v FROM g WHERE kind = 3 AND isodow(x) = 1)
+  UNION ALL SELECT event_id, x + to_hours(6) + to_minutes(CAST(v AS INTEGER)) + to_seconds(second(wall)) FROM (SELECT *, unnest([0, 30]) AS v FROM g WHERE kind = 4 AND day(x) = 1)
+  UNION ALL SELECT event_id, unnest(generate_series(date_trunc('hour', wall), TIMESTAMP '2024-04-16', INTERVAL 7 HOUR)) + (wall - date_trunc('hour', wall)) FROM e WHERE kind = 5),
+c AS (SELECT event_id, w, row_number() OVER (PARTITION BY event_id ORDER BY w) AS k FROM o JOIN e USING (event_id) WHERE w >= wall),
+u AS (SELECT event_id, k, (w AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS starts_at FROM c)"""
+
+
+@query(f"""WITH {_SERIES} SELECT CAST(event_id AS VARCHAR) AS external_id, starts_at FROM u WHERE k <= 60 AND starts_at + INTERVAL 1 HOUR > TIMESTAMP '{NOW}' AND starts_at < TIMESTAMP '2024-04-15 12:00:00'""")
+def ics_numbered(spark, d):
+    """Series by week and day numbers of the year, by hours and minutes of a day, and by the hour."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 6
+    rule = (
+        F.when(k == 0, "FREQ=YEARLY;BYWEEKNO=4,9;BYDAY=WE").when(k == 1, "FREQ=YEARLY;BYYEARDAY=40,100,-301").when(k == 2, "FREQ=DAILY;INTERVAL=2;BYHOUR=9,17").when(k == 3, "FREQ=WEEKLY;BYDAY=MO;BYHOUR=20,8")
+        .when(k == 4, "FREQ=MONTHLY;BYMONTHDAY=1;BYHOUR=6;BYMINUTE=0,30").otherwise("FREQ=HOURLY;INTERVAL=7")
+    )
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("event_id").cast("string")), F.lit("SUMMARY:Series"), F.concat(F.lit(f"DTSTART;TZID={ZONE}:"), F.date_format("ts", "yyyyMMdd'T'HHmmss")), F.concat(F.lit("RRULE:"), rule, F.lit(";COUNT=60")), F.lit("END:VEVENT"))
+    feeds = e.select(F.floor(F.col("event_id") / 100).alias("feed"), block.alias("b")).groupBy("feed").agg(F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.collect_list("b"), F.lit("END:VCALENDAR")).alias("body"))
+    found, _ = calendar.read(feeds, now(), F.lit("2024-04-15 12:00:00").cast("timestamp_ntz"), ZONE)
+    return found.select("external_id", "starts_at")
+
+
 @query(f"""WITH e AS (SELECT event_id, event_id % 3 AS kind, date_trunc('second', ts) AS t, {_L % "date_trunc('second', ts)"} AS wall FROM events), g AS (SELECT *, unnest(generate_series(wall::DATE::TIMESTAMP, TIMESTAMP '2024-04-16', INTERVAL 1 DAY)) AS x FROM e WHERE kind < 2),
 h AS (SELECT event_id, ((x + (wall - wall::DATE)) AT TIME ZONE '{ZONE}') AT TIME ZONE 'UTC' AS u FROM g WHERE kind = 0 OR isodow(x) = isodow(wall)), k AS (SELECT event_id, u, row_number() OVER (PARTITION BY event_id ORDER BY u) AS nth FROM h WHERE u <= TIMESTAMP '{NOW}' + INTERVAL 90 DAY)
 SELECT CAST(event_id AS VARCHAR) AS external_id, u AS starts_at, u + INTERVAL 2 HOUR AS ends_at, CAST(event_id AS VARCHAR) AS series_key FROM k WHERE nth <= 60 UNION ALL SELECT CAST(event_id AS VARCHAR), t, t + INTERVAL 2 HOUR, NULL FROM e WHERE kind = 2""")
