@@ -50,6 +50,21 @@ def test_rekey(spark, n, paired):
         assert got == {*((f"a{j}", "missing", None) for j in range(n)), *((f"b{j}", "create", None) for j in range(n))}
 
 
+def test_rekey_by_normalized_titles(spark):
+    old = [row(f"a{j}", title="Jazz Night 1!", start=datetime(2026, 10, 1 + j)) for j in range(6)]
+    fresh = [new(f"b{j}", title="jazz  night 1", start=datetime(2026, 10, 1 + j)) for j in range(6)]
+    got = {(r.key, r.action, r.new_key) for r in reconcile.plan(*sides(spark, old, fresh), F.lit(NOW)).collect()}
+    assert got == {(f"a{j}", "rekey", f"b{j}") for j in range(6)}
+
+
+def test_unknown_waits(spark):
+    """What isn't known never makes a row more visible, and a row without a hash is still the same row."""
+    old = [row("p", level=3, published=None), row("s", level=3, published=False, signal=None), row("t", level=3, published=False, state=None), row("l", level=None), row("n", hash_=None), row("m", hash_=None)]
+    fresh = [new("p"), new("s"), new("t"), new("l"), new("n"), new("x", hash_=None)]
+    got = {r.key: r.action for r in reconcile.plan(*sides(spark, old, fresh), F.lit(NOW)).collect()}
+    assert got == {"p": "widen-pending", "s": "widen-pending", "t": "widen-pending", "l": "widen-pending", "n": "update", "m": "missing", "x": "create"}
+
+
 def test_content_hash(spark):
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), (None, None)], "x string, y string")
     assert len({r.h for r in rows.select(reconcile.content_hash("x", "y").alias("h")).collect()}) == 5

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_title
+
 #: Keys in a bucket of create_budget().
 BUCKET = 1 << 16
 
@@ -27,64 +29,102 @@ def decide_missing(complete: Column, ended: Column, in_window: Column, state: Co
     )
 
 
-def plan(ledger: DataFrame, snapshot: DataFrame, now: Column, complete: Column | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
-    """(source, key, action, new_key) for each row of either side; new_key only for rekey.
+def reconciled(ledger: DataFrame, snapshot: DataFrame, now: Column, complete: Column | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
+    """(source, key, action, new_key, l, s) for each row of either side: l and s are the sides' rows, and s of a rekeyed row is the one with its new key.
 
     Both sides have source, key, level (higher is more visible), hash, title, starts_at and ends_at; the ledger also state,
     published, from_signal, widen_to, missing_runs, missing_hours, cancelled_days.  A row that gets more visible without leave waits,
-    whatever else changed, if it is published, held, or as visible as its source said; a removed one comes back as a new
-    one; an unchanged one that isn't cancelled is only touched.  Rows of a source that came back under new keys (churn()) are
-    given these.
+    whatever else changed, if it is published, held, or as visible as its source said, and also where any of this is unknown; a removed one comes back as a new
+    one; an unchanged one that isn't cancelled is only touched.  Rows of a source that came back under new keys, with the same normalized title and
+    start (churn()), are given these.  complete may use the column source.
+
+    The sides meet in one full outer join.  Rekeyed rows are found among the rows that it leaves alone, and marked by a join that keeps its partitions.
     """
-    complete = F.lit(True) if complete is None else complete
     keys = ["source", "key"]
-    missing = ledger.filter("state <> 'removed'").join(snapshot, keys, "left_anti").filter(complete)
-    pairs = churn(missing, snapshot.join(ledger, keys, "left_anti"), ["title", "starts_at"])
-    l = ledger.join(pairs.withColumnRenamed("old_key", "key"), keys, "left").alias("l")
-    s = snapshot.join(pairs.select("source", F.col("new_key").alias("key")), keys, "left_anti").alias("s")
-    both = l.join(s, (F.col("l.source") == F.col("s.source")) & (F.col("l.key") == F.col("s.key")), "full_outer")
-    here, there = F.col("l.hash").isNotNull(), F.col("s.hash").isNotNull()
-    guarded = F.col("l.published") | (F.col("l.state") == "held") | F.coalesce("l.from_signal", F.lit(False))
-    widens = (F.col("s.level") > F.col("l.level")) & guarded & F.coalesce(F.col("l.widen_to") < F.col("s.level"), F.lit(True))
+    complete = F.lit(True) if complete is None else complete
+    titled = lambda d: d.withColumn("title_norm", norm_title(F.col("title")))
+    met = _met(ledger, snapshot)
+    narrow = _met(titled(ledger).select(*keys, "title_norm", "starts_at", "state"), titled(snapshot).select(*keys, "title_norm", "starts_at", *(c for c in snapshot.columns if c not in (*keys, "starts_at"))))
+    pairs = _pairs(narrow, ["title_norm", "starts_at"], complete & F.coalesce(F.col("l.state") != "removed", F.lit(True)))
+    marks = pairs.select("source", F.explode(F.array(
+        F.struct(F.col("old_key").alias("key"), F.col("fresh.key").alias("new_key"), F.col("fresh").alias("s_new"), F.lit(True).alias("old")),
+        F.struct(F.col("fresh.key").alias("key"), F.lit(None).cast(snapshot.schema["key"].dataType).alias("new_key"), F.lit(None).cast(pairs.schema["fresh"].dataType).alias("s_new"), F.lit(False).alias("old")),
+    )).alias("m")).select("source", "m.*")
+    # an old row and a fresh one never share a key, so there is one mark for each
+    both = met.join(marks, keys, "left").filter(F.coalesce("old", F.lit(True)))
+    fields = [c for c in snapshot.columns if c not in keys]
+    both = both.withColumn("s", F.when(F.col("old"), F.struct(F.col("new_key").alias("key"), F.col("source").alias("source"), *(F.col(f"s_new.{c}").alias(c) for c in fields))).otherwise(
+        F.when(F.col("s").isNotNull(), F.struct(F.col("key").alias("key"), F.col("source").alias("source"), *(F.col(f"s.{c}").alias(c) for c in fields)))))
+    here, there = F.col("l").isNotNull(), F.col("s").isNotNull()
+    unless = lambda ok: F.coalesce(ok, F.lit(True))
+    guarded = unless(F.col("l.published")) | unless(F.col("l.state") == "held") | unless(F.col("l.from_signal"))
+    widens = unless(F.col("s.level") > F.col("l.level")) & guarded & unless(F.col("l.widen_to") < F.col("s.level"))
     same = (F.col("l.level") == F.col("s.level")) & (F.col("l.hash") == F.col("s.hash")) & (F.col("l.state") != "cancelled")
     inside = F.lit(True) if window is None else F.col("l.starts_at").between(*window)
     ended = F.coalesce("l.ends_at", "l.starts_at") < now
     gone = decide_missing(complete, ended, inside, F.col("l.state"), F.col("l.cancelled_days"), F.col("l.missing_runs"), F.col("l.missing_hours"))
     action = (
-        F.when(F.col("l.new_key").isNotNull(), "rekey").when(~here, "create").when(~there & (F.col("l.state") == "removed"), None).when(~there, gone)
+        F.when(F.col("old"), "rekey").when(~here, "create").when(~there & (F.col("l.state") == "removed"), None).when(~there, gone)
         .when(widens, "widen-pending").when(F.col("l.state") == "removed", "create").when(same, "touch").otherwise("update")
     )
-    return both.select(*(F.coalesce(f"l.{k}", f"s.{k}").alias(k) for k in keys), action.alias("action"), "l.new_key").filter("action is not null")
+    return both.select(*keys, action.alias("action"), "new_key", "l", "s")
+
+
+def plan(ledger: DataFrame, snapshot: DataFrame, now: Column, complete: Column | None = None, window: tuple[Column, Column] | None = None) -> DataFrame:
+    """(source, key, action, new_key) of reconciled(), new_key only for rekey, without the removed rows that stay so."""
+    return reconciled(ledger, snapshot, now, complete, window).filter("action is not null").select("source", "key", "action", "new_key")
+
+
+def _met(ledger: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(source, key, l, s) of the full outer join; l and s are null where a side lacks the key."""
+    keys = ["source", "key"]
+    packed = lambda d, name: d.select(*keys, F.struct(*(c for c in d.columns if c not in keys)).alias(name))
+    return packed(ledger, "l").join(packed(snapshot, "s"), keys, "full_outer")
+
+
+def _pairs(met: DataFrame, by: list[str], counts: Column, least: int = 5, share: float = 0.8) -> DataFrame:
+    """(source, old_key, fresh) of rows that stand alone on either side: see churn().  counts: which of the missing rows count."""
+    alone = met.filter((F.col("l").isNull() != F.col("s").isNull()) & (F.col("l").isNull() | counts))
+    lost, found = F.col("s").isNull(), F.col("l").isNull()
+    value = lambda c: F.coalesce(F.col(f"l.{c}"), F.col(f"s.{c}")).alias(c)
+    rest = [c for c in met.schema["s"].dataType.names if c not in by]
+    grouped = alone.withColumns({f"by_{c}": value(c) for c in by}).groupBy("source", *(f"by_{c}" for c in by)).agg(
+        F.count_if(lost).alias("m"), F.count_if(found).alias("f"), F.max(F.when(lost, F.col("key"))).alias("old_key"),
+        F.min_by(F.struct("key", *(F.col(f"s.{c}").alias(c) for c in [*by, *rest])), F.when(found, F.col("key"))).alias("fresh"),
+    )
+    real = F.lit(True)
+    for c in by:
+        real &= F.col(f"by_{c}").isNotNull()
+    pair = F.col("old_key").isNotNull() & F.col("fresh").isNotNull() & real
+    sums = grouped.groupBy("source").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.count_if(pair).alias("p"))
+    ok = sums.filter((F.col("m") >= least) & (F.col("f") >= least) & (F.col("p") >= F.ceil(share * F.col("f")))).select("source")
+    return grouped.filter(pair & (F.col("m") > 0) & (F.col("f") > 0)).join(ok, "source", "left_semi").select("source", "old_key", "fresh")
 
 
 def churn(missing: DataFrame, fresh: DataFrame, by: list[str], least: int = 5, share: float = 0.8) -> DataFrame:
     """(source, old_key, new_key): rows of a source that came back under new keys.
 
     At most one pair for each value of `by`, the greatest missing key with the least new one, if a source has at least `least` on
-    both sides and pairs for `share` of the new ones.
+    both sides and pairs for `share` of the new ones.  Rows with a null in `by` are no pair.
     """
-    old = missing.groupBy("source", *by).agg(F.max("key").alias("old_key"))
-    pairs = old.join(fresh.groupBy("source", *by).agg(F.min("key").alias("new_key")), ["source", *by])
-    count = lambda d, name: d.groupBy("source").agg(F.count("*").alias(name))
-    ok = count(missing, "m").join(count(fresh, "f"), "source").join(count(pairs, "p"), "source")
-    ok = ok.filter((F.col("m") >= least) & (F.col("f") >= least) & (F.col("p") >= F.ceil(share * F.col("f"))))
-    return pairs.join(ok.select("source"), "source", "left_semi").select("source", "old_key", "new_key")
+    side = lambda d, name, other: d.select("source", "key", F.struct(*by).alias(name), F.lit(None).cast(d.select(F.struct(*by)).schema[0].dataType).alias(other))
+    alone = side(missing, "l", "s").unionByName(side(fresh, "s", "l"))
+    return _pairs(alone, by, F.lit(True), least, share).select("source", "old_key", F.col("fresh.key").alias("new_key"))
 
 
 # How visible a level is at least where it has a public record, and at most where it has one for guests.
 PUBLIC_LEAST, GUESTS = 3, (1, 3)
 
 
-def applied(ledger: DataFrame, snapshot: DataFrame, planned: DataFrame, now: Column) -> DataFrame:
-    """The next version of the ledger, with what each row's change takes back.
+def applied(decided: DataFrame, now: Column) -> DataFrame:
+    """The next version of the ledger from reconciled() rows, with what each row's change takes back; no join is needed.
 
-    ledger: source, key, level, hash, title, starts_at, ends_at, state, public_uri, own (its host wrote the public record: taken over, and
-    never deleted), space_uri, missing_since, missing_runs, cancelled_at, last_seen; snapshot: source, key, level, hash, title, starts_at,
-    ends_at, cancelled, own_uri.  withdrawn: public and guests' records to delete.
+    The ledger's rows also have public_uri, own (its host wrote the public record: taken over, and
+    never deleted), space_uri, missing_since, missing_runs, cancelled_at, last_seen; the snapshot's cancelled and
+    own_uri.  withdrawn: public and guests' records to delete.
     """
-    acts = ledger.join(planned, ["source", "key"], "full_outer").withColumn("at_key", F.coalesce("new_key", "key"))
-    s = snapshot.select("source", F.col("key").alias("at_key"), F.struct(*(c for c in snapshot.columns if c not in ("source", "key"))).alias("s"))
-    rows = acts.join(s, ["source", "at_key"], "left")
+    rest = [c for c in decided.schema["l"].dataType.names if c not in ("source", "key")]
+    rows = decided.select("source", "key", F.coalesce("new_key", "key").alias("at_key"), "action", "s", *(F.col(f"l.{c}").alias(c) for c in rest))
     a, c = F.coalesce("action", F.lit("leave")), F.col
     take, seen = a.isin("create", "update", "rekey"), a.isin("create", "update", "rekey", "touch", "widen-pending")
     held, was_out = take & (c("s.level") == 0), c("public_uri").isNotNull() | c("space_uri").isNotNull()

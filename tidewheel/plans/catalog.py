@@ -288,13 +288,14 @@ def changed_rows(spark, d):
 
 # --- reconcile -------------------------------------------------------------------------------------
 
-# Sources 0, 5, 10 and 15 give the rows that the other sources have lost new keys instead, and add none.
+# Sources 0, 5, 10 and 15 give the rows that the other sources have lost new keys instead, with titles spelt otherwise, and add none.
+_NORM = r"trim(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g'), '\b(the|of) ', '', 'g'))"
 _ROWS = f"""{SNAPS},
 l AS (SELECT *, CASE WHEN status = 'F' AND key % 9 = 0 THEN 'removed' WHEN key % 7 = 0 THEN 'cancelled' WHEN key % 5 = 0 THEN 'held' ELSE 'live' END AS state, key % 2 = 0 AS published, key % 8 = 3 AS from_signal,
   key % 3 AS missing_runs, key % 13 AS missing_hours, key % 11 AS cancelled_days FROM snap_old),
-s AS (SELECT * FROM snap_new WHERE NOT (source % 5 = 0 AND key % 10 = 0) UNION ALL SELECT source, key + 1000000000, price, CAST(key % 4 AS INTEGER), starts_at, status, ends_at, title FROM snap_old WHERE source % 5 = 0 AND key % 10 = 1),
+s AS (SELECT * FROM snap_new WHERE NOT (source % 5 = 0 AND key % 10 = 0) UNION ALL SELECT source, key + 1000000000, price, CAST(key % 4 AS INTEGER), starts_at, status, ends_at, 'The ÖRDER, of ' || substr(title, 10) || '!' FROM snap_old WHERE source % 5 = 0 AND key % 10 = 1),
 m AS (SELECT * FROM l ANTI JOIN s USING (source, key) WHERE state <> 'removed'), f AS (SELECT * FROM s ANTI JOIN l USING (source, key)),
-p AS (SELECT source, old_key, new_key FROM (SELECT source, title, starts_at, max(key) AS old_key FROM m GROUP BY ALL) JOIN (SELECT source, title, starts_at, min(key) AS new_key FROM f GROUP BY ALL) USING (source, title, starts_at)),
+p AS (SELECT source, old_key, new_key FROM (SELECT source, {_NORM} AS title, starts_at, max(key) AS old_key FROM m GROUP BY ALL) JOIN (SELECT source, {_NORM} AS title, starts_at, min(key) AS new_key FROM f GROUP BY ALL) USING (source, title, starts_at)),
 ok AS (SELECT source FROM (SELECT source, count(*) AS m FROM m GROUP BY 1) JOIN (SELECT source, count(*) AS f FROM f GROUP BY 1) USING (source) JOIN (SELECT source, count(*) AS p FROM p GROUP BY 1) USING (source) WHERE m >= 5 AND f >= 5 AND p >= ceil(0.8 * f)),
 k AS (SELECT * FROM p SEMI JOIN ok USING (source)),
 plan AS (SELECT source, old_key AS key, 'rekey' AS action, new_key FROM k UNION ALL SELECT coalesce(l.source, s.source) AS source, coalesce(l.key, s.key) AS key, CASE
@@ -315,7 +316,7 @@ def _sides(spark, d):
         *common, state.alias("state"), (k % 2 == 0).alias("published"), (k % 8 == 3).alias("from_signal"), F.lit(None).cast("int").alias("widen_to"),
         (k % 3).alias("missing_runs"), (k % 13).alias("missing_hours"), (k % 11).alias("cancelled_days"),
     )
-    again = was.filter("source % 5 = 0 and key % 10 = 1").withColumns({"key": k + 1000000000, "level": (k % 4).cast("int")})
+    again = was.filter("source % 5 = 0 and key % 10 = 1").withColumns({"key": k + 1000000000, "level": (k % 4).cast("int"), "title": F.concat(F.lit("The ÖRDER, of "), F.col("title").substr(10, 20), F.lit("!"))})
     new = now_.filter("not (source % 5 = 0 and key % 10 = 0)").unionByName(again).select(*common, (k % 6 == 0).alias("cancelled"))
     return old, new
 
@@ -346,9 +347,9 @@ def _next(spark, d):
     ledger_ = old.withColumns({
         "public_uri": F.when((F.col("state") == "live") & (F.col("level") >= 3), name("at://")), "space_uri": F.when(F.col("level").between(1, 3), name("space://")), "own": k % 17 == 0,
         "missing_since": F.lit(None).cast("timestamp_ntz"), "cancelled_at": F.lit(None).cast("timestamp_ntz"), "last_seen": F.lit(None).cast("timestamp_ntz"), "missing_runs": F.col("missing_runs").cast("int"),
-    }).drop("published", "from_signal", "widen_to", "missing_hours", "cancelled_days")
+    })
     snap = new.withColumn("own_uri", F.when(k % 19 == 0, F.concat(F.lit("own://"), k)))
-    return R.applied(ledger_, snap, _plan(spark, d), now())
+    return R.applied(R.reconciled(ledger_, snap, F.lit("1998-01-01").cast("timestamp_ntz")), now())
 
 
 @query(f"""WITH {_NEXT} SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, CASE WHEN take THEN l1 ELSE l0 END AS level,
