@@ -28,13 +28,13 @@ def _lines(body: Column) -> Column:
 
 
 def blocks(feeds: DataFrame) -> DataFrame:
-    """(feed, feed_tz, lines, names) for each event of feeds (feed, body); a body that is no calendar gives no rows."""
+    """(feed, feed_tz, nth, lines, names) for each event of feeds (feed, body); a body that is no calendar gives no rows."""
     whole = F.array_join(_lines(F.col("body")), "\n")
     head = F.split(whole, r"(?i)BEGIN:VEVENT\n", 2)
     out = feeds.filter(F.col("body").contains("BEGIN:VCALENDAR")).select("feed", whole.alias("whole"), F.get(head, F.lit(0)).alias("head"))
     found = F.regexp_extract_all("whole", F.lit(r"(?is)BEGIN:VEVENT\n(.*?)\nEND:VEVENT"), F.lit(1))
-    return out.select("feed", Z.resolve(F.regexp_extract("head", r"(?im)^X-WR-TIMEZONE[^:\n]*:(.*)$", 1)).alias("feed_tz"), F.explode(found).alias("block")).select(
-        "feed", "feed_tz", F.split(F.regexp_replace("block", r"(?is)BEGIN:VALARM\n.*?\nEND:VALARM\n?", ""), "\n").alias("lines")
+    return out.select("feed", Z.resolve(F.regexp_extract("head", r"(?im)^X-WR-TIMEZONE[^:\n]*:(.*)$", 1)).alias("feed_tz"), F.posexplode(found).alias("nth", "block")).select(
+        "feed", "feed_tz", "nth", F.split(F.regexp_replace("block", r"(?is)BEGIN:VALARM\n.*?\nEND:VALARM\n?", ""), "\n").alias("lines")
     ).withColumn("names", F.split(F.upper(F.regexp_replace(F.array_join("lines", "\n"), r"(?m)[;:].*$", "")), "\n"))
 
 
@@ -115,7 +115,7 @@ def properties(events: DataFrame, default_zone: str) -> DataFrame:
     override, exdates, rdates = _line("RECURRENCE-ID"), _all("EXDATE"), _all("RDATE")
     moments = lambda lines: F.flatten(F.transform(lines, lambda s: F.transform(F.split(_value(s), ","), lambda v: F.when(v.endswith("Z"), _wall(v)).otherwise(wall_to_utc(_wall(v), F.col("zone"))))))
     return out.select(
-        "feed", "zone", F.coalesce(_text(_line("UID")), F.concat(F.lit("h_"), F.substring(F.sha2(F.concat_ws("|", name, _value(start)), 256), 1, 24))).alias("external_id"),
+        "feed", "nth", "zone", F.coalesce(_text(_line("UID")), F.concat(F.lit("h_"), F.substring(F.sha2(F.concat_ws("|", name, _value(start)), 256), 1, 24))).alias("external_id"),
         name.alias("name"), "start_wall", _value(start).endswith("Z").alias("in_utc"), all_day.alias("all_day"),
         _utc(F.col("start_wall"), start, F.col("zone")).alias("starts_at"),
         F.when(all_day | (wall_end != F.col("start_wall")), F.timestamp_diff("SECOND", F.col("start_wall"), F.when(
@@ -317,33 +317,39 @@ def confirmed(rows: DataFrame, now: Column, days: int = 90, most: int = MOST_CON
     )
 
 
-def expand(rows: DataFrame, begin: Column, end: Column, most: int = MOST) -> DataFrame:
-    """Occurrences of rows of `properties` that overlap a window of UTC times.
+def expand(rows: DataFrame, begin: Column, end: Column, most: int = MOST, good: Column | None = None) -> DataFrame:
+    """Occurrences of rows of `properties` that overlap a window of UTC times; of the rows for which `good` holds.
 
     The first `most` of a series are looked at.  A row with RECURRENCE-ID replaces the occurrence of its series at that
-    time and takes what it leaves out from the series; without a series it stands alone.  Rules must be readable_rule()s.
+    time and takes what it leaves out from the series; without a series it stands alone.  Rules must be readable_rule()s.  Of rows with one UID and
+    occurrence the last in the feed counts; of equal overrides, that with the greatest SEQUENCE.
+
+    One pass and one shuffle: series and overrides are exploded together and meet by UID and occurrence.
     """
-    series, single = rows.filter(F.col("overrides").isNull()), rows.filter(F.col("overrides").isNotNull())
     repeats = F.col("rule").isNotNull() | (F.size("rdates") > 0)
     to_utc = lambda w: F.when(F.col("in_utc"), w).otherwise(wall_to_utc(w, F.col("zone")))
     found = F.when(F.col("rule").isNotNull(), F.transform(occurrences(F.date_add(F.to_date(end), 1), F.lit(most) + F.coalesce(F.size("exdates"), F.lit(0))), to_utc)).otherwise(F.array("starts_at"))
     every = F.slice(F.array_sort(F.array_distinct(F.concat(F.array_except(found, F.coalesce("exdates", F.array().cast("array<timestamp_ntz>"))), "rdates"))), 1, most)
-    main = series.withColumn("at", F.explode(F.when(repeats, every).otherwise(F.array("starts_at")))).withColumns({
-        "occurrence": F.when(repeats, F.col("at")), "starts_at": F.col("at"), "series_key": F.when(repeats, F.col("external_id"))
-    }).drop("at")
-    key = ["feed", "external_id", "occurrence"]
-    put = single.withColumnRenamed("overrides", "occurrence").withColumn("series_key", F.col("external_id")).withColumn("mine", F.lit(True))
-    # Of equal overrides, that with the greatest SEQUENCE counts.
-    put = put.groupBy(*key).agg(F.max_by(F.struct(*(c for c in put.columns if c not in key)), F.struct(F.coalesce("sequence", F.lit(-1)), "starts_at")).alias("o"))
-    both = main.drop("overrides").join(put, key, "full_outer")
-    names = [c for c in main.columns if c not in (*key, "overrides")]
-    pick = lambda c: (F.coalesce(F.col(f"o.{c}"), F.col(c)) if c in INHERITED else F.when(F.col("o.mine"), F.col(f"o.{c}")).otherwise(F.col(c))).alias(c)
-    out = both.select(*key, *map(pick, names))
+    at = lambda times: F.transform(times, lambda t: F.struct(t.alias("occurrence"), t.alias("starts_at")))
+    own = lambda key: F.array(F.struct(key.alias("occurrence"), F.col("starts_at").alias("starts_at")))
+    times = F.when(F.col("overrides").isNotNull(), own(F.col("overrides"))).when(repeats, at(every)).otherwise(own(F.lit(None).cast("timestamp_ntz")))
+    # within explode(), so that no filter works the times out once more
+    each = rows.withColumn("x", F.explode(times if good is None else F.when(good, times)))
+    key, mine = ["feed", "external_id", "occurrence"], F.col("overrides").isNotNull()
+    names = [c for c in rows.columns if c not in (*key, "overrides", "rule", "exdates", "rdates", "starts_at", "nth", "reason")]
+    each = each.select("feed", "external_id", "x.*", mine.alias("mine"), "nth", *names, F.when(mine | repeats, F.col("external_id")).alias("series_key"))
+    names += ["starts_at", "series_key"]
+    met = each.groupBy(*key).agg(
+        F.max_by(F.struct(*names), F.when(~F.col("mine"), F.col("nth"))).alias("m"),
+        F.max_by(F.struct(*names), F.when(F.col("mine"), F.struct(F.coalesce("sequence", F.lit(-1)), "starts_at", "nth"))).alias("o"),
+    )
+    pick = lambda c: (F.coalesce(F.col(f"o.{c}"), F.col(f"m.{c}")) if c in INHERITED else F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"m.{c}"))).alias(c)
+    out = met.select(*key, *map(pick, names))
     wall = F.when(F.col("in_utc"), F.col("starts_at")).otherwise(F.from_utc_timestamp(F.col("starts_at").cast("timestamp"), F.col("zone")).cast("timestamp_ntz"))
     ends = F.timestamp_add("SECOND", F.col("seconds"), wall)
     out = out.withColumn("ends_at", F.when(F.col("in_utc"), ends).otherwise(wall_to_utc(ends, F.col("zone"))))
     shown = F.coalesce("ends_at", F.timestamp_add("SECOND", F.when(F.col("all_day"), 86400).otherwise(3600), F.col("starts_at")))
-    return out.filter((shown > begin) & (F.col("starts_at") < end)).drop("start_wall", "in_utc", "seconds", "rule", "exdates", "rdates")
+    return out.filter((shown > begin) & (F.col("starts_at") < end)).drop("start_wall", "in_utc", "seconds")
 
 
 def read(feeds: DataFrame, begin: Column, end: Column, default_zone: str) -> tuple[DataFrame, DataFrame]:
@@ -355,7 +361,7 @@ def read(feeds: DataFrame, begin: Column, end: Column, default_zone: str) -> tup
     """
     rows = judged(feeds, default_zone)
     good = F.col("reason").isNull()
-    events = expand(rows.filter(good).drop("reason"), begin, end)
+    events = expand(rows, begin, end, good=good)
     open_end = F.col("rule").isNotNull() & _part("COUNT").isNull() & _part("UNTIL").isNull()
     seen = rows.groupBy("feed").agg(F.count_if(~good).alias("dropped"), F.max(open_end).alias("open"), F.min(F.when(good, F.col("starts_at"))).alias("low"), F.max(F.when(good, F.col("starts_at"))).alias("high"))
     spread = events.groupBy("feed").agg(F.max("starts_at").alias("latest"))
