@@ -201,3 +201,35 @@ def test_unreadable_rules(spark):
            "FREQ=MONTHLY;BYWEEKNO=3", "FREQ=DAILY;UNTIL=20241399", "FREQ=DAILY;UNTIL=x", "FREQ=DAILY;X=1", "", "FREQ=YEARLY;BYWEEKNO=54", "FREQ=YEARLY;BYHOUR=24", "FREQ=WEEKLY;BYSETPOS=0", "FREQ=DAILY;INTERVAL=99999999999999999999"]
     rows = spark.createDataFrame([(r,) for r in [*bad, "FREQ=DAILY", "FREQ=YEARLY;BYMONTH=06;", None]], "rule string")
     assert [r.ok for r in rows.select(calendar.readable_rule().alias("ok")).collect()] == [False] * len(bad) + [True] * 3
+
+
+def test_prefix_groups(spark):
+    """Random families of titles that begin alike against a loop in order, and 100,000 titles of one beginning on one day."""
+    import random
+
+    from tidewheel.operators import duplicates
+
+    rng, items = random.Random(3), []
+    for n in range(1500):
+        base = rng.choice(["community market", "open stage at the old", "ü" * 13])
+        items.append((n, f"u{n if rng.random() < 0.9 else n - 1}", datetime(2026, 1, rng.randint(1, 2)).date(), base + "".join(rng.choice("ab") for _ in range(rng.randint(0, 12))), datetime(2026, 1, 1, rng.randint(0, 23))))
+    schema = "id long, url string, day date, title string, starts_at timestamp_ntz"
+    got = {r.id: r.group_id for r in duplicates.groups(spark.createDataFrame(items, schema)).collect()}
+    lead = {}
+    for i, url, day, title, at in sorted(items, key=lambda x: (x[4], x[0])):
+        lead.setdefault(url, (day, title, at, i))
+    first = {}
+    for day, title, at, i in lead.values():
+        first[day, title] = min(first.get((day, title), (at, i)), (at, i))
+    opened, group = {}, {}
+    for (day, title), (_, i) in sorted(first.items(), key=lambda x: x[1]):
+        near = lambda t: (t.startswith(title) or title.startswith(t)) and min(len(t), len(title)) >= 0.75 * max(len(t), len(title))  # noqa: B023, E731
+        into = next((g for t, g in opened.get(day, []) if len(title) > 12 and near(t)), None)
+        group[day, title] = into if into is not None else i
+        if into is None and len(title) > 12:
+            opened.setdefault(day, []).append((title, i))
+    assert got == {i: group[lead[url][:2]] for i, url, *_ in items} and len({*got.values()}) < 700
+    many = spark.range(100_000).select("id", F.concat(F.lit("u"), "id").alias("url"), F.lit("2026-01-01").cast("date").alias("day"), F.concat(F.lit("Community market at the square no "), F.col("id").cast("string")).alias("title"), F.lit(NOW).alias("starts_at"))
+    sizes = duplicates.groups(many).groupBy("group_id").count().collect()
+    # the first ten numbers open groups, and every other one begins with one of these
+    assert sum(r["count"] for r in sizes) == 100_000 and {r.group_id for r in sizes} == set(range(10))

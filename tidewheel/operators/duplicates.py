@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rounds import cut
+
 LEAST_TITLE, LEAST_RATIO = 12, 0.75
 
 
@@ -20,38 +22,53 @@ def leads(items: DataFrame) -> DataFrame:
     return url_groups(items).groupBy("day", "title").agg(F.min(F.struct("starts_at", "id")).alias("o"))
 
 
-def _joined(block: Column) -> Column:
-    """array<struct(title, into)> of a block's titles in order: the title that opened the group each goes to.
+def alike(first: DataFrame) -> DataFrame:
+    """(later, earlier) for each two titles of a day of which one begins the other and has LEAST_RATIO of its length, by their order o.
 
-    A title goes to the first group whose opening title begins it or the other way round and is alike in length; else it opens one.
-    Titles that join a group open none, so later ones are held against openers only.
+    first: (day, title, o).  A title is looked up by its own beginnings of those lengths, a quarter of its letters, so that no two titles
+    are compared that aren't alike.
     """
-    alike = lambda a, b: (F.startswith(a, b) | F.startswith(b, a)) & (F.least(F.length(a), F.length(b)) >= LEAST_RATIO * F.greatest(F.length(a), F.length(b)))
+    long = first.filter(F.length("title") > LEAST_TITLE)
+    size = F.length("title")
+    low = F.greatest(F.lit(LEAST_TITLE + 1), F.ceil(LEAST_RATIO * size).cast("int"))
+    cuts = F.when(low < size, F.transform(F.sequence(low, F.greatest(low, size - 1)), lambda n: F.substring("title", F.lit(1), n)))
+    begins = long.select("day", F.col("o").alias("whole"), F.explode(cuts).alias("title"))
+    pairs = begins.join(long.select("day", "title", F.col("o").alias("part")), ["day", "title"])
+    return pairs.select(F.greatest("whole", "part").alias("later"), F.least("whole", "part").alias("earlier"))
+
 
-    def step(a: Column, x: Column) -> Column:
-        into = F.coalesce(F.get(F.filter(a.openers, lambda t: alike(t, x.title)), F.lit(0)), x.title)
-        return F.struct(
-            F.when(into == x.title, F.array_append(a.openers, x.title)).otherwise(a.openers).alias("openers"),
-            F.array_append(a.out, F.struct(x.title.alias("title"), into.alias("into"))).alias("out"),
-        )
+def openers(first: DataFrame) -> DataFrame:
+    """(o, opener) of each title: the title that opened the group it goes to, itself if it opens one.
 
-    start = F.struct(F.array().cast("array<string>").alias("openers"), F.array().cast("array<struct<title:string,into:string>>").alias("out"))
-    return F.aggregate(block, start, step, lambda a: a.out)
+    In order of o a title goes to the first group whose opening title it is alike to, or else opens one; titles that join a group open none.  This is
+    found in rounds: a title opens a group once all earlier ones that it is alike to are known not to, and doesn't once one of them is known to.  A round joins
+    the titles still open with what is known of their earlier ones; it takes as many rounds as the longest chain of titles that wait for each other.
+    """
+    edges = cut(alike(first))
+    waiting = edges.select("later").distinct()
+    opens = first.filter(F.length("title") > LEAST_TITLE).select("o").join(waiting, F.col("o") == F.col("later"), "left_anti").withColumn("opens", F.lit(True))
+    known, left = cut(opens), edges
+    while True:
+        seen = left.join(known.select(F.col("o").alias("earlier"), "opens"), "earlier", "left")
+        state = seen.groupBy("later").agg(F.max(F.coalesce("opens", F.lit(False))).alias("some"), F.count_if(F.col("opens").isNull()).alias("unknown"))
+        told = cut(state.filter("some or unknown = 0").select(F.col("later").alias("o"), (~F.col("some")).alias("opens")))
+        if told.isEmpty():
+            break
+        known = cut(known.unionByName(told))
+        left = cut(left.join(told.select(F.col("o").alias("later")), "later", "left_anti"))
+    by_opener = edges.join(known.filter("opens").select(F.col("o").alias("earlier")), "earlier", "left_semi").groupBy(F.col("later").alias("o")).agg(F.min("earlier").alias("opener"))
+    closed = known.filter("not opens").select("o").join(by_opener, "o")
+    return first.select("o").join(closed, "o", "left").select("o", F.coalesce("opener", "o").alias("opener"))
 
 
 def groups(items: DataFrame) -> DataFrame:
     """(id, group_id): listings of one event, named by the first item in order of (starts_at, id).
 
     Items with one URL are one listing; listings with one day and title are one group; those of a day whose long titles begin
-    alike join the first such group.  Candidates meet by day and the first LEAST_TITLE + 1 characters, which any such pair shares; a block
-    has a row for each distinct title with that beginning, whatever the number of items.
+    alike join the first such group (openers()).
     """
-    first = leads(items)
-    long = first.filter(F.length("title") > LEAST_TITLE).groupBy("day", F.substring("title", 1, LEAST_TITLE + 1).alias("head"))
-    block = long.agg(F.array_sort(F.collect_list(F.struct("o", "title"))).alias("block"))
-    into = block.select("day", F.explode(_joined(F.col("block"))).alias("x")).select("day", "x.title", "x.into")
-    named = first.select("day", F.col("title").alias("into"), F.col("o.id").alias("group_id"))
-    of_title = first.select("day", "title").join(into, ["day", "title"], "left").withColumn("into", F.coalesce("into", "title")).join(named, ["day", "into"])
+    first = cut(leads(items))
+    of_title = first.join(openers(first), "o").select("day", "title", F.col("opener.id").alias("group_id"))
     of_url = url_groups(items).join(of_title, ["day", "title"]).select("url", "group_id")
     return items.select("id", F.lower("url").alias("url")).join(of_url, "url").select("id", "group_id")
 
