@@ -61,6 +61,19 @@ def test_plan_is_idempotent(spark):
     assert {r.action for r in reconcile.plan(old, new.limit(0), now, F.lit(False)).collect()} == {"leave"}
 
 
+def test_address_with_towns(spark):
+    lines = {
+        "Boulder Public Library, 1001 Arapahoe Ave, Boulder, CO 80302": ("1001 Arapahoe Ave", "Boulder", "CO", "80302", "Boulder Public Library"), "The Dairy Arts Center • 2590 Walnut St": ("2590 Walnut St", None, None, None, "The Dairy Arts Center"),
+        "1001 Arapahoe Ave Boulder CO": ("1001 Arapahoe Ave", "Boulder", "CO", None, None), "Online": None, "Stanley Hotel, 333 E Wonderview Ave Estes Park CO 80517-1234": ("333 E Wonderview Ave", "Estes Park", "CO", "80517", "Stanley Hotel"),
+        "in person at 1535 Spruce St, Suite 200, Boulder": ("1535 Spruce St", "Boulder", None, None, None), "1898 S Flatiron Ct": ("1898 S Flatiron Ct", None, None, None, None), "boulder": (None, "Boulder", None, None, None), "12345 Main St": ("12345 Main St", None, None, None, None),
+        "Park, 12 Elm Rd Apt 4, estes park, Colorado": ("12 Elm Rd", "Estes Park", "CO", None, "Park"), "to be announced": None, "80302": None, "": None, "Chautauqua Park": (None, None, None, None, "Chautauqua Park"),
+    }
+    rows = spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+    towns = spark.createDataFrame([("Boulder",), ("Estes Park",), ("Park City",), (None,)], "name string")
+    got = {r.line: None if r.a is None else tuple(r.a) for r in enrich.with_towns(rows, "n", "line", towns).select("line", enrich.address(F.col("line"), F.col("town")).alias("a")).collect()}
+    assert got == lines
+
+
 def test_rules_against_a_plain_loop(spark):
     """Random rules of several hosts with all conditions, short and odd phrases, repeated and empty ones, against a loop over the rules."""
     import random

@@ -108,28 +108,94 @@ def pick_image(rows: DataFrame) -> DataFrame:
     return rows.withColumn("image", F.coalesce(ok("native_image"), ok("data_image"), ok("cover_image"), F.when(~F.coalesce("is_default", F.lit(False)), ok("preview_image"))))
 
 
-# Words that end a street's name, and texts that are no place.
-STREET = r"(?i)\b(\d+[A-Za-z]?\s+(?:[NSEW]\.?\s+)?[A-Za-z0-9.'\- ]+?\s(?:St|Street|Ave|Avenue|Blvd|Boulevard|Rd|Road|Dr|Drive|Ln|Lane|Way|Ct|Court|Pl|Place|Pkwy|Parkway|Cir|Circle|Hwy|Highway)\b\.?)"
-NOWHERE = r"(?i)^(?:online|virtual|tba|tbd|zoom|various)$"
-
-
-def address(text: Column) -> Column:
-    """struct(street, locality, region, postal_code, venue) of a one-line address."""
+# Words that end a street's name, directions before and after it, and texts that are no place.
+SUFFIXES = (
+    "st street ave avenue av rd road blvd boulevard dr drive ln lane ct court cir circle way pl place pkwy parkway ter terrace trl trail hwy highway loop sq square walk row path run bend crossing xing plz plaza spur route rte"
+    " expy expressway aly alley mall commons ranch ridge point pt view park"
+).split()
+DIRECTIONS = "n s e w ne nw se sw north south east west northeast northwest southeast southwest".split()
+NOWHERE = [
+    "online", "virtual", "remote", "zoom", "zoom call", "zoom meeting", "google meet", "teams", "webinar", "livestream", "live stream", "streaming", "tba", "tbd", "n/a", "na", "none", "unknown",
+    "to be announced", "to be determined", "to be confirmed", "location tba", "location tbd", "location to be announced", "location to be determined", "various", "various locations", "multiple locations",
+    "see description", "see the description", "see website", "see the website", "see link", "see the link", "see event page", "see the event page", "check description", "check the description", "check website", "check the website",
+    "hybrid", "in person", "virtual event", "online event", "online only", "no location",
+]
+_DIRECTION = rf"(?:{'|'.join(DIRECTIONS)})"
+_STREET = rf"\d+[a-z]?\s+(?:{_DIRECTION}\.?\s+)?[a-z0-9'’.\- ]*?\b(?:{'|'.join(SUFFIXES)})\b\.?(?:\s+{_DIRECTION}\b\.?)?"
+_LOOSE = r"(?i)^\d+[a-z]?\s+\S+(?:\s+\S+){0,4}$"
+_UNIT = r"(?i)\b(?:suite|ste|unit|apt|apartment|room|rm|bldg|building|floor|fl)\b\.?\s*[a-z0-9-]+|#\s*[a-z0-9-]+"
+_ZIP, _STATE = r"\b(\d{5})(?:-\d{4})?\b", r"(?:^|[,\s])([A-Z]{2}|(?i:colo|colorado))\.?$"
+#: Words of the longest name of a town that is looked for at the end of a segment.
+TOWN_WORDS = 3
+
+
+def _tidy(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[\s,;:.•·|–—-]+|[\s,;:.•·|–—-]+$", "")
+
+
+def _lifted(text: Column) -> tuple[Column, Column, Column]:
+    """(segments, region, postal code) of a line: the code wherever it stands, and the state at the end of what is left."""
     none = lambda c: F.when(c != "", c)
-    line = F.btrim(text)
-    zip_ = none(F.regexp_extract(line, r"\b(\d{5}(?:-\d{4})?)\s*$", 1))
-    rest = F.regexp_replace(F.regexp_replace(line, r"\b\d{5}(?:-\d{4})?\s*$", ""), r"[,\s]+$", "")
-    region = none(F.regexp_extract(rest, r"[,\s]([A-Z]{2})$", 1))
-    rest = F.regexp_replace(F.regexp_replace(rest, r"[,\s][A-Z]{2}$", ""), r"[,\s]+$", "")
-    parts = F.transform(F.split(rest, r"\s*[,;|•]\s*|\s+[-–]\s+"), lambda p: F.btrim(p))
-    street = none(F.regexp_extract(rest, STREET, 1))
-    has = F.size(parts) > 1
-    locality = F.when(has & ~F.element_at(parts, -1).rlike(STREET), F.element_at(parts, -1))
-    lead = F.filter(parts, lambda p: ~p.rlike(STREET) & (p != "") & ~p.eqNullSafe(locality))
-    return F.when(
-        ~line.rlike(NOWHERE),
-        F.struct(street.alias("street"), locality.alias("locality"), region.alias("region"), zip_.alias("postal_code"), none(F.array_join(lead, ", ")).alias("venue")),
-    )
+    line = _tidy(text)
+    zip_ = none(F.regexp_extract(line, _ZIP, 1))
+    # a house number of five digits is no code: the last one counts, and only if words come before it
+    rest = _tidy(F.regexp_replace(line, rf"(?<=\D){_ZIP}(?!.*\b\d{{5}}\b)", " "))
+    zip_ = F.when(rest != line, none(F.regexp_extract(line, rf"^.*\D{_ZIP}", 1)))
+    state = none(F.regexp_extract(rest, _STATE, 1))
+    region = F.when(state.rlike("(?i)^colo"), "CO").otherwise(state)
+    rest = F.when(state.isNotNull(), _tidy(F.regexp_replace(rest, _STATE, ""))).otherwise(rest)
+    segments = F.filter(F.transform(F.split(rest, r"\s*[,;•·|]\s*|\s+[-–—]\s+"), _tidy), lambda s: s != "")
+    return segments, region, zip_
+
+
+def with_towns(rows: DataFrame, key: str, text: str, towns: DataFrame) -> DataFrame:
+    """rows with `town`, struct(whole, at, words, name): the known town that a line names, or null.
+
+    towns: (name).  A segment that is a town counts before one that ends with it; of each kind the last segment, and of its endings
+    the longest.  Lines are exploded to their segments and the endings of these of up to TOWN_WORDS words, which are looked up by an equi-join.
+    """
+    segments, _, _ = _lifted(F.col(text))
+    words = lambda s: F.split(s, " ")
+    ending = lambda s, at, n: F.struct(
+        (n == F.size(words(s))).alias("whole"), at.alias("at"), n.alias("words"), F.lower(F.array_join(F.slice(words(s), F.size(words(s)) - n + 1, n), " ")).alias("low"))
+    of = lambda s, at: F.transform(F.array_distinct(F.array_append(F.sequence(F.lit(1), F.least(F.size(words(s)), F.lit(TOWN_WORDS))), F.size(words(s)))), lambda n: ending(s, at, n))
+    found = rows.select(F.col(key).alias("key_"), F.explode(F.flatten(F.transform(segments, of))).alias("e")).select("key_", "e.*")
+    known = towns.select("name").filter("name is not null").groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"))
+    best = found.join(known, "low").groupBy("key_").agg(F.max(F.struct("whole", "at", "words", "name")).alias("town"))
+    return rows.join(best, F.col(key) == F.col("key_"), "left").drop("key_")
+
+
+def address(text: Column, town: Column | None = None) -> Column:
+    """struct(street, locality, region, postal_code, venue) of a one-line address; null for a text that is no place.
+
+    town: what with_towns() found; without it the last of several segments counts as the locality.  A street begins a segment with its
+    number, or else stands anywhere in one; the segments before it are the venue.
+    """
+    none = lambda c: F.when(c != "", c)
+    segments, region, zip_ = _lifted(text)
+
+    def anchored(s: Column) -> Column:
+        bare = F.btrim(F.regexp_replace(s, _UNIT, ""))
+        whole = F.regexp_extract(bare, f"(?i)^({_STREET})", 1)
+        return F.when(whole != "", _tidy(whole)).when(bare.rlike(_LOOSE), bare)
+
+    anywhere = lambda s: none(_tidy(F.regexp_extract(F.regexp_replace(s, _UNIT, ""), rf"(?i)\b({_STREET})", 1)))
+    if town is None:
+        named = F.when((F.size(segments) > 1) & anchored(F.element_at(segments, -1)).isNull(), F.element_at(segments, -1))
+        left = F.when(named.isNotNull(), F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
+    else:
+        cut = lambda s: F.array_join(F.slice(F.split(s, " "), 1, F.greatest(F.size(F.split(s, " ")) - town["words"], F.lit(0))), " ")
+        named, left = town["name"], F.filter(F.transform(segments, lambda s, i: F.when(i == town["at"], cut(s)).otherwise(s)), lambda s: s != "")
+
+    def rest(left: Column) -> Column:
+        at = lambda of: F.get(F.filter(F.transform(left, lambda s, i: F.struct(i.alias("i"), of(s).alias("street"))), lambda x: x.street.isNotNull()), F.lit(0))
+        hit = F.coalesce(at(anchored), at(anywhere))
+        before = F.filter(left, lambda s, i: (hit.i.isNull() | (i < hit.i)) & anchored(s).isNull())
+        return F.struct(hit.street.alias("street"), named.alias("locality"), region.alias("region"), zip_.alias("postal_code"), none(F.array_join(before, ", ")).alias("venue"))
+
+    line = _tidy(text)
+    place = line.rlike("[A-Za-z]") & ~F.lower(line).isin(*NOWHERE)
+    return F.when(place, F.get(F.transform(F.array(left), rest), F.lit(0)))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

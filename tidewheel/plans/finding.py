@@ -207,3 +207,18 @@ def address_split(spark, d):
     n, u = F.col("event_id"), F.col("user_id").cast("string")
     line = F.when(n % 5 == 0, "Online").when(n % 5 == 1, F.concat(F.lit("Hall "), u, F.lit(", "), u, F.lit(" N Main St, Lyons, CO 80540"))).when(n % 5 == 2, F.concat(u, F.lit(" N Main St, Lyons"))).when(n % 5 == 3, F.concat(F.lit("Hall "), u))
     return table(spark, d, "events").select(n.alias("id"), N.address(line).alias("a")).select("id", "a.*")
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_id % 6 AS k, CAST(user_id AS VARCHAR) AS u, 'Nation ' || user_id % 25 AS t, user_id % 25 < 20 AS known FROM events)
+SELECT id, CASE k WHEN 0 THEN u || ' N Main St' WHEN 1 THEN u || ' Arapahoe Ave' WHEN 2 THEN u || ' Walnut St' END AS street, CASE WHEN known AND k IN (0, 1, 3, 4) THEN t END AS locality, CASE WHEN k IN (0, 1) THEN 'CO' END AS region,
+CASE WHEN k = 0 THEN '80540' END AS postal_code, CASE k WHEN 0 THEN 'Hall 7' WHEN 2 THEN 'The Center' WHEN 3 THEN CASE WHEN NOT known THEN t END WHEN 4 THEN CASE WHEN known THEN 'Library' ELSE 'Library ' || t END END AS venue FROM e""")
+def address_towns(spark, d):
+    """Lines with and without separators, whose towns are those of a table: twenty of the nations."""
+    n, u, t = F.col("event_id"), F.col("user_id").cast("string"), F.concat(F.lit("nation "), (F.col("user_id") % 25).cast("string"))
+    k, say = n % 6, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    # towns that the table lacks keep their spelling, others take the table's
+    spelt = F.when(F.col("user_id") % 25 < 20, t).otherwise(F.initcap(t))
+    line = F.when(k == 0, say("Hall 7, ", u, " N Main St, ", spelt, ", CO 80540")).when(k == 1, say(u, " Arapahoe Ave ", spelt, " CO")).when(k == 2, say("The Center • ", u, " Walnut St")).when(k == 3, spelt).when(k == 4, say("Library ", spelt)).otherwise("TBA")
+    towns = table(spark, d, "nation").filter("n_nationkey < 20").select(F.initcap(F.translate("n_name", "_", " ")).alias("name"))
+    rows = table(spark, d, "events").select(n.alias("id"), line.alias("line"))
+    return N.with_towns(rows, "id", "line", towns).select("id", N.address(F.col("line"), F.col("town")).alias("a")).select("id", "a.*")
