@@ -233,3 +233,33 @@ def test_prefix_groups(spark):
     sizes = duplicates.groups(many).groupBy("group_id").count().collect()
     # the first ten numbers open groups, and every other one begins with one of these
     assert sum(r["count"] for r in sizes) == 100_000 and {r.group_id for r in sizes} == set(range(10))
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """Commits of some sources, broken ones in each half, a null source, an emptied one, compaction and expiry."""
+    from tidewheel.operators import versions
+
+    folder = str(tmp_path / "ledger")
+    table = lambda rows: spark.createDataFrame(rows, "source long, key string, v int")
+    rows = lambda n=None: sorted((r.source or 0, r.key, r.v) for r in versions.read(spark, folder, n).collect())
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, folder)
+    assert versions.commit(table([(1, "a", 1), (2, "b", 1), (None, "c", 1), (3, "d", 1)]), folder) == 1
+    first = [(0, "c", 1), (1, "a", 1), (2, "b", 1), (3, "d", 1)]
+    assert rows() == first
+    # a task that fails while rows are written, and a job that ends before the manifest is
+    broken = table([(1, "a", 2)] * 50 + [(2, "b", 2)]).withColumn("v", F.when(F.col("source") == 2, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="stop"):
+        versions.commit(broken, folder)
+    assert rows() == first and versions.versions(spark, folder) == [1]
+    (tmp_path / "ledger" / "manifest" / "v=2").mkdir()
+    (tmp_path / "ledger" / "manifest" / "v=2" / "part-0.parquet").write_bytes(b"half of it")
+    assert rows() == first and versions.versions(spark, folder) == [1]
+    before = {p for p in (tmp_path / "ledger" / "data").rglob("*.parquet")}
+    assert versions.commit(table([(1, "a", 3), (1, "e", 3), (None, "c", 3), (9, "not changed", 3)]), folder, table([(1, "", 0), (None, "", 0), (3, "", 0)])) == 2
+    second = [(0, "c", 3), (1, "a", 3), (1, "e", 3), (2, "b", 1)]
+    assert rows() == second and rows(1) == first
+    assert before <= {p for p in (tmp_path / "ledger" / "data").rglob("*.parquet")}
+    assert versions.compact(spark, folder) == 3 and rows() == second
+    assert versions.expire(spark, folder, keep=1) >= 2 and rows() == second and versions.versions(spark, folder) == [3]
+    assert len(list((tmp_path / "ledger" / "data").iterdir())) == 1

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
+from .versions import commit
 
 #: Keys in a bucket of create_budget().
 BUCKET = 1 << 16
@@ -150,9 +151,10 @@ def applied(decided: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("withdrawn", gone).drop("old_public", "old_space", "moved")
 
 
-def write(version: DataFrame, folder: str) -> None:
-    """A version of the ledger as Parquet by source, for the next run to read."""
-    version.drop("withdrawn").write.mode("errorifexists").partitionBy("source").parquet(folder)
+def write(version: DataFrame, decided: DataFrame, folder: str) -> int:
+    """Commit the next version of a ledger for the sources of reconciled() rows in which anything but last_seen changes; see versions.commit()."""
+    changed = decided.filter("action not in ('touch', 'leave')").select("source").distinct()
+    return commit(version.drop("withdrawn"), folder, changed)
 
 
 def run_counters(planned: DataFrame) -> DataFrame:

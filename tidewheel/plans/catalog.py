@@ -15,6 +15,7 @@ from ..operators import enrich as N
 from ..operators import reconcile as R
 from ..operators import search as S
 from ..operators import upkeep as K
+from ..operators import versions as X
 from . import views as V
 from .views import LEDGER, NOW, SNAPS, ZONE, ledger, now, snapshot, table
 
@@ -340,7 +341,8 @@ u AS (SELECT *, CASE WHEN take THEN CASE WHEN l1 >= 3 THEN CASE WHEN o1 THEN 'ow
   CASE WHEN take THEN CASE WHEN l1 BETWEEN 1 AND 3 THEN 'space://' || source || '/' || key END WHEN a <> 'remove' THEN g0 END AS g1, CASE WHEN take THEN o1 ELSE coalesce(o0, false) END AS own FROM t)"""
 
 
-def _next(spark, d):
+def _decided(spark, d):
+    """(the ledger with all its columns, reconciled rows)."""
     old, new = _sides(spark, d)
     k = F.col("key")
     name = lambda kind: F.concat(F.lit(kind), "source", F.lit("/"), k)
@@ -349,7 +351,11 @@ def _next(spark, d):
         "missing_since": F.lit(None).cast("timestamp_ntz"), "cancelled_at": F.lit(None).cast("timestamp_ntz"), "last_seen": F.lit(None).cast("timestamp_ntz"), "missing_runs": F.col("missing_runs").cast("int"),
     })
     snap = new.withColumn("own_uri", F.when(k % 19 == 0, F.concat(F.lit("own://"), k)))
-    return R.applied(R.reconciled(ledger_, snap, F.lit("1998-01-01").cast("timestamp_ntz")), now())
+    return ledger_, R.reconciled(ledger_, snap, F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+def _next(spark, d):
+    return R.applied(_decided(spark, d)[1], now())
 
 
 @query(f"""WITH {_NEXT} SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, CASE WHEN take THEN l1 ELSE l0 END AS level,
@@ -360,6 +366,22 @@ def ledger_write(spark, d):
     return _next(spark, d).select("source", "key", "level", "state", "public_uri", "space_uri", "own", "missing_since", "missing_runs", "cancelled_at")
 
 
+@query(f"""WITH {_NEXT}, n AS (SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, CASE WHEN take THEN l1 ELSE l0 END AS level,
+CASE WHEN take AND l1 = 0 THEN 'held' WHEN take AND c1 THEN 'cancelled' WHEN take THEN 'live' WHEN a = 'cancel' THEN 'cancelled' WHEN a = 'remove' THEN 'removed' ELSE s0 END AS state FROM u)
+SELECT source, key, level, state, CAST(2 AS BIGINT) AS version FROM n WHERE source % 2 = 0 UNION ALL SELECT source, key, level, state, 2 FROM l WHERE source % 2 = 1 UNION ALL SELECT source, key, level, state, 1 FROM l""")
+def ledger_versions(spark, d):
+    """Two commits read back: the ledger, and its next version for half of the sources; the first one stays as it was."""
+    from .streams import scratch
+
+    folder, (ledger_, decided) = scratch(spark), _decided(spark, d)
+    keep = ["source", "key", "level", "state"]
+    X.commit(ledger_.select(*keep), folder)
+    half = decided.filter("source % 2 = 0")
+    R.write(R.applied(half, now()).select(*keep, "withdrawn"), half, folder)
+    both = [X.read(spark, folder, n).withColumn("version", F.lit(n).cast("long")) for n in (1, 2)]
+    return both[0].unionByName(both[1]).select(*keep, "version")
+
+
 @query(f"""WITH {_NEXT} SELECT source, CASE WHEN take THEN key ELSE old_key END AS key, x AS record FROM u, LATERAL (SELECT unnest(list_filter([CASE WHEN p0 IS NOT NULL AND p1 IS NULL AND NOT own THEN p0 END,
 CASE WHEN g0 IS NOT NULL AND (g1 IS NULL OR (take AND l0 <> l1)) THEN g0 END], lambda y: y IS NOT NULL)) AS x)""")
 def teardown(spark, d):
