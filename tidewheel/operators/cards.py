@@ -53,6 +53,23 @@ def cards(events: DataFrame, zone: str) -> DataFrame:
     return out.select("id", "when", "place", "coarse", pin("lat"), pin("lon"), missing.alias("missing"), (~F.arrays_overlap(missing, F.array(F.lit("image"), F.lit("place"), F.lit("timezone")))).alias("complete"))
 
 
+#: Columns of a ledger row that its owner sees as they are, and those shown as ISO texts in UTC.
+OWNED, OWNED_TIMES = ["id", "source", "external_id", "occurrence", "state", "visibility", "visibility_source", "public_uri", "public_cid", "space_uri", "teaser_uri", "override", "last_error"], ["first_seen", "last_seen", "missing_since"]
+
+
+def ledger_view(rows: DataFrame, zone: str) -> DataFrame:
+    """Ledger rows as their owner sees them: OWNED and OWNED_TIMES, and the card with the row's own state; an empty occurrence is none.
+
+    rows: the columns of cards() and of OWNED and OWNED_TIMES; status is the listing's, which a cancelled row overrules.
+    """
+    card = cards(rows, zone)
+    both = rows.join(card.select(F.col("id").alias("of"), F.struct(*(c for c in card.columns if c != "id")).alias("card")), F.col("id") == F.col("of"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
+    status = F.when(F.col("state") == "cancelled", "cancelled").otherwise(F.col("status"))
+    named = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c) if c == "occurrence" else F.col(c)
+    return both.select(*map(named, OWNED), F.col("card").withField("status", status).alias("card"), *map(iso, OWNED_TIMES))
+
+
 def published_places(country: str = "US") -> Column:
     """array of address, point and cell structs of the row's place; a coarse one gives town and grid cell only."""
     empty = lambda *keep: {n: F.lit(None).cast("string") for n in keep}

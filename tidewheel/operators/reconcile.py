@@ -177,6 +177,13 @@ def create_budget(planned: DataFrame, order: list[str], budget: int = 250) -> Da
     return inner.join(before, ["source", "_b"]).withColumn("nth", nth).drop("_b", "_r", "_before").withColumn("deferred", F.col("nth") > budget)
 
 
+def push_results(pushed: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(source, key, result) of what became of pushed rows (source, key, level, hash): created, held, updated or unchanged, by the ledger's hashes before."""
+    was = ledger.select("source", "key", F.struct("hash").alias("was"))
+    result = F.when(F.col("was").isNull(), "created").when(F.col("level") == 0, "held").when(~F.col("hash").eqNullSafe(F.col("was.hash")), "updated").otherwise("unchanged")
+    return pushed.join(was, ["source", "key"], "left").select("source", "key", result.alias("result"))
+
+
 def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """Last write wins for each key."""
     rest = [c for c in rows.columns if c not in keys]

@@ -421,9 +421,8 @@ def churn(spark, d):
 @query(f"""WITH {SNAPS} SELECT n.source, n.key, CASE WHEN o.key IS NULL THEN 'created' WHEN n.level = 0 THEN 'held' WHEN n.price <> o.price THEN 'updated' ELSE 'unchanged' END AS result
 FROM snap_new n LEFT JOIN snap_old o USING (source, key)""")
 def push_result(spark, d):
-    new, old = snapshot(spark, d, True), snapshot(spark, d, False).select("source", "key", F.col("price").alias("was"))
-    out = F.when(F.col("was").isNull(), "created").when(F.col("level") == 0, "held").when(F.col("price") != F.col("was"), "updated").otherwise("unchanged")
-    return new.join(old, ["source", "key"], "left").select("source", "key", out.alias("result"))
+    new, old = (snapshot(spark, d, side).withColumn("hash", R.content_hash("price")) for side in (True, False))
+    return R.push_results(new, old)
 
 
 @query(f"SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import zones as Z
 from ..operators import cards as C
+from ..operators import directory as D
 from ..operators import enrich as E
 from ..operators import export as X
 from ..sources import api, calendar, delimited, pages, push
@@ -93,6 +94,39 @@ def csv_events(spark, d):
     return good.select(F.when(~F.col("external_id").startswith("csv_"), F.col("external_id")).alias("id"), "name", "start", "all_day", F.array_join("tags", ",").alias("tags"))
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS external_id, o_orderpriority || ', "new"' AS name, strftime(o_orderdate, '%Y-%m-%dT19:30:00') AS start, CASE WHEN o_orderkey % 2 = 0 THEN 'Hall ' || o_custkey END AS location, 'Order Status,Total' AS unmapped
+FROM orders WHERE o_orderkey % 11 <> 0""")
+def csv_file(spark, d):
+    """The order book written as a delimited file with headers of its own, and read back by a mapping that is guessed from them."""
+    from .streams import scratch
+
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    day = F.when(k % 11 == 0, "soon").when(k % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))
+    folder = scratch(spark)
+    o.select(k.alias("Event ID"), F.concat("o_orderpriority", F.lit(', "new"')).alias("Title"), day.alias("When"), F.lit("7:30 PM").alias("Start time"), F.when(k % 2 == 0, F.concat(F.lit("Hall "), F.col("o_custkey"))).alias("Venue"),
+             F.col("o_orderstatus").alias("Order Status"), F.col("o_totalprice").alias("Total")).write.option("header", True).option("escape", '"').csv(folder)
+    rows = spark.read.option("header", True).option("escape", '"').csv(folder)
+    mapping = delimited.guess(rows.columns)
+    good, _ = delimited.events(rows, mapping, ZONE, F.lit("orders"))
+    return good.select("external_id", "name", "start", "location", F.lit(",".join(delimited.unmapped(rows.columns, mapping))).alias("unmapped"))
+
+
+@query(f"""WITH {LEDGER} SELECT id, source, external_id, CASE WHEN id % 4 = 0 THEN 'x' END AS occurrence, state, visibility, 'rule' AS visibility_source, CASE WHEN id % 3 = 0 THEN 'at://x/' || id END AS public_uri, CAST(NULL AS VARCHAR) AS public_cid,
+CASE WHEN id % 3 = 1 THEN 'space://x/' || id END AS space_uri, CAST(NULL AS VARCHAR) AS teaser_uri, CASE WHEN id % 5 = 0 THEN '{{"hidden":true}}' END AS override, CASE WHEN id % 7 = 0 THEN 'timeout' END AS last_error, '2024-01-15T12:00:00.000Z' AS first_seen, '2024-01-15T12:00:00.000Z' AS last_seen,
+CASE WHEN id % 6 = 0 THEN strftime(starts_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(starts_at) % 1000 AS VARCHAR), 3, '0') || 'Z' END AS missing_since,
+CASE WHEN visibility = 'gated' OR id % 2 <> 0 THEN 'Lyons, CO' ELSE 'Hall ' || id % 7 || ', Lyons' END AS place, CASE WHEN state = 'cancelled' THEN 'cancelled' ELSE 'scheduled' END AS status FROM ledger WHERE host = 7 ORDER BY starts_at, id LIMIT 51""")
+def owner_rows(spark, d):
+    """The first page of a host's ledger, with all that its owner sees of a row."""
+    n, text = F.col("id"), lambda v: F.lit(v).cast("string")
+    rows = _listing(spark, d).filter("host = 7").withColumns({
+        "mode": F.lit("inperson"), "precision": F.when(F.col("exact"), "exact").otherwise("city"), "private": F.lit(False), "gated_fields": F.array().cast("array<string>"), "image": F.when(F.col("has_image"), "i"), "tz_inferred": F.lit(False),
+        "occurrence": F.when(n % 4 == 0, "x").otherwise(""), "visibility_source": F.lit("rule"), "public_uri": F.when(n % 3 == 0, F.concat(F.lit("at://x/"), n)), "public_cid": text(None), "space_uri": F.when(n % 3 == 1, F.concat(F.lit("space://x/"), n)),
+        "teaser_uri": text(None), "override": F.when(n % 5 == 0, '{"hidden":true}'), "last_error": F.when(n % 7 == 0, "timeout"), "first_seen": now(), "last_seen": now(), "missing_since": F.when(n % 6 == 0, F.col("starts_at")), "status": F.lit("scheduled"),
+    })
+    shown = C.ledger_view(D.page(rows, 51), ZONE)
+    return shown.select(*C.OWNED, *C.OWNED_TIMES, "card.place", "card.status")
+
+
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS call, event_id AS item, CAST(event_id AS VARCHAR) AS external_id, left(repeat(event_type, 80), 300) AS name, CASE WHEN event_id % 2 = 0 THEN 'cancelled' END AS status,
 CASE WHEN event_id % 3 = 0 THEN 'private' END AS privacy FROM events WHERE event_id % 7 <> 0 AND user_id % 9 <> 0""")
 def push_events(spark, d):
