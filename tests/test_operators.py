@@ -61,6 +61,16 @@ def test_plan_is_idempotent(spark):
     assert {r.action for r in reconcile.plan(old, new.limit(0), now, F.lit(False)).collect()} == {"leave"}
 
 
+def test_search_of_any_script(spark):
+    from tidewheel.operators import search
+
+    names = ["Café Über", "cafe", "Cafe\u0301 ouvert", "東京タワー", "Фестиваль музыки", "ข้าวผัด", "naïve ÅNGSTRÖM"]
+    entries = search.index(spark.createDataFrame(list(enumerate(names)), "id long, name string"), ["name"])
+    find = lambda q: {r.id for r in search.search(entries, q).collect()}
+    assert find("cafe") == find("CAFÉ") == {0, 1, 2} and find("uber") == {0} and find("東京") == {3} and find("музыки") == {4} and find("angstrom naive") == {6} and find("ข้าว") == {5} and find("!?") == set()
+    assert search.tokens("Cafe\u0301 東京, Über-Straße") == ["cafe", "東", "京", "uber", "straße"]
+
+
 def test_address_with_towns(spark):
     lines = {
         "Boulder Public Library, 1001 Arapahoe Ave, Boulder, CO 80302": ("1001 Arapahoe Ave", "Boulder", "CO", "80302", "Boulder Public Library"), "The Dairy Arts Center • 2590 Walnut St": ("2590 Walnut St", None, None, None, "The Dairy Arts Center"),

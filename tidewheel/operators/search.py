@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.places import near
-from ..functions.text import excerpt
+from ..functions.text import ACCENTED, PLAIN, excerpt
 from .cards import HIDDEN_PLACE, is_coarse
 from .directory import PUBLIC_LEVELS, PUBLIC_STATES, public
 from .duplicates import collapse, groups
 
-APART, DESCRIPTION_MOST, MOST_HITS = r"[^a-z0-9]+", 2000, 500
+#: What parts words: all but letters, digits and marks of any script.  Scripts without spaces have a word for each character.
+APART, ALONE = r"[^\p{L}\p{N}\p{M}]+", r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
+DESCRIPTION_MOST, MOST_HITS = 2000, 500
 # Words that carry no signal, and what people type for what.
 STOPS = ["the", "a", "an", "and", "of", "at", "in", "on", "for", "to", "with", "by", "from"]
 SYNONYMS = {
@@ -31,15 +33,26 @@ SYNONYMS = {
 
 
 def index(docs: DataFrame, attributes: list[str]) -> DataFrame:
-    """(id, attribute, position, token): attributes count from 0 in order of weight."""
+    """(id, attribute, position, token): attributes count from 0 in order of weight; tokens are words in lower case without accents."""
     each = F.posexplode(F.array(*(F.coalesce(F.col(a), F.lit("")) for a in attributes))).alias("attribute", "text")
-    words = docs.select("id", each).select("id", "attribute", F.posexplode(F.split(F.lower("text"), APART)).alias("position", "token"))
+    words = docs.select("id", each).select("id", "attribute", F.posexplode(F.split(F.regexp_replace(folded(F.col("text")), ALONE, " $1 "), APART)).alias("position", "token"))
     return words.filter((F.col("token") != "") & ~F.col("token").isin(*STOPS))
 
 
+def folded(text: Column) -> Column:
+    """Lower case without accents, those of single letters and combining ones."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\u0300-\u036f]", "")
+
+
+def refreshed(entries: DataFrame, changed: DataFrame, attributes: list[str]) -> DataFrame:
+    """The index after some documents changed: their old entries go and new ones come; a document whose attributes are all null has none.  No other document is read."""
+    return entries.join(changed.select("id").distinct(), "id", "left_anti").unionByName(index(changed, attributes))
+
+
 def tokens(text: str) -> list[str]:
     """Words of a query or synonym, parted as the index parts texts."""
-    return [w for w in re.split(APART, text.lower()) if w and w not in STOPS]
+    plain = regex.sub("[\u0300-\u036f]", "", text.lower().translate(str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])))
+    return [w for w in regex.split(APART, regex.sub(ALONE, r" \1 ", plain)) if w and w not in STOPS]
 
 
 class Phrase(NamedTuple):

@@ -15,7 +15,7 @@ from .views import LEDGER, ZONE, ledger, now, table
 
 def _index_sql(parts: str) -> str:
     """CTEs of an inverted index x (id, attribute, position, token) over SELECTs of (id, attribute, text)."""
-    return f"""i AS (SELECT id, attribute, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM ({parts})),
+    return f"""i AS (SELECT id, attribute, string_split_regex(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM ({parts})),
 x AS (SELECT * FROM (SELECT id, attribute, unnest(range(len(w))) AS position, unnest(w) AS token FROM i) WHERE token <> '' AND NOT list_contains({S.STOPS}, token))"""
 
 
@@ -49,6 +49,25 @@ def search_rank(spark, d):
     return S.ranked(_part_hits(spark, d, "small ring economy"), 200)
 
 
+_TEXTS = _index_sql("SELECT doc_id AS id, 0 AS attribute, source AS text FROM documents UNION ALL SELECT doc_id, 1, text FROM documents")
+
+
+@query(f"WITH {_TEXTS}, {_hits_sql('FUR été, Straße web')} SELECT * FROM hits ORDER BY {_ORDER}, id LIMIT 200")
+def search_accents(spark, d):
+    """Texts of several languages, found whatever their accents."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return S.ranked(S.search(S.index(docs, ["source", "text"]), "FUR été, Straße web"), 200)
+
+
+@query(f"WITH {_PARTS} SELECT token, count(*) AS n FROM (SELECT * FROM x WHERE id % 5 <> 0 UNION ALL SELECT * FROM ({_index_sql("SELECT p_partkey AS id, 0 AS attribute, 'Größe ' || p_brand AS text FROM part WHERE p_partkey % 10 = 5").replace('i AS (', 'WITH j AS (').replace('FROM i)', 'FROM j)').replace('x AS (', 'y AS (')} SELECT * FROM y)) GROUP BY 1")
+def index_refresh(spark, d):
+    """An index after a fifth of its documents changed: half of them have no text any more."""
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    entries = S.index(part.select(k.alias("id"), "p_name", "p_type"), ["p_name", "p_type"])
+    changed = part.filter(k % 5 == 0).select(k.alias("id"), F.when(k % 10 == 5, F.concat(F.lit("Größe "), F.col("p_brand"))).alias("p_name"), F.lit(None).cast("string").alias("p_type"))
+    return S.refreshed(entries, changed, ["p_name", "p_type"]).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_PARTS}, {_hits_sql('msall ring econmoyy', True)} SELECT * FROM hits ORDER BY {_ORDER}, id LIMIT 200")
 def search_typo(spark, d):
     return S.ranked(_part_hits(spark, d, "msall ring econmoyy", typos=True), 200)
