@@ -78,3 +78,15 @@ def stream_missing(spark, d):
     runs = e.select((F.col("user_id") % 20).alias("source"), F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 7 != 0).alias("complete"),
                     (F.col("event_type").isin("click", "view") & (F.col("event_id") % 3 == 0)).alias("seen"))
     return _stateful(spark, state.missing(runs)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+_KINDS = "CASE event_type WHEN 'purchase' THEN 'confirmation' WHEN 'view' THEN 'page' WHEN 'click' THEN 'preview' END"
+
+
+@query(f"""WITH w AS (SELECT {_KINDS} AS kind, CAST(user_id AS VARCHAR) AS key, max(date_trunc('millisecond', ts)) AS "at" FROM events WHERE {_KINDS} IS NOT NULL GROUP BY ALL), n AS (SELECT max(date_trunc('millisecond', ts)) AS now FROM events WHERE {_KINDS} IS NOT NULL)
+SELECT kind, key, "at" FROM w, n WHERE "at" + CASE kind WHEN 'page' THEN INTERVAL 7 DAY WHEN 'preview' THEN INTERVAL 2 HOUR ELSE INTERVAL 30 DAY END > now""")
+def stream_lifetimes(spark, d):
+    """Pages, previews and confirmations that are still kept when the stream has come to its end; all others have left the state."""
+    kind = F.when(F.col("event_type") == "purchase", "confirmation").when(F.col("event_type") == "view", "page").when(F.col("event_type") == "click", "preview")
+    writes = _stream(spark, d, "events").select(kind.alias("kind"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at")).filter("kind is not null")
+    return state.alive(_stateful(spark, state.lifetimes(writes))).withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -1,99 +1,200 @@
-"""State of keys across runs: missing events and the polling interval of sources, as streams.
+"""State of keys across runs: missing events, the polling interval of sources, and lifetimes of what is kept, as streams.
 
-The rows that a batch brings of one key are sorted in memory, so a batch must be bounded where a key is hot
-(maxFilesPerTrigger on the stream).
+Runs of a key are taken in order of event time, whatever batches bring them: they wait in map state, a bucket of time each, until the watermark
+has passed them, and a timer takes them out.  So a task holds one bucket of one key, and late rows within the watermark's delay change nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.upkeep import LIFETIME
+
 RUNS, CANCEL_AFTER, REMOVE_AFTER = 2, pd.Timedelta(hours=6), pd.Timedelta(days=7)
 FLOOR, CEILING, LONGEST_BACKOFF = 600, 6 * 3600, 24 * 3600
 PATIENCE, FAILING, PAUSE_AFTER = 20, 3, pd.Timedelta(days=14)
+#: Milliseconds of a bucket of waiting rows.
+BUCKET = 6 * 3600 * 1000
 
 SEEN = "source long, key string, at timestamp, action string, missing_runs int"
 HEALTH = "source long, at timestamp, seq long, status string, failures int, unchanged int, interval_s long"
+KEPT = "kind string, key string, at timestamp, alive boolean"
 
 
-class Missing(StatefulProcessor):
-    """Runs of one event, (source, key, at, complete, seen), in order of time within a batch.
+def _millis(at) -> int:
+    return int(pd.Timestamp(at).value // 1_000_000)
 
-    Seen clears the state.  Not seen in a complete run counts; from RUNS runs and CANCEL_AFTER the event is cancelled, and
-    removed REMOVE_AFTER later.  A run that isn't complete changes nothing.
-    """
+
+class Ordered(StatefulProcessor):
+    """Rows of a key in order of (at, *ORDER); `step` gets them one by one, with what the state holds, and gives the row to put out and the new state."""
+
+    STATE, ORDER, OUT = "", (), ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "since timestamp, runs int, cancelled timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        since, runs, cancelled = self.state.get() if self.state.exists() else (None, 0, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("at").itertuples():
-            if r.seen:
-                action = "update" if cancelled is not None else "touch"
-                since, runs, cancelled = None, 0, None
-            elif not r.complete:
-                action = "leave"
-            elif cancelled is not None:
-                action = "remove" if r.at - cancelled > REMOVE_AFTER else "leave"
-            else:
-                since, runs = since if since is not None else r.at, runs + 1
-                action = "cancel" if runs >= RUNS and r.at - since >= CANCEL_AFTER else "missing"
-                cancelled = r.at if action == "cancel" else None
-            out.append((key[0], key[1], r.at, action, runs))
-        stamp = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
-        self.state.update((stamp(since), runs, stamp(cancelled)))
-        yield pd.DataFrame(out, columns=["source", "key", "at", "action", "missing_runs"])
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows string")
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, key: tuple, row: dict, state: tuple) -> tuple[tuple, tuple]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            at = part["at"].map(lambda t: pd.Timestamp(t).value)
+            plain = part.drop(columns=["at"]).assign(at=at)
+            for bucket, own in plain.groupby(at // 1_000_000 // BUCKET):
+                place = (int(bucket),)
+                held = json.loads(self.waiting.getValue(place)[0]) if self.waiting.containsKey(place) else []
+                held += json.loads(own.to_json(orient="records"))
+                self.waiting.updateValue(place, (json.dumps(held),))
+                self.handle.registerTimer(int(own["at"].max()) // 1_000_000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        place = (upto // BUCKET,)
+        if not self.waiting.containsKey(place):
+            return
+        held = json.loads(self.waiting.getValue(place)[0])
+        due = sorted((r for r in held if r["at"] // 1_000_000 <= upto), key=lambda r: (r["at"], *(r[c] for c in self.ORDER)))
+        rest = [r for r in held if r["at"] // 1_000_000 > upto]
+        if rest:
+            self.waiting.updateValue(place, (json.dumps(rest),))
+        else:
+            self.waiting.removeKey(place)
+        state, out = self.state.get() if self.state.exists() else self.start(), []
+        for r in due:
+            row, state = self.step(key, r | {"at": pd.Timestamp(r["at"])}, state)
+            out.append(row)
+        self.state.update(state)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-class Interval(StatefulProcessor):
-    """Runs of one source, (source, at, seq, ok, changed), in order within a batch, to its health and next interval."""
+def _stamp(t):
+    return None if t is None or pd.isna(t) else pd.Timestamp(t).to_pydatetime()
+
+
+class Missing(Ordered):
+    """Runs of one event, (source, key, at, complete, seen).
+
+    Seen clears the state.  Not seen in a complete run counts; from RUNS runs and CANCEL_AFTER the event is cancelled, and
+    removed REMOVE_AFTER later.  A run that isn't complete changes nothing.
+    """
+
+    STATE, OUT = "since timestamp, runs int, cancelled timestamp", SEEN
+
+    def start(self) -> tuple:
+        return None, 0, None
+
+    def step(self, key: tuple, row: dict, state: tuple) -> tuple[tuple, tuple]:
+        since, runs, cancelled = state
+        at = row["at"]
+        if row["seen"]:
+            action = "update" if cancelled is not None else "touch"
+            since, runs, cancelled = None, 0, None
+        elif not row["complete"]:
+            action = "leave"
+        elif cancelled is not None:
+            action = "remove" if at - pd.Timestamp(cancelled) > REMOVE_AFTER else "leave"
+        else:
+            since, runs = since if since is not None else at, runs + 1
+            action = "cancel" if runs >= RUNS and at - pd.Timestamp(since) >= CANCEL_AFTER else "missing"
+            cancelled = at if action == "cancel" else None
+        return (key[0], key[1], at, action, runs), (_stamp(since), runs, _stamp(cancelled))
+
+
+class Interval(Ordered):
+    """Runs of one source, (source, at, seq, ok, changed), to its health and next interval."""
+
+    STATE, ORDER, OUT = "status string, failures int, unchanged int, interval_s long, good timestamp", ("seq",), HEALTH
 
     def __init__(self, base: int):
         self.base = base
 
+    def start(self) -> tuple:
+        return "active", 0, 0, self.base, None
+
+    def step(self, key: tuple, row: dict, state: tuple) -> tuple[tuple, tuple]:
+        status, failures, unchanged, wait, good = state
+        at = row["at"]
+        if row["ok"]:
+            failures, good = 0, at
+            status = "active" if status == "failing" else status
+            unchanged = 0 if row["changed"] else unchanged + 1
+            if row["changed"]:
+                wait = max(FLOOR, min(wait, self.base) // 2)
+            elif unchanged >= PATIENCE:
+                wait, unchanged = min(CEILING, wait * 2), 0
+        else:
+            failures += 1
+            wait = min(LONGEST_BACKOFF, max(FLOOR, self.base) * 2 ** min(failures, 6))
+            status = "failing" if failures >= FAILING else status
+            if good is not None and at - pd.Timestamp(good) > PAUSE_AFTER:
+                status = "paused"
+        return (key[0], at, row["seq"], status, failures, unchanged, wait), (status, failures, unchanged, int(wait), _stamp(good))
+
+
+class Lifetimes(StatefulProcessor):
+    """What is kept of (kind, key, at): the last write holds it for its kind's LIFETIME, then a timer takes it out of the state.
+
+    Each batch tells of a key that was written that it is alive, and of one that went that it isn't.  A write that is older than the last, or a
+    kind without a lifetime, is ignored.
+    """
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, failures int, unchanged int, interval_s long, good timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        status, failures, unchanged, wait, good = self.state.get() if self.state.exists() else ("active", 0, 0, self.base, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
-            if r.ok:
-                failures, good = 0, r.at
-                status = "active" if status == "failing" else status
-                unchanged = 0 if r.changed else unchanged + 1
-                if r.changed:
-                    wait = max(FLOOR, min(wait, self.base) // 2)
-                elif unchanged >= PATIENCE:
-                    wait, unchanged = min(CEILING, wait * 2), 0
-            else:
-                failures += 1
-                wait = min(LONGEST_BACKOFF, max(FLOOR, self.base) * 2 ** min(failures, 6))
-                status = "failing" if failures >= FAILING else status
-                if good is not None and r.at - good > PAUSE_AFTER:
-                    status = "paused"
-            out.append((key[0], r.at, r.seq, status, failures, unchanged, wait))
-        self.state.update((status, failures, unchanged, int(wait), None if good is None else pd.Timestamp(good).to_pydatetime()))
-        yield pd.DataFrame(out, columns=["source", "at", "seq", "status", "failures", "unchanged", "interval_s"])
+        self.handle = handle
+        self.last = handle.getValueState("last", "millis long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = [part["at"].max() for part in rows]
+        now, before = _millis(max(times)), self.last.get()[0] if self.last.exists() else None
+        if key[0] not in LIFETIME or (before is not None and now <= before):
+            return
+        life = int(pd.Timedelta(LIFETIME[key[0]]).total_seconds() * 1000)
+        if before is not None:
+            self.handle.deleteTimer(before + life)
+        self.last.update((now,))
+        self.handle.registerTimer(now + life)
+        yield pd.DataFrame([(key[0], key[1], pd.Timestamp(now, unit="ms"), True)], columns=["kind", "key", "at", "alive"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame([(key[0], key[1], pd.Timestamp(last, unit="ms"), False)], columns=["kind", "key", "at", "alive"])
 
     def close(self) -> None:
         pass
 
 
-def missing(runs: DataFrame) -> DataFrame:
-    """The action on each event at each run of a stream; needs the RocksDB state store."""
-    return runs.groupBy("source", "key").transformWithStateInPandas(Missing(), SEEN, "append", "none")
+def missing(runs: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The action on each event at each run of a stream, once the watermark (`delay` behind the latest run) has passed it; needs the RocksDB state store."""
+    return runs.withWatermark("at", delay).groupBy("source", "key").transformWithStateInPandas(Missing(), SEEN, "append", "eventTime")
+
+
+def intervals(log: DataFrame, base: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """Health and interval of each source after each run of a stream, once the watermark has passed it; needs the RocksDB state store."""
+    return log.withWatermark("at", delay).groupBy("source").transformWithStateInPandas(Interval(base), HEALTH, "append", "eventTime")
+
+
+def lifetimes(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """(kind, key, at, alive) as keys are written and outlive their kind's LIFETIME by the watermark; needs the RocksDB state store."""
+    return writes.withWatermark("at", delay).groupBy("kind", "key").transformWithStateInPandas(Lifetimes(), KEPT, "append", "eventTime")
 
 
-def intervals(log: DataFrame, base: int = 3600) -> DataFrame:
-    """Health and interval of each source after each run of a stream; needs the RocksDB state store."""
-    return log.groupBy("source").transformWithStateInPandas(Interval(base), HEALTH, "append", "none")
+def alive(told: DataFrame) -> DataFrame:
+    """The keys that are kept, by the last that lifetimes() told of each: (kind, key, at)."""
+    last = told.groupBy("kind", "key").agg(F.max(F.struct("at", (~F.col("alive")).alias("gone"))).alias("l"))
+    return last.filter("NOT l.gone").select("kind", "key", "l.at")
