@@ -61,6 +61,22 @@ def test_plan_is_idempotent(spark):
     assert {r.action for r in reconcile.plan(old, new.limit(0), now, F.lit(False)).collect()} == {"leave"}
 
 
+def test_quantiles(spark):
+    """Dense cells, ties, one value, few values and none: what sorting gives."""
+    import random
+
+    from tidewheel.operators import directory
+
+    rng = random.Random(5)
+    for values in ([40 + rng.random() * 1e-9 for _ in range(3000)], [rng.choice([1.0, 1.0, 2.0, -5.0]) for _ in range(500)], [7.5] * 30, [float(n) for n in range(19)], [1e300 * rng.random() for _ in range(200)] + [5e-324]):
+        rows = spark.createDataFrame([(v, -v) for v in values] + [(None, float("nan"))], "lat double, lon double")
+        up, n = sorted(values), len(values)
+        ranks = {"a": 1, "b": n, "c": n // 2, "d": int(0.95 * (n - 1)) + 1}
+        got = directory.quantiles(rows, {k: ("lat", lambda m, k=k: ranks[k]) for k in ranks} | {"e": ("lon", lambda m: 1)}, bins=16)
+        assert got == {k: up[r - 1] for k, r in ranks.items()} | {"e": -up[-1]}
+    assert tuple(directory.map_frame(rows.limit(0)).first()) == (None,) * 4
+
+
 def test_search_of_any_script(spark):
     from tidewheel.operators import search
 

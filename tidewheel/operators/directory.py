@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.places import local_day
 
+#: Bins of a histogram that looks for a rank.
+BINS = 1024
 PUBLIC_STATES, PUBLIC_LEVELS = ("live", "cancelled"), ("public", "gated")
 
 
@@ -63,24 +67,52 @@ def places(events: DataFrame) -> DataFrame:
     )
 
 
-def map_frame(events: DataFrame, pad: float = 0.01, low: float = 0.05, high: float = 0.95, least: int = 20, cell: float = 0.1) -> DataFrame:
-    """Nearest-rank percentiles of both axes, plain bounds below `least` points.
+def quantiles(rows: DataFrame, wanted: dict[str, tuple[str, Callable[[int], int]]], bins: int = BINS) -> dict[str, float | None]:
+    """The value of a rank in a column, for each name in wanted: (column, rank from 1 of the number of values, without nulls and NaN); None without values.
 
-    Points are counted by cells of `cell` degrees first (a few thousand rows on the whole globe), which gives the cell of each rank and the
-    count before it; only these cells' values are then ranked, so no task sorts all values.
+    Histograms of `bins` bins between bounds, those of all names in one pass, tell which bin holds the rank; its least and greatest value are the next
+    bounds, until they are one value.  A pass narrows the bounds `bins` times or more, so there are few, whatever the rows or
+    how dense they lie, and no values are sorted or shuffled.  Only bins, `bins` a name at most, come to the driver.
     """
-    one = None
-    for axis in ("lat", "lon"):
-        values = events.filter(F.col(axis).isNotNull()).select(F.col(axis).alias("v"), F.floor(F.col(axis) / cell).alias("c")).groupBy("c", "v").agg(F.count("*").alias("n"))
-        cells = values.groupBy("c").agg(F.sum("n").alias("n"))
-        run = cells.withColumns({"upto": F.sum("n").over(W.orderBy("c")), "total": F.sum("n").over(W.partitionBy())})
-        rank = lambda q: F.when(F.col("total") < least, F.when(F.lit(q) < 0.5, 1).otherwise(F.col("total"))).otherwise(F.floor(F.lit(q) * (F.col("total") - 1)) + 1)
-        for side, q, sign in (("min", low, -1), ("max", high, 1)):
-            at = run.filter((F.col("upto") >= rank(q)) & (F.col("upto") - F.col("n") < rank(q))).select("c", (rank(q) - F.col("upto") + F.col("n")).alias("rank"))
-            inner = values.join(F.broadcast(at), "c").withColumn("upto", F.sum("n").over(W.partitionBy("c").orderBy("v")))
-            found = inner.filter(F.col("upto") >= F.col("rank")).agg((F.min("v") + sign * pad).alias(f"{axis}_{side}"))
-            one = found if one is None else one.crossJoin(found)  # one row each
-    return one
+    columns = sorted({c for c, _ in wanted.values()})
+    number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+    ends = rows.agg(*(f(number(c)).alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count), ("low", F.min), ("high", F.max)))).first()
+    out: dict[str, float | None] = {}
+    left = {}
+    for name, (c, rank) in wanted.items():
+        n, low, high = (ends[f"{k}_{c}"] for k in ("n", "low", "high"))
+        if not n or low == high:
+            out[name] = low
+        else:
+            left[name] = (c, rank(n), low, high)
+    while left:
+        def entry(name: str, c: str, low: float, high: float):
+            v = number(c)
+            at = F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
+            return F.when(v.between(low, high), F.struct(F.lit(name).alias("name"), at.alias("bin"), v.alias("v")))
+
+        each = rows.select(F.explode(F.array_compact(F.array(*(entry(name, c, low, high) for name, (c, _, low, high) in left.items())))).alias("e")).select("e.*")
+        found = each.groupBy("name", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for name in list(left):
+            c, rank, *_ = left.pop(name)
+            for r in sorted((r for r in found if r["name"] == name), key=lambda r: r["bin"]):
+                if rank <= r["n"]:
+                    if r["low"] == r["high"]:
+                        out[name] = r["low"]
+                    else:
+                        left[name] = (c, rank, r["low"], r["high"])
+                    break
+                rank -= r["n"]
+    return out
+
+
+def map_frame(events: DataFrame, pad: float = 0.01, low: float = 0.05, high: float = 0.95, least: int = 20) -> DataFrame:
+    """One row of nearest-rank percentiles of both axes, widened by pad; plain bounds below `least` points, nulls without any."""
+    rank = lambda q: lambda n: (1 if q < 0.5 else n) if n < least else int(q * (n - 1)) + 1
+    found = quantiles(events, {f"{axis}_{side}": (axis, rank(q)) for axis in ("lat", "lon") for side, q in (("min", low), ("max", high))})
+    row = {name: None if v is None else v + (-pad if name.endswith("min") else pad) for name, v in found.items()}
+    names = [f"{axis}_{side}" for axis in ("lat", "lon") for side in ("min", "max")]
+    return events.sparkSession.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} double" for n in names))
 
 
 def bucket(at: Column, now: Column, zone: str) -> Column:
