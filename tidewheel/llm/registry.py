@@ -5,6 +5,7 @@ from .decontaminate import op8_decontamination
 from .line_templates import OP7_SQL, op7_line_templates
 from .lm_score import op10_lm_scores
 from .merkle import op11_merkle
+from .merkle_sql import OP11_SQL
 from .minhash import op9_near_duplicates
 from .packing import op1_packing
 from .periodic_runs import op12_periodic_runs
@@ -59,4 +60,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-ORACLE = {"op3_url_lists": OP3_SQL, "op4_tool_calls": OP4_SQL, "op6_warc": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_decontamination": OP8_SQL}
+ORACLE = {"op3_url_lists": OP3_SQL, "op4_tool_calls": OP4_SQL, "op6_warc": OP6_SQL, "op7_line_templates": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_merkle": OP11_SQL}
