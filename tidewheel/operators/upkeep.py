@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,23 +19,18 @@ def fresh(rows: DataFrame, kind: str, at: Column, now: Column) -> DataFrame:
     return rows.filter(at >= now - F.expr(f"interval {LIFETIME[kind]}"))
 
 
-def streaks(log: DataFrame) -> DataFrame:
-    """log (source, at, seq, ok, changed) with how many failures, and unchanged runs, end at each run."""
-    by = W.partitionBy("source").orderBy("at", "seq")
-    island = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, 0))
-    out = log.withColumns({"fi": island(F.col("ok")), "ui": island(F.col("changed") | ~F.col("ok"))})
-    upto = lambda i: W.partitionBy("source", i).orderBy("at", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumns({
-        "failures": F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(upto("fi")),
-        "unchanged": F.sum(F.when(F.col("ok") & ~F.col("changed"), 1).otherwise(0)).over(upto("ui")),
-    }).drop("fi", "ui")
-
-
 def health(log: DataFrame, now: Column) -> DataFrame:
-    """(source, status, failures, unchanged) after the last run: failing from three failures, paused after 14 days without success."""
-    last = streaks(log).groupBy("source").agg(
-        F.max_by(F.struct("failures", "unchanged"), F.struct("at", "seq")).alias("s"), F.max(F.when(F.col("ok"), F.col("at"))).alias("good_at")
+    """(source, status, failures, unchanged) after the last run of log (source, at, seq, ok, changed): failing from three failures, paused after 14 days without success.
+
+    failures and unchanged count the runs after the last success, and after the last change or failure, which one aggregation finds and another counts
+    from; so no source's log is sorted, and a long one is spread over tasks.
+    """
+    at, breaks = F.struct("at", "seq"), F.col("changed") | ~F.col("ok")
+    last = log.groupBy("source").agg(F.max(F.when(F.col("ok"), at)).alias("good"), F.max(F.when(breaks, at)).alias("broke"))
+    since = lambda mark: F.coalesce(at > F.col(mark), F.lit(True))
+    counts = log.join(last, "source").groupBy("source").agg(
+        F.count_if(~F.col("ok") & since("good")).alias("failures"), F.count_if(F.col("ok") & ~F.col("changed") & since("broke")).alias("unchanged"), F.max("good.at").alias("good_at"),
     )
     stale = F.col("good_at").isNull() | (F.col("good_at") < now - F.expr("interval 14 days"))
-    status = F.when(stale, "paused").when(F.col("s.failures") >= 3, "failing").otherwise("ok")
-    return last.select("source", status.alias("status"), "s.failures", "s.unchanged")
+    status = F.when(stale, "paused").when(F.col("failures") >= 3, "failing").otherwise("ok")
+    return counts.select("source", status.alias("status"), "failures", "unchanged")
