@@ -14,6 +14,7 @@ from ..functions.text import ACCENTED, PLAIN, excerpt
 from .cards import HIDDEN_PLACE, is_coarse
 from .directory import PUBLIC_LEVELS, PUBLIC_STATES, public
 from .duplicates import collapse, groups
+from .rounds import cut
 
 #: What parts words: all but letters, digits and marks of any script.  Scripts without spaces have a word for each character.
 APART, ALONE = r"[^\p{L}\p{N}\p{M}]+", r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
@@ -125,8 +126,10 @@ def ranked(found: DataFrame, limit: int, offset: int = 0, then: tuple[str, ...]
 def page(found: DataFrame, limit: int, offset: int = 0, then: tuple[str, ...] = ("id",)) -> tuple[DataFrame, int | None]:
     """A page of hits with their place from 1, and the offset of the next page: none if the hits end here.
 
-    A page has MOST_HITS rows at best and is read at once, so that what is fetched for it doesn't run the search again.
+    A page has MOST_HITS rows at best and is read at once.  All hits are written once, so that neither their number nor what is fetched for
+    the page runs the search again.
     """
+    found = cut(found)
     rows = [r.asDict() | {"place": offset + n} for n, r in enumerate(ranked(found, min(limit, MOST_HITS), offset, then).collect(), 1)]
     hits = found.sparkSession.createDataFrame(rows, T.StructType([*found.schema.fields, T.StructField("place", T.IntegerType())]))
     return hits, offset + limit if offset + limit < found.count() else None
