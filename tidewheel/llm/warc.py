@@ -17,7 +17,7 @@ from .common import discard, shared_dir, small, staged
 
 MAGIC, CLOSE = b"WARC/1.1\r\n", "\r\n\r\n"
 #: A file ends after the record that brings it to this size.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 1 << 20
 LONG = 2**63
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
