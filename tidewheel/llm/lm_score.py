@@ -11,7 +11,7 @@ from .arrays import U, Prefix, counts_of, cut_points, mix, slices, words
 from .common import id_out, staged, text_rows
 
 END, START = U(0x1B873593CC9E2D51), U(0x85EBCA6BC2B2AE35)
-GROUP_BYTES, PART_KEYS = 16 << 20, 1 << 21
+GROUP_BYTES, PART_KEYS = 8 << 20, 1 << 21
 UNI, BI = 0, 1
 
 
