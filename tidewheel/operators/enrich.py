@@ -31,18 +31,19 @@ def venue_match(texts: DataFrame, venues: DataFrame) -> DataFrame:
     """(id, venue, key): the longest venue key that stands in the text as whole words; of equals that of the least venue.
 
     venues: venue, name and, if there is one, an array `aliases`.  Texts (id, text) are cut into runs of as many words as some key has and
-    joined by equality, instead of every text with every key.  The numbers of words that keys have come to the driver: at most as many as the
-    longest name has words.
+    joined by equality, instead of every text with every key.  Of venues that share a key only the least is joined, so a common name costs a
+    row for each text.  The numbers of words that keys have come to the driver: at most as many as the longest name has words; the keys don't,
+    as their size isn't known before they are made.
     """
     names = F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))) if "aliases" in venues.columns else F.array("name")
-    keys = venues.select("venue", F.explode(F.array_distinct(F.transform(names, venue_text))).alias("key")).filter(F.length("key") >= 3)
+    keys = venues.select("venue", F.explode(F.array_distinct(F.transform(names, venue_text))).alias("key")).filter(F.length("key") >= 3).groupBy("key").agg(F.min("venue").alias("venue"))
     sizes = [r.n for r in keys.select(F.size(F.split("key", " ")).alias("n")).distinct().orderBy("n").collect()]
     words = texts.select("id", F.split(venue_text(F.col("text")), " ").alias("w"))
     run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
     runs = [run(n) for n in sizes]
     grams = words.select("id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("key"))
-    best = F.max_by(F.struct("venue", "key"), F.struct(F.length("key"), -F.col("venue")))
-    return grams.join(keys, "key").groupBy("id").agg(best.alias("b")).select("id", "b.*")
+    best = F.max_by(F.struct("venue", "key"), F.struct(F.length("key"), -F.col("venue"), "key"))
+    return grams.join(keys.hint("merge"), "key").groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
 def relabelled(events: DataFrame, zone: str) -> DataFrame:
