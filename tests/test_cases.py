@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import connect, duplicates, enrich, moderation, reconcile, search
+from tidewheel.plans import catalog
 from tidewheel.sources import calendar
 from tidewheel.streaming import upsert
 
@@ -129,6 +130,20 @@ def test_inputs(spark):
     }
 
 
+def test_pages_of_one_address(spark, duck, tmp_path):
+    """Pages that share an address, each read for its own input."""
+    rows = [(n, f"https://x.example.org/{n % 5}", "") for n in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    own = duck.cursor()
+    own.execute("create schema one_address")
+    own.execute(f"create view one_address.pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    own.execute("set search_path = 'one_address'")
+    df = catalog.QUERIES["detect"](spark, str(tmp_path))
+    found = own.execute(catalog.ORACLE["detect"])
+    cols = [c[0] for c in found.description]
+    assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_rules(spark):
     first = {
         "FREQ=MONTHLY;BYDAY=FR;BYSETPOS=-1": ["2026-01-30", "2026-02-27"], "FREQ=YEARLY;BYMONTH=1;BYMONTHDAY=-1": ["2026-01-31", "2027-01-31"], "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,TH": ["2026-01-15", "2026-01-25"],

@@ -71,7 +71,8 @@ def classified(inputs: DataFrame, pages: DataFrame) -> DataFrame:
 
     An identity names a repository; a text without an address is read as words; an address of a platform that is known is what
     that platform gives; else its page (url, status, content_type, is_calendar, calendar_link, n_events, hints) decides: a calendar,
-    links to one, linked data; a page with none of these, or none at all, is left to be read as words.
+    links to one, linked data; a page with none of these, or none at all, is left to be read as words.  Pages that have the `id` of the input
+    they were read for decide on that input alone; without it there is one page for each url.
     """
     bare = F.btrim(F.coalesce("text", F.lit("")))
     name = F.regexp_replace(bare, "^at://", "")
@@ -87,7 +88,8 @@ def classified(inputs: DataFrame, pages: DataFrame) -> DataFrame:
     feed = _match("ics", 0.6, "localist", F.concat(F.regexp_extract("url", r"(?i)^(https?://[^/?#]+)", 1), F.lit("/calendar.ics")))
     rows = rows.withColumn("known", F.when(who.isNotNull(), _match("atproto", 0.95, "atproto", who)).when(~profile, known))
     rows = rows.withColumn("own", F.array_compact(F.array(F.col("known"), F.when(F.col("known.platform") == "localist", feed))))
-    seen = rows.join(pages.withColumnRenamed("url", "page_url"), (F.col("url") == F.col("page_url")), "left")
+    own = (F.col("url") == F.col("page_url")) & (F.col("id") == F.col("page_for") if "id" in pages.columns else F.lit(True))
+    seen = rows.join(pages.withColumnsRenamed({"url": "page_url", "id": "page_for"}), own, "left")
     down = F.col("page_url").isNull() | (F.col("status") >= 400)
     calendar = F.coalesce(F.col("is_calendar") | F.contains("content_type", F.lit("text/calendar")), F.lit(False))
     data = F.contains(F.coalesce("content_type", F.lit("")), F.lit("json"))

@@ -223,7 +223,7 @@ def push_or_poll(spark, d):
   WHEN 9 THEN [{'place': 1, 'kind': 'ics', 'platform': 'ics', 'trust': 0.9::DOUBLE, 'key': 'feed' || id}, {'place': 2, 'kind': 'jsonld-page', 'platform': 'web', 'trust': 0.8::DOUBLE, 'key': url}]
   WHEN 10 THEN [{'place': 1, 'kind': 'extract', 'platform': 'web', 'trust': 0.3::DOUBLE, 'key': url}] ELSE [{'place': 1, 'kind': 'extract', 'platform': 'web', 'trust': 0.0::DOUBLE, 'key': url}] END, recursive := true) AS m)""".replace(", recursive := true) AS m)", ") AS m) q").replace("SELECT id, CAST(place AS INTEGER) AS place, kind, platform, trust, key FROM", "SELECT id, CAST(m.place AS INTEGER) AS place, m.kind AS kind, m.platform AS platform, m.trust AS trust, m.key AS key FROM"))
 def detect(spark, d):
-    """An input made of each page's id, or its address, which is looked up among pages."""
+    """An input made of each page's id, or its address, for which the page was read; several pages may have one address."""
     n, url = F.col("page_id"), F.col("url")
     say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     text = (
@@ -231,7 +231,7 @@ def detect(spark, d):
         .when(n % 12 == 4, say("webcal://x", n, ".org/c.ics?a=1&amp;b=2")).when(n % 12 == 5, say("https://m.facebook.com/e/", n)).when(n % 12 == 6, say("https://calendar.google.com/calendar/embed?src=a", n)).otherwise(url)
     )
     pages = table(spark, d, "pages")
-    seen = pages.filter(n % 12 != 11).select("url", F.lit(200).alias("status"), F.when(n % 12 == 8, "text/calendar; charset=utf-8").otherwise("text/html").alias("content_type"), F.lit(False).alias("is_calendar"),
+    seen = pages.filter(n % 12 != 11).select(n.alias("id"), "url", F.lit(200).alias("status"), F.when(n % 12 == 8, "text/calendar; charset=utf-8").otherwise("text/html").alias("content_type"), F.lit(False).alias("is_calendar"),
                                              F.when(n % 12 == 9, say("feed", n)).alias("calendar_link"), F.when(n % 12 == 7, 2).when(n % 12 == 9, 1).otherwise(0).alias("n_events"), F.when(n % 12 == 7, F.array(F.lit("tribe"))).otherwise(F.array().cast("array<string>")).alias("hints"))
     return O.classified(pages.select(n.alias("id"), text.alias("text")), seen)
 
