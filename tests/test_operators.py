@@ -51,6 +51,22 @@ def test_address(spark):
     assert one(spark, enrich.address(F.lit("TBA"))) is None
 
 
+def test_numbers_of_five_digits(spark):
+    """Those of houses and names are no postal codes."""
+    lines = {
+        "Hall 12345": (None, None, None, None, "Hall 12345"), "12345 N Main St, Lyons": ("12345 N Main St", "Lyons", None, None, None), "Hall 12345, 67890 N Main St, Lyons, CO 80540": ("67890 N Main St", "Lyons", "CO", "80540", "Hall 12345"),
+        "The Center • 12345 Walnut St": ("12345 Walnut St", None, None, None, "The Center"), "12345 Arapahoe Ave Boulder CO": ("12345 Arapahoe Ave", "Boulder", "CO", None, None), "12345 Main St, Boulder, CO 80302-1234": ("12345 Main St", "Boulder", "CO", "80302", None),
+        "Hall 12345, Lyons": (None, "Lyons", None, None, "Hall 12345"), "Library, Boulder, 80302": (None, "Boulder", None, "80302", "Library"), "1001 Arapahoe Ave Boulder 80302": ("1001 Arapahoe Ave", "Boulder", None, "80302", None),
+        "Grange - Boulder 80302": (None, "Boulder", None, "80302", "Grange"), "Library Boulder 80302": (None, "Boulder", None, "80302", "Library"), "Boulder Colorado 80302": (None, "Boulder", "CO", "80302", None), "Boulder 80302-1234": (None, "Boulder", None, "80302", None), "Boulder Hall 12345": (None, None, None, None, "Boulder Hall 12345"),
+    }
+    rows = spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+    towns = spark.createDataFrame([("Boulder",), ("Lyons",)], "name string")
+    got = {r.line: tuple(r.a) for r in enrich.with_towns(rows, "n", "line", towns).select("line", enrich.address(F.col("line"), F.col("town")).alias("a")).collect()}
+    assert got == lines
+    alone = {r.line: tuple(r.a) for r in rows.filter("n < 4 or n in (5, 6)").select("line", enrich.address(F.col("line")).alias("a")).collect()}
+    assert alone == {k: lines[k] for k in alone} and len(alone) == 6
+
+
 def test_plan_is_idempotent(spark):
     old = spark.range(20).selectExpr(
         "1 source", "cast(id as int) key", "3 level", "'h' hash", "'t' title", "timestamp_ntz'2030-01-01' starts_at", "cast(null as timestamp_ntz) ends_at", "'live' state", "true published", "false from_signal",

@@ -126,6 +126,13 @@ _STREET = rf"\d+[a-z]?\s+(?:{_DIRECTION}\.?\s+)?[a-z0-9'’.\- ]*?\b(?:{'|'.join
 _LOOSE = r"(?i)^\d+[a-z]?\s+\S+(?:\s+\S+){0,4}$"
 _UNIT = r"(?i)\b(?:suite|ste|unit|apt|apartment|room|rm|bldg|building|floor|fl)\b\.?\s*[a-z0-9-]+|#\s*[a-z0-9-]+"
 _ZIP, _STATE = r"\b(\d{5})(?:-\d{4})?\b", r"(?:^|[,\s])([A-Z]{2}|(?i:colo|colorado))\.?$"
+_WORDS = r"[^\d,;•·|]"
+#: A postal code after a state, else one that a separator or another number stands before and that begins no street; and one that ends a line of words.
+_CODE = (
+    rf"^(.*(?:^|[,\s])(?:[A-Z]{{2}}|(?i:colo|colorado))\.?\s+|(?:{_WORDS}*[\d,;•·|].*|{_WORDS}*\s[-–—]+\s{_WORDS}*)\b(?!(?i:{_STREET})))"
+    rf"{_ZIP}(.*)$"
+)
+_LAST_CODE = rf"^([^\n\d,;•·|]+ ){_ZIP}$"
 #: Words of the longest name of a town that is looked for at the end of a segment.
 TOWN_WORDS = 3
 
@@ -134,19 +141,28 @@ def _tidy(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[\s,;:.•·|–—-]+|[\s,;:.•·|–—-]+$", "")
 
 
-def _lifted(text: Column) -> tuple[Column, Column, Column]:
-    """(segments, region, postal code) of a line: the code wherever it stands, and the state at the end of what is left."""
-    none = lambda c: F.when(c != "", c)
-    line = _tidy(text)
-    zip_ = none(F.regexp_extract(line, _ZIP, 1))
-    # a house number of five digits is no code: the last one counts, and only if words come before it
-    rest = _tidy(F.regexp_replace(line, rf"(?<=\D){_ZIP}(?!.*\b\d{{5}}\b)", " "))
-    zip_ = F.when(rest != line, none(F.regexp_extract(line, rf"^.*\D{_ZIP}", 1)))
-    state = none(F.regexp_extract(rest, _STATE, 1))
-    region = F.when(state.rlike("(?i)^colo"), "CO").otherwise(state)
-    rest = F.when(state.isNotNull(), _tidy(F.regexp_replace(rest, _STATE, ""))).otherwise(rest)
-    segments = F.filter(F.transform(F.split(rest, r"\s*[,;•·|]\s*|\s+[-–—]\s+"), _tidy), lambda s: s != "")
-    return segments, region, zip_
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _lifted(text: Column, after_town: Column | bool) -> Column:
+    """struct(segments, region, zip) of a line: the code, and the state at the end of what is left.
+
+    A number of five digits may be that of a house or belong to a name ("Hall 12345"), so one that ends a line of words alone is a code only
+    where after_town holds, since a town stands before it.
+    """
+    # a tidy line has no line break, so one marks what is lifted out
+    line = F.regexp_replace(_tidy(text), _CODE, "$1 $3\n$2")
+    last = F.regexp_replace(line, _LAST_CODE, "$1\n$2")
+    line = line if after_town is False else last if after_town is True else F.when(after_town, last).otherwise(line)
+
+    def parts(coded: Column, stated: Column) -> Column:
+        state = F.get(stated, F.lit(1))
+        segments = F.filter(F.transform(F.split(_tidy(stated[0]), r"\s*[,;•·|]\s*|\s+[-–—]\s+"), _tidy), lambda s: s != "")
+        return F.struct(segments.alias("segments"), F.when(state.rlike("(?i)^colo"), "CO").otherwise(state).alias("region"), F.get(coded, F.lit(1)).alias("zip"))
+
+    return _let(F.split(line, "\n"), lambda coded: _let(F.split(F.regexp_replace(_tidy(coded[0]), _STATE, "\n$1"), "\n"), lambda stated: parts(coded, stated)))
 
 
 def with_towns(rows: DataFrame, key: str, text: str, towns: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def with_towns(rows: DataFrame, key: str, text: str, towns: DataFrame) -> DataFr
     towns: (name).  A segment that is a town counts before one that ends with it; of each kind the last segment, and of its endings
     the longest.  Lines are exploded to their segments and the endings of these of up to TOWN_WORDS words, which are looked up by an equi-join.
     """
-    segments, _, _ = _lifted(F.col(text))
+    segments = _lifted(F.col(text), True)["segments"]
     words = lambda s: F.split(s, " ")
     ending = lambda s, at, n: F.struct(
         (n == F.size(words(s))).alias("whole"), at.alias("at"), n.alias("words"), F.lower(F.array_join(F.slice(words(s), F.size(words(s)) - n + 1, n), " ")).alias("low"))
@@ -173,7 +189,6 @@ def address(text: Column, town: Column | None = None) -> Column:
     number, or else stands anywhere in one; the segments before it are the venue.
     """
     none = lambda c: F.when(c != "", c)
-    segments, region, zip_ = _lifted(text)
 
     def anchored(s: Column) -> Column:
         bare = F.btrim(F.regexp_replace(s, _UNIT, ""))
@@ -181,22 +196,28 @@ def address(text: Column, town: Column | None = None) -> Column:
         return F.when(whole != "", _tidy(whole)).when(bare.rlike(_LOOSE), bare)
 
     anywhere = lambda s: none(_tidy(F.regexp_extract(F.regexp_replace(s, _UNIT, ""), rf"(?i)\b({_STREET})", 1)))
-    if town is None:
-        named = F.when((F.size(segments) > 1) & anchored(F.element_at(segments, -1)).isNull(), F.element_at(segments, -1))
-        left = F.when(named.isNotNull(), F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
-    else:
-        cut = lambda s: F.array_join(F.slice(F.split(s, " "), 1, F.greatest(F.size(F.split(s, " ")) - town["words"], F.lit(0))), " ")
-        named, left = town["name"], F.filter(F.transform(segments, lambda s, i: F.when(i == town["at"], cut(s)).otherwise(s)), lambda s: s != "")
-
-    def rest(left: Column) -> Column:
-        at = lambda of: F.get(F.filter(F.transform(left, lambda s, i: F.struct(i.alias("i"), of(s).alias("street"))), lambda x: x.street.isNotNull()), F.lit(0))
-        hit = F.coalesce(at(anchored), at(anywhere))
-        before = F.filter(left, lambda s, i: (hit.i.isNull() | (i < hit.i)) & anchored(s).isNull())
-        return F.struct(hit.street.alias("street"), named.alias("locality"), region.alias("region"), zip_.alias("postal_code"), none(F.array_join(before, ", ")).alias("venue"))
-
-    line = _tidy(text)
-    place = line.rlike("[A-Za-z]") & ~F.lower(line).isin(*NOWHERE)
-    return F.when(place, F.get(F.transform(F.array(left), rest), F.lit(0)))
+
+    def parsed(line: Column) -> Column:
+        segments = line["segments"]
+        if town is None:
+            named = F.when((F.size(segments) > 1) & anchored(F.element_at(segments, -1)).isNull(), F.element_at(segments, -1))
+            left = F.when(named.isNotNull(), F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
+        else:
+            cut = lambda s: F.array_join(F.slice(F.split(s, " "), 1, F.greatest(F.size(F.split(s, " ")) - town["words"], F.lit(0))), " ")
+            named, left = town["name"], F.filter(F.transform(segments, lambda s, i: F.when(i == town["at"], cut(s)).otherwise(s)), lambda s: s != "")
+
+        def rest(left: Column) -> Column:
+            at = lambda of: F.get(F.filter(F.transform(left, lambda s, i: F.struct(i.alias("i"), of(s).alias("street"))), lambda x: x.street.isNotNull()), F.lit(0))
+            return _let(F.coalesce(at(anchored), at(anywhere)), lambda hit: found(left, hit))
+
+        def found(left: Column, hit: Column) -> Column:
+            before = F.filter(left, lambda s, i: (hit.i.isNull() | (i < hit.i)) & anchored(s).isNull())
+            return F.struct(hit.street.alias("street"), named.alias("locality"), line["region"].alias("region"), line["zip"].alias("postal_code"), none(F.array_join(before, ", ")).alias("venue"))
+
+        return _let(left, rest)
+
+    place = _let(_tidy(text), lambda line: line.rlike("[A-Za-z]") & ~F.lower(line).isin(*NOWHERE))
+    return F.when(place, _let(_lifted(text, False if town is None else town.isNotNull()), parsed))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
